@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-from . import judges  # noqa: E402
+from . import conversations, judges  # noqa: E402
 
-for _m in (judges,):
+for _m in (judges, conversations):
     QUERIES.update(_m.QUERIES)
     ORACLE.update(_m.ORACLE)

@@ -197,8 +197,8 @@ _BLANK = lambda x: f"NOT regexp_matches(coalesce({x}, ''), '\\S')"
 _WORDS = lambda x: f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9_]+')"
 _COUNT = lambda x: f"len(regexp_extract_all(coalesce({x}, ''), '[\\p{{L}}\\p{{N}}_][''\\p{{L}}\\p{{N}}_-]*'))"
 _CLEAN = lambda x: f"trim(regexp_replace(coalesce({x}, ''), '[\\s]+', ' ', 'g'))"
-_SENT = lambda x: f"list_filter(string_split(regexp_replace({_CLEAN(x)}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')"
-_LINES = lambda x: f"len(list_filter(regexp_split_to_array(coalesce({x}, ''), '\\r\\n|\\n|\\r'), lambda s: trim(s) <> ''))"
+_SENT = lambda x: f"list_filter(string_split(regexp_replace({_CLEAN(x)}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_matches(s, '[^\\s\\p{{Z}}]'))"
+_LINES = lambda x: f"len(list_filter(regexp_split_to_array(coalesce({x}, ''), '\\r\\n|\\n|\\r'), lambda s: regexp_matches(s, '[^\\s\\p{{Z}}]')))"
 
 
 def _grams(w: str, n: int) -> str:

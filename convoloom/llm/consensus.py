@@ -62,18 +62,12 @@ class Mixture:
         old = self.theta
         self.theta = np.clip((t_mass.sum((1, 2)) + 1) / (total + 2), 0.005, 0.995)
         self.guess = (g_mass.sum(2) + 0.5) / (g_mass.sum((1, 2)) + 0.5 * self.levels)[:, None]
-        label = np.arange(1, self.levels + 1)[None, :, None]
-        truth = np.arange(1, self.levels + 1)[None, None, :]
-        inner = t_mass * ((truth > 1) & (truth < self.levels) & (label > 1) & (label < self.levels))
-        n = inner.sum((1, 2)) + 2
-        d = label - truth
-        shift = (inner * d).sum((1, 2)) / n
-        # Labels cut at the ends of the scale pull an inner-only estimate to zero; fit on a grid around it instead.
+        # Shift and blur that explain the truthful labels best, over a grid; labels cut at the ends of the scale fit too.
         grid = np.arange(-4, 4.01, 0.25)
         widths = np.array([0.5, 0.7, 0.9, 1.2, 1.5, 2.0, 2.6])
         table = _grid_kernels(grid, widths, self.levels)  # [g, w, label, truth]
         ll = np.einsum("jlt,gwlt->jgw", t_mass, np.log(table))
-        best = ll.reshape(len(shift), -1).argmax(1)
+        best = ll.reshape(len(ll), -1).argmax(1)
         known = total > 0
         self.shift = np.where(known, grid[best // len(widths)], 0.0)
         self.blur = widths[best % len(widths)]
@@ -140,7 +134,7 @@ def _models(votes_: DataFrame) -> list[str]:
 def fit(items: DataFrame, names: list[str], scores: tuple[str, ...] = SCORES, iterations: int = ITERATIONS) -> dict[str, Mixture]:
     """EM over `items` (score_name, annotators array<int>, labels array<int>)."""
     models = {s: Mixture(len(names)) for s in scores}
-    open_ = set(scores)
+    open_ = set(scores) if names else set()
     for _ in range(iterations):
         given = {s: (np.log(models[s].label_given_truth()), np.log(models[s].prior)) for s in open_}
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,71 +35,6 @@ def messages(text: str) -> list[str]:
     return [s for s in (x.strip() for x in _SPLIT.split(text or "")) if s]
 
 
-_DIGIT = re.compile(r"\d")
-_STATUS_TOKEN = re.compile(r"\W*[1-5]\d\d\W*")
-_BEFORE_STATUS = frozenset(("status", "error", "http", "code", "(code"))
-
-
-def masked(message: str) -> list[str]:
-    """Tokens of a message, those that hold a digit replaced by a wildcard; a status number stays."""
-    tokens = _TOKEN.split(message)
-    if not _DIGIT.search(message):
-        return tokens
-    return [t if not _DIGIT.search(t) or "<" in t or (_STATUS_TOKEN.fullmatch(t) and (i == 0 or tokens[i - 1].lower() in _BEFORE_STATUS)) else ANY for i, t in enumerate(tokens)]
-
-
-#: Tokens on which a verdict can rest; a template keeps them as they are.
-_SIGNAL = re.compile(
-    r"\?|^<(?!\*)|^\W*(?:sign|continue|js|javascript|scripts?|cookies|browser|noscript|errors?|page|server|status|content|sorry|oops|whoops|error|denied|expired|blocked|exceeded|exception|"
-    r"occurred|gateway|upstream|backend|refused|unavailable|forbidden|unauthori[sz]ed|todo|fixme|tbd|placeholder|sample|dummy|mock|here|means|usually|dummy|notice|text|[1-5]\d\d)\b",
-    re.I,
-)
-
-
-@lru_cache(maxsize=1 << 16)
-def signal(token: str) -> bool:
-    return token != ANY and _SIGNAL.search(token) is not None
-
-
-class PrefixTree:
-    """Fixed-depth prefix tree over token lists; each leaf holds templates of one length.
-
-    Signal tokens are never replaced by a wildcard, so messages with different
-    signals never share a template.
-    """
-
-    def __init__(self, depth: int = DEPTH, similarity: float = SIMILARITY, children: int = MAX_CHILDREN):
-        self.depth, self.similarity, self.children = depth, similarity, children
-        self.root: dict = {}
-        self.templates: list[list[str]] = []
-
-    def add(self, tokens: list[str]) -> int:
-        """The number of the template that takes the message; the template may become more general."""
-        node = self.root.setdefault(len(tokens), {})
-        for token in tokens[: self.depth]:
-            if token not in node and token != ANY and len(node) >= self.children and not signal(token):
-                token = ANY
-            node = node.setdefault(token, {})
-        leaf = node.setdefault("", [])
-        signals = [(i, t) for i, t in enumerate(tokens) if signal(t)]
-        best, score = -1, -1.0
-        for k, told in leaf:
-            if told != signals:
-                continue
-            same = sum(a == b and a != ANY for a, b in zip(self.templates[k], tokens, strict=True))
-            if same > score:
-                best, score = k, same
-        if best >= 0 and score >= self.similarity * len(tokens):
-            t = self.templates[best]
-            for i, (a, b) in enumerate(zip(t, tokens, strict=True)):
-                if a != b:
-                    t[i] = ANY
-            return best
-        self.templates.append(list(tokens))
-        leaf.append((len(self.templates) - 1, signals))
-        return len(self.templates) - 1
-
-
 # ---------------------------------------------------------------- verdicts
 
 # The wording of notices, error pages and filler in the five languages of the data.
@@ -189,12 +125,89 @@ def verdict(message: str) -> str:
     return ""
 
 
+_NOTE = re.compile(r"\W*(?:to do|t\.b\.d)\b", re.I)
+
+
+@lru_cache(maxsize=1 << 16)
+def hint(token: str) -> bool:
+    """Every message with a verdict holds such a token."""
+    t = token.strip(_EDGES).lower()
+    return signal(token) or t in _JUNK or (len(t) > 4 and t in _LOREM)
+
+
 def too_general(template: list[str]) -> bool:
     """Fewer than three fixed tokens, or less than two thirds fixed: the template can't stand for its messages."""
     fixed = sum(t != ANY for t in template)
     return fixed < 3 or 3 * fixed < 2 * len(template)
 
 
+# ---------------------------------------------------------------- templates
+
+_DIGIT = re.compile(r"\d")
+_STATUS_TOKEN = re.compile(r"\W*[1-5]\d\d\W*")
+_BEFORE_STATUS = frozenset(("status", "error", "http", "code", "(code"))
+
+
+def masked(message: str) -> list[str]:
+    """Tokens of a message; names behind the first token and tokens with a digit become wildcards, a status number stays."""
+    tokens = _TOKEN.split(message)
+    out = []
+    for i, t in enumerate(tokens):
+        if i and len(t) > 4 and t[0].isupper() and t[1].islower() and not signal(t):
+            t = ANY
+        elif _DIGIT.search(t) and "<" not in t and not (_STATUS_TOKEN.fullmatch(t) and (i == 0 or tokens[i - 1].lower() in _BEFORE_STATUS)):
+            t = ANY
+        out.append(t)
+    return out
+
+
+#: Words on which a verdict can rest, taken from the verdicts' own patterns; a template keeps them as they are.
+_SIGNALS = {w for v in (_SCRIPT_NOTICES, _ERROR_PAGES, _FILLER) for p in v for w in re.findall(r"[a-zà-ż]{4,}", p.lower())} | {"javascript", "skripten", "skripte", "skryptów", "skrypty", "js", "tbd", "tba", "http", "sign", "log"} | set("here means usually dummy notice text continue".split())
+_EDGES = " \t.,;:!?()[]{}<>*_`\"'“”’#|-–/"
+
+
+@lru_cache(maxsize=1 << 16)
+def signal(token: str) -> bool:
+    """Can a verdict rest on this token: a word of the patterns, a question mark, a tag, a status number."""
+    return token != ANY and ("?" in token or token[0] == "<" or _STATUS_TOKEN.fullmatch(token) is not None or token.strip(_EDGES).lower().split("-")[0] in _SIGNALS or token.strip(_EDGES).lower() in _SIGNALS)
+
+
+class PrefixTree:
+    """Fixed-depth prefix tree over token lists; each leaf holds templates of one length.
+
+    Signal tokens are never replaced by a wildcard, so messages with different
+    signals never share a template.
+    """
+
+    def __init__(self, depth: int = DEPTH, similarity: float = SIMILARITY, children: int = MAX_CHILDREN):
+        self.depth, self.similarity, self.children = depth, similarity, children
+        self.root: dict = {}
+        self.templates: list[list[str]] = []
+
+    def add(self, tokens: list[str]) -> int:
+        """The number of the template that takes the message; the template may become more general."""
+        node = self.root.setdefault(len(tokens), {})
+        for token in tokens[: self.depth]:
+            if token not in node and token != ANY and len(node) >= self.children and not signal(token):
+                token = ANY
+            node = node.setdefault(token, {})
+        leaf = node.setdefault("", [])
+        signals = [(i, t) for i, t in enumerate(tokens) if signal(t)]
+        need = self.similarity * len(tokens)
+        for k, told in leaf:
+            if told != signals:
+                continue
+            t = self.templates[k]
+            if sum(map(eq, t, tokens)) >= need:
+                for i, (a, b) in enumerate(zip(t, tokens, strict=True)):
+                    if a != b:
+                        t[i] = ANY
+                return k
+        self.templates.append(list(tokens))
+        leaf.append((len(self.templates) - 1, signals))
+        return len(self.templates) - 1
+
+
 # ---------------------------------------------------------------- slots
 
 _NAME = r"[A-Za-z][A-Za-z0-9]*(?:[_ ][A-Za-z0-9]+){0,3}"
@@ -243,13 +256,19 @@ _MINED = "record_id long, field_name string, template string, message string"
 
 
 def _mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One tree per partition.  A message leaves with its template, or by itself if the template is too general."""
+    """One tree per partition.  A message leaves with its template, or by itself if the template is too general.
+
+    Messages without any token that a verdict needs shape the tree but don't leave it.
+    """
     tree = PrefixTree()
     for pdf in batches:
         rows: list[tuple] = []
         for rid, field, text in zip(pdf["record_id"], pdf["field_name"], pdf["text"], strict=True):
             for m in dict.fromkeys(messages(text)):
-                rows.append((rid, field, tree.add(masked(m)), m))
+                tokens = masked(m)
+                k = tree.add(tokens)
+                if _NOTE.match(m) or any(map(hint, tokens)):
+                    rows.append((rid, field, k, m))
         out = []
         names: dict[int, str] = {}
         for rid, field, k, m in rows:

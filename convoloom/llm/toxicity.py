@@ -25,6 +25,7 @@ STATES = len(CATEGORIES) + 1  # state 0: nothing
 BITS = 19
 MAX_LABELLED = 4000  # reviewed documents that the model is fitted on, taken in order of a hash of their id
 MAX_TRAIN_CHARS = 20_000  # longer reviewed documents are not used for the fit; scoring reads whole texts
+MIN_OTHERS = 200
 EPOCHS = 10
 MIN_SCORE = 0.5
 _STOPS = np.array([10, 46, 33, 63, 0x2026, 0x3002, 0], np.uint32)
@@ -138,15 +139,21 @@ class Field:
         return (out, expected) if pairs else out
 
 
-def _odds(t: Tokens, positive: np.ndarray) -> np.ndarray:
-    """Per token: largest log odds of its unigram and bigrams between positive and other documents."""
+def _odds(t: Tokens, positive: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+    """Per token: largest log odds of its unigram and bigrams between positive and other documents.
+
+    The others are the reviewed ones; documents without votes help out if those are few.
+    """
+    other = ~positive & ~unknown
+    if other.sum() < MIN_OTHERS:
+        other = ~positive
     best = np.full(len(t.doc), -9.0)
     for k in range(3):
         key = t.feature[:, k].astype(np.int64)
         pair = np.unique(np.stack([key, t.doc], 1), axis=0)
         p = np.bincount(pair[:, 0], weights=positive[pair[:, 1]], minlength=1 << BITS)
-        q = np.bincount(pair[:, 0], weights=(~positive)[pair[:, 1]], minlength=1 << BITS)
-        a, b = positive.sum(), (~positive).sum()
+        q = np.bincount(pair[:, 0], weights=other[pair[:, 1]], minlength=1 << BITS)
+        a, b = positive.sum(), other.sum()
         lo = np.log((p + 0.2) / (a + 0.4)) - np.log((q + 0.2) / (b + 0.4))
         lo = np.where(p >= 2, lo, np.minimum(lo, 0.0))
         best = np.maximum(best, lo[key]) if k else lo[key]
@@ -171,7 +178,7 @@ def spans(t: Tokens, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         positive = labels[:, k] >= 0.5
         if not positive.any():
             continue
-        lo = np.clip(_odds(t, positive), -4, 6)
+        lo = np.clip(_odds(t, positive, np.isnan(labels[:, k])), -4, 6)
         mean = np.add.reduceat(lo, t.bounds[:-1]) / n
         strong = np.add.reduceat((lo > 2.2).astype(float), t.bounds[:-1])
         typical = (mean > 1.0) & (strong >= np.minimum(2, n))

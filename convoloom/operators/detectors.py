@@ -76,7 +76,7 @@ def format_bookkeeping(t: DataFrame, share: float = 0.45) -> DataFrame:
     """D: reasoning of which many sentences are about format rules."""
     s = F.filter(F.split(T.text("reasoning"), r"(?<=[.!?\n])\s+"), lambda v: v.rlike(r"\S"))
     hit = F.filter(s, lambda v: v.rlike(T.any_of(P.FORMAT_MECHANICS)))
-    x = t.select("c", "turn_index", F.size(s).alias("n"), F.size(hit).alias("k")).filter((F.col("k") >= 2) & (F.col("k") / F.col("n") >= share))
+    x = t.select("c", "turn_index", F.size(s).alias("n"), F.size(hit).alias("k")).filter((F.col("k") >= 2) & (F.col("k") >= share * F.col("n")))
     return x.select("c", "turn_index", *_flag("D", "format_bookkeeping_reasoning", 1, F.concat(F.col("k").cast("string"), F.lit("/"), F.col("n").cast("string"))))
 
 

@@ -108,7 +108,7 @@ def pairwise_agreement(rows: DataFrame) -> DataFrame:
     den = F.sqrt((F.col("k") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("k") * F.col("syy") - F.col("sy") * F.col("sy")))
     corr = F.when(den > 0, (F.col("k") * F.col("sxy") - F.col("sx") * F.col("sy")) / den)
     # Sum over all marginal combinations of (i - j)^2 is n * (sum a^2 + sum b^2) - 2 * sum a * sum b.
-    expected = (F.col("m") * (F.col("qaa") + F.col("qbb")) - 2 * F.col("qa") * F.col("qb")) / F.col("m")
+    expected = F.try_divide(F.col("m") * (F.col("qaa") + F.col("qbb")) - 2 * F.col("qa") * F.col("qb"), F.col("m"))
     kappa = F.when(F.col("m") > 0, F.when(expected > 0, 1 - F.col("od") / expected).when(F.col("od") == 0, 1.0))
     s = g.select(*pair, rounded(F.col("mae")).alias("mae"), rounded(corr).alias("corr"), rounded(kappa).alias("kappa"))
     wide = s.groupBy("left_model", "right_model").agg(*(F.max(F.when(F.col("s") == x, F.col(y))).alias(f"{x}_{z}") for x in SCORES for y, z in (("mae", "mae"), ("corr", "corr"), ("kappa", "weighted_kappa"))))
@@ -151,10 +151,10 @@ def fleiss_kappa(rows: DataFrame) -> DataFrame:
     cells = long.groupBy("metric", "_eval_id", "v").agg(F.count("*").alias("c"))
     items = cells.groupBy("metric", "_eval_id").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("v").between(LOW, HIGH), F.col("c") * F.col("c")).otherwise(0)).alias("sq"), F.map_from_entries(F.collect_list(F.struct("v", "c"))).alias("m"))
     full = items.join(F.broadcast(raters), "metric").filter(F.col("n") == F.col("n_raters"))
-    head = full.groupBy("metric", "n_raters").agg(F.count("*").alias("n_items"), F.avg((F.col("sq") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("p_bar"))
+    head = full.groupBy("metric", "n_raters").agg(F.count("*").alias("n_items"), F.avg(F.try_divide(F.col("sq") - F.col("n"), F.col("n") * (F.col("n") - 1))).alias("p_bar"))
     share = full.select("metric", "n_raters", F.explode("m").alias("v", "c")).filter(F.col("v").between(LOW, HIGH)).groupBy("metric", "v").agg(F.sum("c").alias("c")).groupBy("metric").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
     k = head.join(share, "metric", "left").withColumn("pe", F.col("cc") / ((F.col("n_items") * F.col("n_raters")) * (F.col("n_items") * F.col("n_raters"))))
-    kappa = F.when((F.col("pe") != 1) & (F.col("n_raters") > 1), (F.col("p_bar") - F.col("pe")) / (1 - F.col("pe")))
+    kappa = F.when((F.col("pe") != 1) & (F.col("n_raters") > 1), F.try_divide(F.col("p_bar") - F.col("pe"), 1 - F.col("pe")))
     out = k.select("metric", "n_items", "n_raters", rounded(kappa).alias("fleiss_kappa"))
     return raters.join(out.drop("n_raters"), "metric", "left").select("metric", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "n_raters", "fleiss_kappa")
 

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .residue import residue_fields
 from .tails import CUT, ENDED, ending, open_tail, word_break
 from .values import KEY, mrl_answers, thinks
@@ -89,26 +90,54 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[out["state"] != "ended"]
 
 
-def _sentences(values: DataFrame) -> DataFrame:
-    """(head, n, times): finished sentences of all values by masked head and length in words."""
+def _sentences(values: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(head, n, times): finished sentences of all values with a wanted head, by masked head and length in words."""
     s = values.select(F.explode(F.split("text", r"[\r\n]+|(?<=[.!?])\s+")).alias("s")).filter(F.col("s").rlike(r"[.!?][\"'”’»)]*\s*$"))
     w = s.select(F.split(F.trim("s"), r"\s+").alias("w")).filter(F.size("w") > HEAD_WORDS)
     word = lambda i: F.when(F.col("w")[i].rlike(r"^\w*[A-ZÀ-ÖØ-ÞŁŚŻŹĆŃ]"), F.lit("N")).otherwise(F.regexp_replace(F.lower(F.col("w")[i]), r"\d+", "0"))
     first = F.regexp_replace(F.lower(F.col("w")[0]), r"\d+", "0")
-    return w.select(F.concat_ws(" ", first, *(word(i) for i in range(1, HEAD_WORDS))).alias("head"), F.size("w").alias("n")).groupBy("head", "n").agg(F.count("*").alias("times"))
+    heads = w.select(F.concat_ws(" ", first, *(word(i) for i in range(1, HEAD_WORDS))).alias("head"), F.size("w").alias("n"))
+    return heads.groupBy("head", "n").agg(F.count("*").alias("times")).join(wanted.select("head").distinct(), "head", "left_semi")
 
 
-def _cut_copies(values: DataFrame) -> DataFrame:
-    """(tbl, row_key, pos, text) of open values that are a strict prefix of another value.
+def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of sorted distinct texts: those that are a prefix of their successor, and the partition's first and last text."""
+    from pyspark import TaskContext
 
-    Distinct values are sorted within a hash of their first characters; any strict
-    extension of a value makes its next distinct neighbour one.  No pairs are formed.
+    part = TaskContext.get().partitionId()
+    last, out = None, []
+    for pdf in batches:
+        for t in pdf["text"]:
+            if last is None:
+                out.append(("first", part, t))
+            elif t.startswith(last):
+                out.append(("hit", part, last))
+            last = t
+        yield pd.DataFrame(out, columns=["kind", "part", "text"])
+        out = []
+    if last is not None:
+        yield pd.DataFrame([("last", part, last)], columns=["kind", "part", "text"])
+
+
+def _cut_copies(values: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """(text): distinct values that are a strict prefix of another value.
+
+    Values that share a hash of their first characters with a candidate are
+    range-sorted; in sorted order any strict extension of a value makes the next
+    distinct value one.  No pairs are formed, and a range split can halve any group of
+    equal beginnings.  The last value of a partition meets the first of the next in a
+    table of two rows a partition.
     """
     from pyspark.sql import Window
 
-    t = values.filter(F.length("text") >= PREFIX_CHARS).select("text").distinct().withColumn("k", F.xxhash64(F.substring("text", 1, PREFIX_CHARS)))
-    nxt = F.lead("text").over(Window.partitionBy("k").orderBy("text"))
-    return t.withColumn("next", nxt).filter(F.col("next").startswith(F.col("text"))).select("text")
+    key = F.xxhash64(F.substring("text", 1, PREFIX_CHARS)).alias("k")
+    t = values.filter(F.length("text") >= PREFIX_CHARS).select("text", key)
+    if candidates is not None:
+        t = t.join(candidates.filter(F.length("text") >= PREFIX_CHARS).select(key).distinct(), "k", "left_semi")
+    found = cut(t.select("text").distinct().repartitionByRange("text").sortWithinPartitions("text").mapInPandas(_neighbours, "kind string, part int, text string"))
+    nxt = F.lead("text").over(Window.orderBy("part", F.col("kind") == "last"))
+    edges = found.filter("kind <> 'hit'").withColumn("next", nxt).filter((F.col("kind") == "last") & F.col("next").startswith(F.col("text")))
+    return found.filter("kind = 'hit'").select("text").unionByName(edges.select("text"))
 
 
 def cut_values(values: DataFrame) -> DataFrame:
@@ -119,19 +148,19 @@ def cut_values(values: DataFrame) -> DataFrame:
     cols = values.columns
     open_ = values.filter(may_be_open(F.col("text"))).distinct()
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in open_.schema.fields), "state string, head string, n int"])
-    judged = open_.mapInPandas(_judge, schema)
+    judged = cut(open_.mapInPandas(_judge, schema))
     maybe = judged.filter(F.col("state") == "maybe")
-    known = _sentences(values).withColumnRenamed("n", "length")
     wanted = maybe.select("head", "n").filter(F.col("head") != "").distinct()
+    known = _sentences(values, wanted).withColumnRenamed("n", "length")
     told = (
         wanted.join(known, "head")
         .groupBy("head", "n")
         .agg((F.sum(F.when(F.col("length") > F.col("n"), F.col("times")).otherwise(0)) / F.sum("times")).alias("longer"))
     )
-    copies = _cut_copies(values).withColumn("copied", F.lit(True))
+    copies = _cut_copies(values, maybe).withColumn("copied", F.lit(True))
     decided = maybe.join(told, ["head", "n"], "left").join(copies, "text", "left")
-    cut = (F.coalesce(F.col("longer"), F.when(F.col("n") >= MIN_WORDS, 1.0).otherwise(0.0)) >= MIN_LONGER) | (F.col("copied") & (F.col("n") >= HEAD_WORDS))
-    return judged.filter(F.col("state") == "cut").select(*cols).unionByName(decided.filter(F.coalesce(cut, F.lit(False))).select(*cols))
+    open_end = (F.coalesce(F.col("longer"), F.when(F.col("n") >= MIN_WORDS, 1.0).otherwise(0.0)) >= MIN_LONGER) | (F.col("copied") & (F.col("n") >= HEAD_WORDS))
+    return judged.filter(F.col("state") == "cut").select(*cols).unionByName(decided.filter(F.coalesce(open_end, F.lit(False))).select(*cols))
 
 
 def judge_texts(judge_log: DataFrame, *more: str) -> DataFrame:
@@ -151,9 +180,9 @@ def all_values(mrl: DataFrame, completions: DataFrame, judge_log: DataFrame) ->
 
 def truncated_values(mrl: DataFrame, completions: DataFrame, judge_log: DataFrame) -> DataFrame:
     """(tbl, row_key, pos) of cut values, each once; fields with residue (problem 1) are left out."""
-    cut = cut_values(all_values(mrl, completions, judge_log).drop("_subset")).select(*KEY).distinct()
+    found = cut_values(all_values(mrl, completions, judge_log).drop("_subset")).select(*KEY).distinct()
     bad = residue_fields(mrl).filter(F.col("field_name") == "answer").select(F.lit("mrl_records").alias("tbl"), F.col("record_id").alias("row_key"))
-    return cut.join(bad, ["tbl", "row_key"], "left_anti").select(*KEY)
+    return found.join(bad, ["tbl", "row_key"], "left_anti").select(*KEY)
 
 
 def truncation_rates(mrl: DataFrame, completions: DataFrame, judge_log: DataFrame) -> DataFrame:
@@ -161,6 +190,6 @@ def truncation_rates(mrl: DataFrame, completions: DataFrame, judge_log: DataFram
     values = all_values(mrl, completions, judge_log)
     n = values.groupBy("tbl", "_subset").agg(F.countDistinct("row_key", "pos").alias("n_values"))
     keys = values.select(*KEY, "_subset").distinct()
-    cut = truncated_values(mrl, completions, judge_log).join(keys, list(KEY)).groupBy("tbl", "_subset").agg(F.countDistinct("row_key", "pos").alias("n_cut"))
-    c = cut.withColumnRenamed("tbl", "t").withColumnRenamed("_subset", "s")
+    per = truncated_values(mrl, completions, judge_log).join(keys, list(KEY)).groupBy("tbl", "_subset").agg(F.countDistinct("row_key", "pos").alias("n_cut"))
+    c = per.withColumnRenamed("tbl", "t").withColumnRenamed("_subset", "s")
     return n.join(c, (F.col("tbl") == F.col("t")) & F.col("_subset").eqNullSafe(F.col("s")), "left").select("tbl", "_subset", "n_values", F.coalesce("n_cut", F.lit(0)).alias("n_cut"), F.round(F.coalesce("n_cut", F.lit(0)) / F.col("n_values"), 4).alias("cut_rate"))

@@ -23,6 +23,7 @@ from .words import Words, chunks, mix, words
 
 WINDOW, CHANGES, BLOCK = 22, 3, 5
 LEAST_BLOCKS = WINDOW - BLOCK + 1 - CHANGES * BLOCK
+PIECE = 2000  # words of a document that are aligned at once
 MAX_INDEX = 4_000_000  # item blocks that are sent to every executor; beyond, documents and items meet by a join
 
 
@@ -62,7 +63,6 @@ class ItemIndex:
         order = np.argsort(f, kind="stable")
         self.print, self.at = f[order], at[order]
         self.item = self.words.row[self.at]
-        self.position = self.at - self.words.first[self.item]
         bits = 22
         self.bits = np.uint64(64 - bits)
         self.seen = np.zeros(1 << bits, bool)
@@ -73,9 +73,11 @@ class ItemIndex:
     def body(self, item: int) -> np.ndarray:
         return self.words.hash[self.words.first[item] : self.words.first[item + 1]]
 
-    def weight(self, h: np.ndarray) -> np.ndarray:
+    def may_hold(self, body: np.ndarray, text: np.ndarray) -> bool:
+        """Weighted words in common: the unchanged words of a window weigh at least as much as the lightest of the item."""
         u, v = self.weights
-        return v[np.minimum(np.searchsorted(u, h), len(u) - 1)]
+        w = v[np.minimum(np.searchsorted(u, body), len(u) - 1)]
+        return w[np.isin(body, text)].sum() >= np.sort(w)[: WINDOW - CHANGES].sum() - 1e-9
 
 
 def window_within(item: np.ndarray, text: np.ndarray) -> bool:
@@ -130,8 +132,8 @@ def window_within(item: np.ndarray, text: np.ndarray) -> bool:
     return False
 
 
-def _spans(doc: np.ndarray, diag: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Which sorted hits have LEAST_BLOCKS hits of their pair within one window's length on near diagonals."""
+def _spans(doc: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Which sorted hits have LEAST_BLOCKS hits of their pair within one window's length."""
     k = LEAST_BLOCKS - 1
     ok = np.zeros(len(doc), bool)
     if len(doc) > k:
@@ -156,28 +158,30 @@ def find(index: ItemIndex, ids: np.ndarray, texts: list[str]) -> list[tuple[int,
     doc = w.row[at[rep]]
     item = index.item[k]
     place = at[rep] - w.first[doc]
-    diag = place - index.position[k]
     pair = doc.astype(np.int64) * len(index.ids) + item
     order = np.lexsort((place, pair))
-    pair, doc, item, place, diag = pair[order], doc[order], item[order], place[order], diag[order]
-    good = _spans(place, diag, pair)
+    pair, place = pair[order], place[order]
+    good = _spans(place, pair)
+    pair, place = pair[good], place[good]
+    edge = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1], [True]))) if len(pair) else np.zeros(0, np.int64)
     out = []
-    for p in np.unique(pair[good]):
-        s = good & (pair == p) if len(pair) < 4096 else np.flatnonzero(good)[pair[good] == p]
-        d, i = int(p // len(index.ids)), int(p % len(index.ids))
-        body = index.body(i)
-        text = w.hash[w.first[d] : w.first[d + 1]]
-        lo_, hi_ = int(place[s].min()), int(place[s].max())
-        text = text[max(0, lo_ - WINDOW) : hi_ + BLOCK + WINDOW]
-        # Weighted words in common can't be fewer than those of the lightest window less its changes.
-        both = index.weight(np.intersect1d(body, text)).sum()
-        if both < index.weight(body).min() * (WINDOW - CHANGES) * 0.25:
-            continue
-        if window_within(body, text):
+    for lo_, hi_ in zip(edge[:-1], edge[1:], strict=True):
+        d, i = int(pair[lo_] // len(index.ids)), int(pair[lo_] % len(index.ids))
+        body, text = index.body(i), w.hash[w.first[d] : w.first[d + 1]]
+        if any(index.may_hold(body, x) and window_within(body, x) for x in _pieces(text, place[lo_:hi_])):
             out.append((int(ids[d]), int(index.ids[i])))
     return out
 
 
+def _pieces(text: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of the text around the hits; overlapping parts of bounded length where hits go on for long."""
+    far = np.flatnonzero(np.diff(place) > WINDOW + CHANGES) + 1
+    for hits in np.split(place, far):
+        a, b = max(0, int(hits[0]) - WINDOW), int(hits[-1]) + BLOCK + WINDOW
+        for s in range(a, b, PIECE):
+            yield text[s : min(b, s + PIECE + 2 * WINDOW)]
+
+
 def leaked(documents: DataFrame, items: DataFrame, max_index: int = MAX_INDEX) -> DataFrame:
     """(doc_id, item_id): every document that holds at least WINDOW consecutive words of the item with at most CHANGES changed.
 
@@ -231,11 +235,9 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = []
-            for t, x in zip(pdf["text"], pdf["item"], strict=True):
+            for t, x in zip(pdf["text"], pdf["item"], strict=True):  # overlapping pieces keep the alignment's table small
                 a, b = words([t]).hash, words([item_body(x)]).hash
-                # Overlapping pieces keep the alignment's table small on very long texts.
-                step = 2000
-                ok.append(any(window_within(b, a[s : s + step + 2 * WINDOW]) for s in range(0, max(1, len(a)), step)))
+                ok.append(any(window_within(b, a[s : s + PIECE + 2 * WINDOW]) for s in range(0, max(1, len(a)), PIECE)))
             yield pdf.loc[ok, ["doc_id", "item_id"]]
 
     return full.mapInPandas(verify, "doc_id long, item_id long").distinct()

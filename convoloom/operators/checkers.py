@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from ..functions import patterns as P
 from ..functions import text as T
@@ -142,7 +144,30 @@ def _forbidden(a: Column, p: dict) -> Column:
     return ~a.rlike(r"(?iu)\b\Q" + token.replace("\\E", "") + r"\E\b") if token else F.lit(False)
 
 
+@F.pandas_udf(K.BooleanType())
+def _parses_yaml(text: pd.Series) -> pd.Series:
+    try:
+        import yaml
+    except ImportError:
+        return pd.Series([False] * len(text))
+
+    def one(t: str) -> bool:
+        try:
+            x = yaml.safe_load(t)
+        except (yaml.YAMLError, ValueError, RecursionError):
+            return False
+        return x is not None and not isinstance(x, str)
+
+    return text.map(one)
+
+
+def _yaml(a: Column, p: dict) -> Column:
+    """A document that is more than a bare string; always fails where no YAML parser is installed on the executors."""
+    return _parses_yaml(_unfenced(a))
+
+
 register("json_valid", _json)
+register("yaml_valid", _yaml)
 register("markdown_table", _table)
 register("markdown_format", lambda a, p: a.rlike(r"(?m)^\s*#{1,6}\s+\S|^\s*(?:[-*+]|\d+[.)])\s+\S|\*\*[^*\n]+\*\*|__[^_\n]+__"))
 register("length_tokens", lambda a, p: _within(T.word_count(a), p.get("min_words"), p.get("max_words")))

@@ -150,3 +150,29 @@ def standing_checks(t: DataFrame, rules: DataFrame) -> DataFrame:
     """
     r = rules.withColumnRenamed("turn_index", "rule_turn")
     return r.join(t.select("c", "turn_index", "answer"), "c").filter(F.col("turn_index") > F.col("rule_turn"))
+
+
+def batch_summary(t: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row: conversations, turns, hard fails, share of conversations that pass the gate, mean and median coherence, clean flag.
+
+    scores: c, the axes that are known, and optionally flagged_turns; a conversation without
+    scores is judged by the prefilter alone.
+    """
+    p = prefilter(t)
+    s = p.join(scores, "c", "left")
+    ok = gate(s, F.col("passed"))
+    return s.agg(
+        F.count("*").alias("n_conversations"), F.sum("n_turns").alias("n_turns"), F.sum("n_hard").alias("n_hard_fails"), F.round(F.avg(ok.cast("int")), 4).alias("pass_rate"),
+        F.round(F.avg("coherence"), 4).alias("mean_coherence"), F.round(F.median("coherence"), 4).alias("median_coherence"), (F.sum("n_hard") == 0).alias("clean"),
+    )
+
+
+def acceptance(summary: DataFrame, low: float = 0.65, high: float = 0.95, least: float = 8.0) -> Column:
+    """A batch is accepted if its pass rate lies in the band, the mean coherence reaches the bound, and there is any conversation."""
+    return F.coalesce((F.col("n_conversations") > 0) & F.col("pass_rate").between(low, high) & (F.col("mean_coherence") >= least), F.lit(False))
+
+
+def pass_rates(attempts: DataFrame, by: list[str], least: int = 5, low: float = 0.3, weight: float = 0.25) -> DataFrame:
+    """Pass rate per kind and its sampling weight: lowered where enough attempts passed too rarely."""
+    g = attempts.groupBy(*by).agg(F.count("*").alias("n_attempts"), F.avg(F.col("passed").cast("int")).alias("r"))
+    return g.select(*by, "n_attempts", F.round("r", 4).alias("pass_rate"), F.when((F.col("n_attempts") >= least) & (F.col("r") < low), weight).otherwise(1.0).alias("weight"))

@@ -177,6 +177,33 @@ def think_parse(spark, d):
     return _turns(spark, d).select("c", "turn_index", p["well_formed"].alias("well_formed"), F.length(p["answer"]).alias("n_answer"))
 
 
+def _scores(spark, d):
+    return _completions(spark, d).select(F.col("completion_id").alias("c"), F.col("overall_score").alias("coherence"), F.col("memory_score").alias("appropriateness"))
+
+
+def gate_decision(spark, d):
+    """Accepted conversations: no hard fail, and neither of the two known axes below its minimum."""
+    hard = D.hard_fails(_turns(spark, d)).select("c").distinct().withColumn("bad", F.lit(True))
+    s = _scores(spark, d).join(hard, "c", "left")
+    return s.select("c", D.gate(s, F.col("bad").isNull()).alias("accepted"))
+
+
+def batch_summary(spark, d):
+    s = D.batch_summary(_turns(spark, d), _scores(spark, d))
+    return s.withColumn("accepted", D.acceptance(s))
+
+
+def rule_pass_rates(spark, d):
+    """Pass rate of each of the four rules over all answers, by conversation mode."""
+    t = _completions(spark, d).select("conv_mode", F.explode("interactions").alias("i")).select("conv_mode", F.col("i.answer").alias("answer"))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), C.check(n, F.col("answer"), p).alias("passed")) for n, p in RULES))).alias("x")
+    return D.pass_rates(t.select("conv_mode", each).select("conv_mode", "x.rule", "x.passed"), ["conv_mode", "rule"])
+
+
+def yaml_answers(spark, d):
+    return _mrl(spark, d).select("record_id", C.check("yaml_valid", F.col("answer")).alias("valid"))
+
+
 def q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -299,7 +326,12 @@ ORACLE = {
     "example_ids": _W + "SELECT completion_id, coalesce(_subset, 'unknown_subset') || ':' || coalesce(CAST(_sample_index AS VARCHAR), 'unknown_index') || ':' || left(sha1(coalesce(topics, '')), 12) AS example_id FROM comp",
     "derive_variants": _W + "SELECT completion_id || ':' || variant AS conversation_id, variant, len(interactions) AS n, CASE WHEN variant = 'instruct' THEN 0 ELSE len(list_filter(interactions, lambda x: x.think IS NOT NULL)) END AS n_thinks FROM comp, (VALUES ('reasoning'), ('instruct')) v(variant) WHERE interactions IS NOT NULL",
     "seed_curation": _W + f"SELECT record_id, CASE WHEN {has('t', P.CONTENTLESS)} OR length(t) < 6 THEN 'skip' ELSE 'keep' END AS action, CASE WHEN {has('t', P.SENSITIVE)} THEN 'sensitive' ELSE 'none' END AS sensitivity, length(t) >= 1500 AS is_haystack, {_DOMAIN} AS domain, coalesce(nullif(array_to_string(({_KEPT.replace('query', 't')})[1:6], ' '), ''), nullif(array_to_string(({_QWORDS.replace('query', 't')})[1:6], ' '), ''), 'this topic') AS topic FROM (SELECT *, greatest({', '.join('h_' + n for n in P.DOMAINS)}) AS m FROM (SELECT *, {_HITS} FROM (SELECT record_id, trim(coalesce(query, '')) AS t, lower(trim(coalesce(query, ''))) AS low FROM mrl)))",
+    "gate_decision": _HARD + " SELECT completion_id AS c, completion_id NOT IN (SELECT c FROM hard) AND NOT coalesce(overall_score < 7, false) AND NOT coalesce(memory_score < 7, false) AS accepted FROM comp",
+    "rule_pass_rates": _W
+    + "SELECT conv_mode, rule, count(*) AS n_attempts, round(avg(CAST(passed AS INTEGER)), 4) AS pass_rate, CAST(CASE WHEN count(*) >= 5 AND avg(CAST(passed AS INTEGER)) < 0.3 THEN 0.25 ELSE 1.0 END AS DOUBLE) AS weight FROM ("
+    + " UNION ALL ".join(f"SELECT conv_mode, '{n}' AS rule, {e} AS passed FROM (SELECT conv_mode, coalesce(answer, '') AS answer FROM turns JOIN comp ON c = completion_id)" for n, e in (("length_tokens", f"{_COUNT('answer')} <= 60"), ("max_words_per_sentence", _CHECK_SQL["max_words_per_sentence"]), ("no_gendered_pronouns", _CHECK_SQL["no_gendered_pronouns"]), ("n_lines", f"{_LINES('answer')} = 1")))
+    + ") GROUP BY conv_mode, rule",
     "think_parse": _W + "SELECT c, turn_index, ok AS well_formed, CAST(CASE WHEN ok OR turn_index % 3 = 2 THEN length(regexp_replace(coalesce(answer, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) ELSE length(regexp_replace(coalesce(reasoning, '') || coalesce(answer, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) END AS INTEGER) AS n_answer FROM (SELECT *, turn_index % 3 < 2 AND NOT regexp_matches(trim(regexp_replace(coalesce(reasoning, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), '^(?:\\.{0,3}|…)$') AS ok FROM turns)",
 }
-_OTHERS = ("prefilter_result", "format_bookkeeping", "defect_prevalence", "derive_mixed")
+_OTHERS = ("batch_summary", "yaml_answers", "prefilter_result", "format_bookkeeping", "defect_prevalence", "derive_mixed")
 QUERIES = {n: globals()[n] for n in (*ORACLE, *_OTHERS)}

@@ -100,6 +100,14 @@ def error_replies(spark, d):
     return e.select("seq", "error_type", parsing.count_objects("reply").alias("n_objects"), parsing.parse_judgment("reply")["overall_score"].alias("overall_score"))
 
 
+def rubric_parse(spark, d):
+    """Judge scores written as a rubric inside prose, parsed back, clamped and rounded."""
+    j = judging.latest(table(spark, d, "judge_log")).filter("_status = 'ok'")
+    text = F.concat(F.lit('Verdict: {"coherence": '), F.coalesce(F.col("overall_score").cast("string"), F.lit("null")), F.lit(', "recall_fidelity": '), F.coalesce((F.col("memory_score") + 0.5).cast("string"), F.lit('"x"')), F.lit(', "flagged_turns": [{"turn_index": 1, "severity": 9}], "notes": "a } b"} and more }'))
+    x = j.select("_eval_id", "_model", parsing.parse_rubric(text).alias("r"))
+    return x.select("_eval_id", "_model", "r.coherence", "r.recall_fidelity", F.col("r.flagged_turns")[0]["severity"].alias("severity"))
+
+
 def interactions_parse(spark, d):
     """Interactions written as JSON and parsed back: the number of interactions survives."""
     c = V.latest_rows(table(spark, d, "reasoning_completions"), "completion_id").filter("interactions IS NOT NULL")
@@ -127,6 +135,7 @@ ORACLE = {
     "constraint_stack": _W + f", r AS (SELECT c, turn_index, {_TYPE}[(c + turn_index) % {len(TYPES)} + 1] AS type, (c + 2 * turn_index) % 5 < 4 AS lasting FROM turns) SELECT t.c, t.turn_index, coalesce((SELECT string_agg(a.type, ',' ORDER BY a.turn_index) FROM r a WHERE a.c = t.c AND a.turn_index <= t.turn_index AND a.lasting AND NOT EXISTS (SELECT 1 FROM r k WHERE k.c = a.c AND k.turn_index > a.turn_index AND k.turn_index <= t.turn_index AND k.lasting AND k.type <> a.type AND ((k.type IN ({_FORM}) AND a.type IN ({_FORM})) OR (k.type IN ({_START}) AND a.type IN ({_START}))))), '') AS active FROM r t",
     "fact_history": "SELECT c, list_last(v) AS value, p AS planted_turn, array_to_string(v[1:len(v) - 1], ',') AS stale, CAST(len(v) - 1 AS BIGINT) AS n_updates FROM (SELECT _eval_id AS c, list(CAST(judgment.overall_score AS VARCHAR) ORDER BY seq) AS v, min(seq) AS p FROM judge_log WHERE _status = 'ok' AND _eval_id IS NOT NULL AND judgment.overall_score IS NOT NULL GROUP BY _eval_id)",
     "interactions_parse": _W + "SELECT completion_id, CAST(len(interactions) AS BIGINT) AS n FROM comp WHERE interactions IS NOT NULL",
+    "rubric_parse": judges._W + "SELECT _eval_id, _model, CASE WHEN overall_score IS NOT NULL THEN least(10, greatest(1, overall_score)) END AS coherence, CASE WHEN memory_score IS NOT NULL THEN least(10, greatest(1, CAST(round_even(memory_score + 0.5, 0) AS INTEGER))) END AS recall_fidelity, CASE WHEN overall_score IS NOT NULL OR memory_score IS NOT NULL THEN 3 END AS severity FROM ok",
     "stream_latest": judges.ORACLE["judge_latest"],
 }
 _OTHERS = ("greedy_near_dup", "bleu_topic_filter", "name_replacement", "error_replies", "mock_judging", "conversation_plan")

@@ -112,7 +112,7 @@ def test_guard_against_negation(spark):
         ("first_letter", "The one. That two.", {"letter": "T"}, True), ("first_letter", "The one. A two.", {"letter": "t"}, False), ("first_letter", "", {"letter": "t"}, False),
         ("max_words_per_sentence", "One two. Three.", {"max_words": 2}, True), ("forbidden_token", "a model b", {"token": "Model"}, False), ("forbidden_token", "models", {"token": "model"}, True),
         ("no_gendered_pronouns", "He went", {}, False), ("no_gendered_pronouns", "They went", {}, True), ("alphabetical_sentence_starts", "A b. B c. C d.", {}, True), ("alphabetical_sentence_starts", "B c. A b.", {}, False),
-        ("alphabetical_sentence_starts", "A b. A c.", {"strict": True}, False), ("limerick_structure", "a\nb\nc\nd\ne", {}, True), ("markdown_table", "| a | b |\n|---|---|\n| 1 | 2 |", {}, True), ("markdown_format", "# Title", {}, True), ("unknown_type", "x", {}, False), ("json_valid", None, {}, False),
+        ("alphabetical_sentence_starts", "A b. A c.", {"strict": True}, False), ("limerick_structure", "a\nb\nc\nd\ne", {}, True), ("markdown_table", "| a | b |\n|---|---|\n| 1 | 2 |", {}, True), ("markdown_format", "# Title", {}, True), ("yaml_valid", "a: 1\nb: [2, 3]", {}, True), ("yaml_valid", "A plain sentence.", {}, False), ("yaml_valid", "", {}, False), ("yaml_valid", "a: [1", {}, False), ("unknown_type", "x", {}, False), ("json_valid", None, {}, False),
     ],
 )
 def test_checkers(spark, name, text, params, want):
@@ -176,6 +176,17 @@ def test_gate(spark):
     assert {i: g for i, g in df.select("id", detectors.gate(df, F.col("passed"))).collect()} == {"ok": True, "low": False, "flag": False, "pre": False, "absent": True}
 
 
+def test_batch_summary_and_rates(spark):
+    t = turns(spark, ("a", 0, "q", "Plain thought.", "Fine answer."), ("b", 0, "q", "As per the system prompt", "Fine answer."), ("c", 0, "q", "Plain.", "Fine."))
+    s = spark.createDataFrame([("a", 9), ("b", 9), ("c", 5)], "c string, coherence int")
+    b = detectors.batch_summary(t, s)
+    assert tuple(b.first()) == (3, 3, 1, 0.3333, 7.6667, 9.0, False)
+    assert b.select(detectors.acceptance(b, 0.3, 1.0, 7.0), detectors.acceptance(b)).first()[:] == (True, False)
+    assert tuple(detectors.batch_summary(t.limit(0), s).first())[0] == 0
+    r = spark.createDataFrame([("x", False)] * 6 + [("y", True)], "k string, passed boolean")
+    assert rows_of(detectors.pass_rates(r, ["k"])) == [("x", 6, 0.0, 0.25), ("y", 1, 1.0, 1.0)]
+
+
 def test_standing_checks(spark):
     t = turns(spark, ("c", 0, "q", "r", '{"a": 1}'), ("c", 1, "q", "r", '{"b": 2}'), ("c", 2, "q", "r", "plain"), ("d", 0, "q", "r", "x"))
     j = detectors.standing_checks(t, t.filter("turn_index = 0").select("c", "turn_index"))

@@ -170,3 +170,7 @@ GENDERED_PRONOUNS = "he him his she her hers himself herself".split()
 FORM_CONSTRAINTS = ("json_valid", "yaml_valid", "markdown_table", "markdown_format", "limerick_structure")
 START_CONSTRAINTS = ("first_letter", "alphabetical_sentence_starts")
 GATE_MINIMA = {"coherence": 7, "appropriateness": 7, "reasoning_quality": 7, "reasoning_answer_consistency": 7, "sycophancy_resistance": 7, "factual_grounding": 7, "instruction_following": 6, "user_query_quality": 6}
+BAD_FACT = r"\b(?:account|subscription|billing|invoice|payment|password|api[ _-]?key|access[ _-]?token|badge|membership|premium|plan\b|tier[- ]?\d|order[ _-]?number|credit[ _-]?card|ssn|social security|license[ _-]?key)\b"
+TRANSFORM_INTENTS = ("reformat", "lexical_constraint", "restyle", "compress", "genre_convert")
+MEMORY_INTENTS = ("fact_recall", "fact_update")
+SENSITIVE_INTENTS = ("deepen", "expand", "compress", "open_chat", "self_critique")

@@ -162,3 +162,28 @@ def seeds(df: DataFrame, key: str, query: str = "query") -> DataFrame:
     q = F.trim(T.text(query))
     skip = T.has(q, P.CONTENTLESS) | (F.length(q) < 6)
     return df.select(F.col(key), F.when(skip, "skip").otherwise("keep").alias("action"), F.when(T.has(q, P.SENSITIVE), "sensitive").otherwise("none").alias("sensitivity"), (F.length(q) >= 1500).alias("is_haystack"), T.domain(q).alias("domain"), T.topic(q).alias("topic"))
+
+
+def extracted(df: DataFrame) -> DataFrame:
+    """interactions, and the system text where it isn't blank; rows without interactions are left out."""
+    system = F.when(~blank(F.col("system")), F.col("system")) if "system" in df.columns else F.lit(None).cast("string")
+    return df.filter(F.col("interactions").isNotNull()).select(system.alias("system"), "interactions")
+
+
+def stripped(interactions: Column) -> Column:
+    """Interactions with white space around query and answer removed; thinks stay."""
+    return F.transform(interactions, lambda x: x.withField("query", F.trim(x["query"])).withField("answer", F.trim(x["answer"])))
+
+
+def materialised(df: DataFrame, repo: str, by: str, key: str, n: int, split: str = "train", seed: int = 42) -> DataFrame:
+    """A seeded sample of n rows per subset with its origin and its index within the subset."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    w = Window.partitionBy(by).orderBy("_h", key)
+    x = df.withColumn("_h", h).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    return x.withColumns({"_source_repo": F.lit(repo), "_split": F.lit(split), "_sample_index": F.col("_rn") - 1, "_sampling_seed": F.lit(seed)}).drop("_h", "_rn")
+
+
+def dangling_notes(interactions: Column) -> Column:
+    """Self-containment notes: array<struct<turn_index, phrases>> of the answers that lean on dropped reasoning."""
+    notes = F.transform(interactions, lambda x, i: F.struct(i.alias("turn_index"), F.regexp_extract_all(T.text(x["answer"]), F.lit("(?i)(" + "|".join(f"(?:{p})" for p in P.DANGLING) + ")"), 1).alias("phrases")))
+    return F.filter(notes, lambda v: F.size(v["phrases"]) > 0)

@@ -9,6 +9,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import checkers as C
 from ..operators import conversations as V
+from ..operators import crossturn as X
 from ..operators import detectors as D
 from ..sources.tables import table
 
@@ -200,6 +201,43 @@ def rule_pass_rates(spark, d):
     return D.pass_rates(t.select("conv_mode", each).select("conv_mode", "x.rule", "x.passed"), ["conv_mode", "rule"])
 
 
+def _facts(spark, d):
+    """The first capitalised word of a turn's query as the value of the conversation's one fact."""
+    name = F.regexp_extract(T.text("query"), r"\b([A-Z][a-z]{5,})\b", 1)
+    return _turns(spark, d).select("c", F.lit("name").alias("fact_id"), F.col("turn_index").alias("turn"), name.alias("value")).filter("value <> ''")
+
+
+def cross_turn_checks(spark, d):
+    """Even turns must update the fact, odd ones recall it."""
+    t = _turns(spark, d).withColumns({"fact_id": F.lit("name"), "kind": F.when(F.col("turn_index") % 2 == 0, "update_overwrite").otherwise("delayed_recall")})
+    return X.recall_checks(t, _facts(spark, d))
+
+
+def cross_turn_pass_rate(spark, d):
+    return X.pass_rate(cross_turn_checks(spark, d))
+
+
+def turn_verification(spark, d):
+    """First failure of each turn; the own rule is that of its number, and every third turn is a compression."""
+    own = F.coalesce(*(F.when(F.col("turn_index") % len(RULES) == i, C.check(n, F.col("answer"), p)) for i, (n, p) in enumerate(RULES)))
+    t = _turns(spark, d).withColumn("intent", F.when(F.col("turn_index") % 3 == 1, "compress"))
+    return X.verified(t, own).groupBy(F.coalesce("failure", F.lit("verified")).alias("result")).agg(F.count("*").alias("n"))
+
+
+def record_defect_counts(spark, d):
+    """Defects of conversations whose plan is derived from their numbers."""
+    k = F.pmod(F.col("c") + F.col("turn_index"), F.lit(5))
+    intent = F.element_at(F.array(*map(F.lit, ("compress", "fact_recall", "fact_update", "restyle", "deepen"))), (k + 1).cast("int"))
+    name = F.regexp_extract(T.text("query"), r"\b([A-Z][a-z]{5,})\b", 1)
+    t = _turns(spark, d).withColumns({"intent": intent, "scope": F.when(k == 1, "delayed_recall"), "planted_turn": F.lit(0), "value": F.when(k == 2, F.lit("premium plan")).otherwise(name), "stale_values": F.array(F.lit("Zanzibar"))})
+    c = _scores(spark, d).join(_completions(spark, d).select(F.col("completion_id").alias("c"), F.col("topics").alias("first_query")), "c").withColumn("sensitive", F.col("c") % 7 == 0)
+    return X.record_defects(t, c).groupBy("defect").agg(F.count("*").alias("n"))
+
+
+def materialised_subsets(spark, d):
+    return V.materialised(_mrl(spark, d).select("record_id", "_subset").filter("_subset IS NOT NULL"), "invented", "_subset", "record_id", 3)
+
+
 def yaml_answers(spark, d):
     return _mrl(spark, d).select("record_id", C.check("yaml_valid", F.col("answer")).alias("valid"))
 
@@ -297,7 +335,17 @@ _HITS = ", ".join(f"{' + '.join(f'CAST(contains(low, {q(k)}) AS INTEGER)' for k
 _QWORDS = "regexp_extract_all(coalesce(query, ''), '[A-Za-z0-9'']+')"
 _KEPT = f"list_filter({_QWORDS}, lambda s: lower(s) NOT IN ({', '.join(map(q, P.TOPIC_STOPWORDS))}))"
 
+_NORM = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+_NAME = "regexp_extract(coalesce(query, ''), '\\b([A-Z][a-z]{5,})\\b', 1)"
+_FACTS = _W + f", ev AS (SELECT c, turn_index AS turn, {_NAME} AS value FROM turns WHERE {_NAME} <> ''), chk AS (SELECT c, turn_index, CASE WHEN turn_index % 2 = 0 THEN 'update_overwrite' ELSE 'delayed_recall' END AS kind, CASE WHEN turn_index % 2 = 1 THEN coalesce(contains({_NORM('answer')}, {_NORM('last')}) AND last IS NOT NULL, false) ELSE coalesce(NOT {has('answer', P.RECALL_REFUSAL)} AND now IS NOT NULL AND contains({_NORM('answer')}, {_NORM('now')}) AND len(list_filter(olds, lambda s: contains({_NORM('answer')}, {_NORM('s')}))) = 0, false) END AS passed FROM (SELECT t.*, (SELECT max_by(value, turn) FROM ev WHERE ev.c = t.c) AS last, (SELECT max_by(value, turn) FROM ev WHERE ev.c = t.c AND turn <= t.turn_index) AS now, coalesce((SELECT list(value ORDER BY turn) FROM ev WHERE ev.c = t.c AND turn <= t.turn_index)[:-2], []) AS olds FROM turns t))"
+_OWN = f"CASE turn_index % 4 WHEN 0 THEN {_COUNT('answer')} <= 60 WHEN 1 THEN {_CHECK_SQL['max_words_per_sentence']} WHEN 2 THEN {_CHECK_SQL['no_gendered_pronouns'].replace('lower(answer)', 'lower(coalesce(answer, ' + chr(39) * 2 + '))')} ELSE {_LINES('answer')} = 1 END"
+_QUALITY = f"CASE WHEN length({_TRIMMED}) < 8 THEN 'too_short' WHEN len({_WORDS(_TRIMMED)}) < 2 THEN 'too_few_words' WHEN {has(_TRIMMED, P.REFUSAL)} THEN 'refusal' WHEN {_repeat(_TRIMMED)} > 0.5 THEN 'repetition' END"
+
 ORACLE = {
+    "cross_turn_checks": _FACTS + " SELECT * FROM chk",
+    "cross_turn_pass_rate": _FACTS + " SELECT count(*) AS n_checks, count(*) FILTER (WHERE passed) AS n_passed, round(avg(CAST(passed AS INTEGER)), 4) AS pass_rate FROM chk",
+    "turn_verification": _W + f", v AS (SELECT *, lag(answer) OVER (PARTITION BY c ORDER BY turn_index) AS prior, {_QUALITY} AS ql FROM turns) SELECT CASE WHEN ql IS NOT NULL THEN 'quality: ' || ql WHEN {has('answer', P.MEMORY_DISCLAIMER)} THEN 'memory disclaimer' WHEN {has('answer', P.COT_LEAK)} THEN 'leaked thought' WHEN turn_index % 3 = 1 AND regexp_matches(coalesce(prior, ''), '\\S') AND lower({_CLEAN('answer')}) = lower({_CLEAN('prior')}) THEN 'identical to prior answer' WHEN {has('reasoning', P.SPEC_LEAK)} THEN 'rule names in reasoning' WHEN {_KINDS['harness_in_reasoning']} THEN 'harness_leak' WHEN {_KINDS['turn_index_in_reasoning']} THEN 'turn_index' WHEN {_KINDS['numbered_flow_in_reasoning']} THEN 'flow_list' WHEN {_DEGENERATE('reasoning')} THEN 'degenerate' WHEN {_RESTARTS('reasoning')} >= {P.RESTARTS_FAIL} THEN 'restart_spiral' WHEN NOT ({_OWN}) THEN 'own rule' ELSE 'verified' END AS result, count(*) AS n FROM v GROUP BY 1",
+    "materialised_subsets": _W + "SELECT record_id, _subset, 'invented' AS _source_repo, 'train' AS _split, CAST(rn - 1 AS INTEGER) AS _sample_index, 42 AS _sampling_seed FROM (SELECT record_id, _subset, row_number() OVER (PARTITION BY _subset ORDER BY md5('42:' || record_id), record_id) AS rn FROM mrl WHERE _subset IS NOT NULL) WHERE rn <= 3",
     "turn_rows": _W + "SELECT * FROM turns",
     "conversation_stats": _W + "SELECT completion_id, CAST(coalesce(len(interactions), 0) AS INTEGER) AS n_interactions, CAST(coalesce(list_sum(list_transform(interactions, lambda x: length(coalesce(x.query, '')) + length(coalesce(x.think, '')) + length(coalesce(x.answer, '')))), 0) AS BIGINT) AS n_chars FROM comp",
     "interactions_nonempty": _W + f"SELECT completion_id FROM comp WHERE completion_id NOT IN (SELECT c FROM turns WHERE {_BLANK('query')} OR {_BLANK('answer')})",
@@ -333,5 +381,5 @@ ORACLE = {
     + ") GROUP BY conv_mode, rule",
     "think_parse": _W + "SELECT c, turn_index, ok AS well_formed, CAST(CASE WHEN ok OR turn_index % 3 = 2 THEN length(regexp_replace(coalesce(answer, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) ELSE length(regexp_replace(coalesce(reasoning, '') || coalesce(answer, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) END AS INTEGER) AS n_answer FROM (SELECT *, turn_index % 3 < 2 AND NOT regexp_matches(trim(regexp_replace(coalesce(reasoning, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), '^(?:\\.{0,3}|…)$') AS ok FROM turns)",
 }
-_OTHERS = ("batch_summary", "yaml_answers", "prefilter_result", "format_bookkeeping", "defect_prevalence", "derive_mixed")
+_OTHERS = ("record_defect_counts", "batch_summary", "yaml_answers", "prefilter_result", "format_bookkeeping", "defect_prevalence", "derive_mixed")
 QUERIES = {n: globals()[n] for n in (*ORACLE, *_OTHERS)}

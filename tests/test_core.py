@@ -15,6 +15,7 @@ from convoloom.functions import patterns as P
 from convoloom.functions import text as T
 from convoloom.operators import checkers as C
 from convoloom.operators import conversations as V
+from convoloom.operators import crossturn as X
 from convoloom.operators import dedup, detectors, generate, judging
 from convoloom.operators import records as R
 from convoloom.sources import readers, writers
@@ -434,3 +435,58 @@ def test_entry():
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) > 60
+
+
+# ------------------------------------------------------------------ cross-turn checks
+
+
+def test_recall_and_update_checks(spark):
+    events = spark.createDataFrame([("c", "f", 0, "red boat"), ("c", "f", 2, "blue boat")], "c string, fact_id string, turn int, value string")
+    t = spark.createDataFrame(
+        [("c", 1, "It is the red boat.", "f", "delayed_recall"), ("c", 2, "Now the blue boat.", "f", "update_overwrite"), ("c", 3, "Red boat, then blue boat", "f", "update_overwrite"), ("c", 4, "THE BLUE-BOAT", "f", "delayed_recall"), ("c", 5, "x", "g", "delayed_recall"), ("c", 6, "x", None, "delayed_recall")],
+        "c string, turn_index int, answer string, fact_id string, kind string",
+    )
+    got = {i: p for _, i, _, p in rows_of(X.recall_checks(t, events))}
+    assert got == {1: False, 2: True, 3: False, 4: True, 5: False}
+    assert tuple(X.pass_rate(X.recall_checks(t, events)).first()) == (5, 2, 0.4) and tuple(X.pass_rate(X.recall_checks(t.limit(0), events)).first()) == (0, 0, 1.0)
+
+
+def test_verification_order(spark):
+    good = "This is a fine answer about boats."
+    t = turns(spark, ("a", 0, "q", "fine", good), ("a", 1, "q", "fine", good), ("b", 0, "q", "top_type rule", good), ("c", 0, "q", "as per the system", good), ("d", 0, "q", "fine", "x"), ("e", 0, "q", "fine", None))
+    got = {(c, i): f for c, i, f in X.verified(t.withColumn("intent", F.lit("compress"))).collect()}
+    assert got == {("a", 0): None, ("a", 1): "identical to prior answer", ("b", 0): "rule names in reasoning", ("c", 0): "harness_leak", ("d", 0): "quality: too_short", ("e", 0): "quality: too_short"}
+    assert {f for _, _, f in X.verified(t, own=F.lit(False)).filter("c = 'a'").collect()} == {"own rule"}
+
+
+def test_record_defects(spark):
+    schema = TURN + ", intent string, scope string, planted_turn int, value string, stale_values array<string>"
+    t = spark.createDataFrame(
+        [
+            ("a", 0, "my cat is Tom", "r", "ok", "open_chat", None, None, None, None), ("a", 1, "what is my cat called, Tom?", "r", "Tom", "fact_recall", "delayed_recall", 0, "Tom", None),
+            ("a", 2, "now Max", "r", "Max", "fact_update", None, 0, "premium plan", ["Tom", "Zoe"]), ("b", 0, "q", "r", "same", "restyle", None, None, None, None), ("b", 1, "q", "r", "same ", "restyle", None, None, None, None), ("n", 0, None, None, None, None, None, None, None, None),
+        ],
+        schema,
+    )
+    c = spark.createDataFrame([("a", "tell me of cats", False, 9, 9), ("b", "hello!", True, 5, None), ("n", None, None, None, None)], "c string, first_query string, sensitive boolean, coherence int, appropriateness int")
+    assert set(rows_of(X.record_defects(t, c))) == {
+        ("a", 1, "same_turn_fact"), ("a", 2, "phantom_stale"), ("a", 2, "bad_fact_type"), ("b", 0, "sensitive_flippant"), ("b", 1, "sensitive_flippant"), ("b", 1, "identical_rewrite"),
+        ("b", -1, "transformation_density"), ("b", -1, "contentless_seed_kept"), ("b", -1, "judge_low"), ("n", -1, "contentless_seed_kept"),
+    }
+
+
+def test_policies_and_fact_cleanup(spark):
+    t = spark.createDataFrame([("c", 0, 0, None), ("c", 5, 1, 1), ("c", 4, None, 1)], "c string, turn_index int, n_active int, oldest_fact int")
+    assert rows_of(X.valid_policies(t)) == [("c", 0, False, False, False), ("c", 4, False, True, False), ("c", 5, True, True, True)]
+    f = spark.createDataFrame([(1, [("the cat", "Tom", None), ("dog", "tom", None), ("x", "y", None), ("account", "number", None), (None, "zz", None), ("a", "bb", "cc"), ("b", "cc", None), ("c", "dd", None), ("d", "ee", None)]), (2, None)], "id int, facts array<struct<label:string,value:string,new_value:string>>")
+    assert rows_of(X.clean_facts(f, "id").select("position", "label", "value")) == [(0, "cat", "Tom"), (1, "a", "bb"), (2, "b", "cc"), (3, "c", "dd")]
+
+
+def test_extract_strip_materialise_notes(spark):
+    df = conv(spark, (1, [(" q ", " t ", "as shown above it is")], 1), (2, None, 1))
+    assert V.extracted(df.withColumn("system", F.lit("  "))).collect()[0][0] is None and V.extracted(df).count() == 1
+    assert tuple(df.filter("id = 1").select(V.stripped(F.col("interactions"))).first()[0][0]) == ("q", " t ", "as shown above it is")
+    assert [tuple(x) for x in df.filter("id = 1").select(V.dangling_notes(F.col("interactions"))).first()[0]] == [(0, ["as shown above"])]
+    m = V.materialised(spark.range(100).withColumn("_subset", F.col("id") % 2), "r", "_subset", "id", 5)
+    assert sorted(x["_sample_index"] for x in m.collect()) == sorted(list(range(5)) * 2)
+    assert one(spark, "﻿text", writers.clean_utf8(F.encode(F.col("x"), "UTF-8"))) == ("text",)

@@ -174,3 +174,7 @@ BAD_FACT = r"\b(?:account|subscription|billing|invoice|payment|password|api[ _-]
 TRANSFORM_INTENTS = ("reformat", "lexical_constraint", "restyle", "compress", "genre_convert")
 MEMORY_INTENTS = ("fact_recall", "fact_update")
 SENSITIVE_INTENTS = ("deepen", "expand", "compress", "open_chat", "self_critique")
+EXPLORATORY_CUES = (
+    "thinking process", "final output", "as per", "as an ai", "i should comply", "i must follow", "policy", "guideline", "safe completion", "disallowed", "openai", "system prompt",
+    "system instruction", "persona:", "audience:", "tone:", "format:", "word count", "the user wants me to", "i need to produce", "must honor", "matches the provided", "suggested response", "good response",
+)

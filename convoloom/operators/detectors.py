@@ -176,3 +176,16 @@ def pass_rates(attempts: DataFrame, by: list[str], least: int = 5, low: float =
     """Pass rate per kind and its sampling weight: lowered where enough attempts passed too rarely."""
     g = attempts.groupBy(*by).agg(F.count("*").alias("n_attempts"), F.avg(F.col("passed").cast("int")).alias("r"))
     return g.select(*by, "n_attempts", F.round("r", 4).alias("pass_rate"), F.when((F.col("n_attempts") >= least) & (F.col("r") < low), weight).otherwise(1.0).alias("weight"))
+
+
+def exploratory_cues(t: DataFrame) -> DataFrame:
+    """(cue, n): how many reasonings that the leak patterns pass still hold each cue."""
+    low = F.lower(T.text("reasoning"))
+    x = t.filter(~T.has(F.col("reasoning"), P.HARNESS)).select(F.explode(F.array_compact(F.array(*(F.when(F.contains(low, F.lit(c)), F.lit(c)) for c in P.EXPLORATORY_CUES)))).alias("cue"))
+    return x.groupBy("cue").agg(F.count("*").alias("n"))
+
+
+def axis_means(scores: DataFrame, by: str) -> DataFrame:
+    """Means of all numeric axes per judge, to compare two judges of the same conversations."""
+    axes = [f.name for f in scores.schema.fields if f.name != by and f.dataType.typeName() in ("integer", "long", "double")]
+    return scores.groupBy(by).agg(F.count("*").alias("n"), *(F.round(F.avg(a), 4).alias(a) for a in axes))

@@ -78,3 +78,24 @@ def plan(seeds: DataFrame, key: str, turns: int, mix: dict[str, float], seed: in
         at += w / total
         pick = F.when(u < at, name) if pick is None else pick.when(u < at, name)
     return x.select(key, "turn_index", F.when(F.col("turn_index") == 1, "explore").otherwise(F.coalesce(pick, F.lit(list(mix)[-1]))).alias("category"))
+
+
+def draw_pairs(rows: DataFrame, key: list[str], intents: dict[str, float], policies: dict[str, float], invalid: set[tuple[str, str]] = frozenset(), allowed: str | None = None, seed: int = 42) -> DataFrame:
+    """rows with intent and policy drawn independently by weight, given that the pair is valid.
+
+    Drawing until a valid pair comes has a closed form: pairs are drawn by the product
+    of their weights among the valid ones.  `allowed` names an ARRAY<STRING> column of
+    permitted intents; null permits all, and a row without any permitted intent gets nulls.
+    """
+    pairs = [(i, p, w * v) for i, w in intents.items() for p, v in policies.items() if (i, p) not in invalid and w * v > 0]
+    if not pairs:
+        raise ValueError("no valid pair of intent and policy")
+    table = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.lit(float(w)).alias("w")) for i, p, w in pairs))
+    ok = table if allowed is None else F.when(F.col(allowed).isNull(), table).otherwise(F.filter(table, lambda x: F.array_contains(F.coalesce(F.col(allowed), F.array().cast("array<string>")), x["i"])))
+    u = F.pmod(F.xxhash64(F.lit(seed), *(F.col(k).cast("string") for k in key)), F.lit(1 << 40)) / (1 << 40)
+    total = F.aggregate("_ok", F.lit(0.0), lambda a, x: a + x["w"])
+    none = F.lit(None).cast("struct<i:string,p:string,w:double>")
+    # The fold keeps the weight passed so far and the first pair that passes the target.
+    pick = F.aggregate("_ok", F.struct(F.lit(0.0).alias("s"), none.alias("x")), lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(a["x"].isNull() & (a["s"] + x["w"] > F.col("_u") * F.col("_t")), x).otherwise(a["x"]).alias("x")))["x"]
+    out = rows.withColumns({"_ok": ok, "_u": u}).withColumn("_t", total).withColumn("_x", F.coalesce(pick, F.try_element_at("_ok", F.lit(-1))))
+    return out.withColumns({"intent": F.col("_x.i"), "policy": F.col("_x.p")}).drop("_ok", "_u", "_t", "_x")

@@ -178,6 +178,10 @@ def think_parse(spark, d):
     return _turns(spark, d).select("c", "turn_index", p["well_formed"].alias("well_formed"), F.length(p["answer"]).alias("n_answer"))
 
 
+def exploratory_cues(spark, d):
+    return D.exploratory_cues(_turns(spark, d))
+
+
 def _scores(spark, d):
     return _completions(spark, d).select(F.col("completion_id").alias("c"), F.col("overall_score").alias("coherence"), F.col("memory_score").alias("appropriateness"))
 
@@ -342,6 +346,7 @@ _OWN = f"CASE turn_index % 4 WHEN 0 THEN {_COUNT('answer')} <= 60 WHEN 1 THEN {_
 _QUALITY = f"CASE WHEN length({_TRIMMED}) < 8 THEN 'too_short' WHEN len({_WORDS(_TRIMMED)}) < 2 THEN 'too_few_words' WHEN {has(_TRIMMED, P.REFUSAL)} THEN 'refusal' WHEN {_repeat(_TRIMMED)} > 0.5 THEN 'repetition' END"
 
 ORACLE = {
+    "exploratory_cues": _W + "SELECT cue, count(*) AS n FROM turns, (VALUES " + ", ".join(f"({q(c)})" for c in P.EXPLORATORY_CUES) + f") v(cue) WHERE contains(lower(coalesce(reasoning, '')), cue) AND NOT {has('reasoning', P.HARNESS)} GROUP BY cue",
     "cross_turn_checks": _FACTS + " SELECT * FROM chk",
     "cross_turn_pass_rate": _FACTS + " SELECT count(*) AS n_checks, count(*) FILTER (WHERE passed) AS n_passed, round(avg(CAST(passed AS INTEGER)), 4) AS pass_rate FROM chk",
     "turn_verification": _W + f", v AS (SELECT *, lag(answer) OVER (PARTITION BY c ORDER BY turn_index) AS prior, {_QUALITY} AS ql FROM turns) SELECT CASE WHEN ql IS NOT NULL THEN 'quality: ' || ql WHEN {has('answer', P.MEMORY_DISCLAIMER)} THEN 'memory disclaimer' WHEN {has('answer', P.COT_LEAK)} THEN 'leaked thought' WHEN turn_index % 3 = 1 AND regexp_matches(coalesce(prior, ''), '\\S') AND lower({_CLEAN('answer')}) = lower({_CLEAN('prior')}) THEN 'identical to prior answer' WHEN {has('reasoning', P.SPEC_LEAK)} THEN 'rule names in reasoning' WHEN {_KINDS['harness_in_reasoning']} THEN 'harness_leak' WHEN {_KINDS['turn_index_in_reasoning']} THEN 'turn_index' WHEN {_KINDS['numbered_flow_in_reasoning']} THEN 'flow_list' WHEN {_DEGENERATE('reasoning')} THEN 'degenerate' WHEN {_RESTARTS('reasoning')} >= {P.RESTARTS_FAIL} THEN 'restart_spiral' WHEN NOT ({_OWN}) THEN 'own rule' ELSE 'verified' END AS result, count(*) AS n FROM v GROUP BY 1",

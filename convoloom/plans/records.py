@@ -126,6 +126,13 @@ def conversation_plan(spark, d):
     return generate.plan(s, "record_id", 6, {"explore": 0.5, "transform": 0.3, "memory": 0.2})
 
 
+def sampled_pairs(spark, d):
+    """Share of each intent and policy among drawn pairs: the mask's product weights."""
+    s = V.latest_rows(table(spark, d, "mrl_records"), "record_id").select("record_id")
+    x = generate.draw_pairs(s, ["record_id"], {"reformat": 2, "deepen": 3, "fact_recall": 1}, {"immediate": 30, "standing": 20, "delayed_recall": 25}, {("deepen", "delayed_recall"), ("fact_recall", "standing")})
+    return x.groupBy("intent", "policy").agg(F.count("*").alias("n"))
+
+
 _TYPE = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
 _FORM, _START = (", ".join(f"'{t}'" for t in g) for g in (("json_valid", "yaml_valid", "markdown_table"), ("first_letter", "alphabetical_sentence_starts")))
 _W = Q._W
@@ -138,5 +145,5 @@ ORACLE = {
     "rubric_parse": judges._W + "SELECT _eval_id, _model, CASE WHEN overall_score IS NOT NULL THEN least(10, greatest(1, overall_score)) END AS coherence, CASE WHEN memory_score IS NOT NULL THEN least(10, greatest(1, CAST(round_even(memory_score + 0.5, 0) AS INTEGER))) END AS recall_fidelity, CASE WHEN overall_score IS NOT NULL OR memory_score IS NOT NULL THEN 3 END AS severity FROM ok",
     "stream_latest": judges.ORACLE["judge_latest"],
 }
-_OTHERS = ("greedy_near_dup", "bleu_topic_filter", "name_replacement", "error_replies", "mock_judging", "conversation_plan")
+_OTHERS = ("greedy_near_dup", "bleu_topic_filter", "name_replacement", "error_replies", "mock_judging", "conversation_plan", "sampled_pairs")
 QUERIES = {n: globals()[n] for n in (*ORACLE, *_OTHERS)}

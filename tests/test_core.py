@@ -18,7 +18,7 @@ from convoloom.operators import conversations as V
 from convoloom.operators import crossturn as X
 from convoloom.operators import dedup, detectors, generate, judging
 from convoloom.operators import records as R
-from convoloom.sources import readers, writers
+from convoloom.sources import config, readers, writers
 from convoloom.streaming import judgelog
 
 TURN = "c string, turn_index int, query string, reasoning string, answer string"
@@ -490,3 +490,25 @@ def test_extract_strip_materialise_notes(spark):
     m = V.materialised(spark.range(100).withColumn("_subset", F.col("id") % 2), "r", "_subset", "id", 5)
     assert sorted(x["_sample_index"] for x in m.collect()) == sorted(list(range(5)) * 2)
     assert one(spark, "﻿text", writers.clean_utf8(F.encode(F.col("x"), "UTF-8"))) == ("text",)
+
+
+def test_drawn_pairs_follow_weights(spark):
+    df = spark.range(20_000).withColumn("allowed", F.when(F.col("id") % 10 == 0, F.array(F.lit("b"))).when(F.col("id") % 10 == 1, F.array(F.lit("z"))))
+    x = generate.draw_pairs(df, ["id"], {"a": 3, "b": 1}, {"p": 1, "q": 1}, {("a", "q")}, "allowed")
+    n = {(i, p): c for i, p, c in x.filter("id % 10 > 1").groupBy("intent", "policy").count().collect()}
+    assert set(n) == {("a", "p"), ("b", "p"), ("b", "q")} and abs(n["a", "p"] / sum(n.values()) - 0.6) < 0.02
+    assert {r[0] for r in x.filter("id % 10 = 0").select("intent").distinct().collect()} == {"b"} and x.filter("id % 10 = 1 AND intent IS NOT NULL").count() == 0
+    with pytest.raises(ValueError, match="no valid pair"):
+        generate.draw_pairs(df, ["id"], {"a": 1}, {"p": 1}, {("a", "p")})
+
+
+def test_config_and_cues(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("seed: 7\nodd: 1\ninvalid_pairs: [[a, b]]\n")
+    c = config.config(str(tmp_path / "c.yaml"))
+    assert c.seed == 7 and c.invalid_pairs == [("a", "b")] and c.samples_per_subset == 100
+    (tmp_path / "l.json").write_text("[1]")
+    with pytest.raises(ValueError, match="no object"):
+        config.mapping(str(tmp_path / "l.json"))
+    t = turns(spark, ("a", 0, "q", "a policy on boats, tone: calm", "x"), ("b", 0, "q", "openai policy", "x"), ("c", 0, "q", None, "x"))
+    assert rows_of(detectors.exploratory_cues(t)) == [("policy", 1), ("tone:", 1)]
+    assert rows_of(detectors.axis_means(spark.createDataFrame([("m", 4), ("m", 5), ("n", None)], "judge string, q int"), "judge")) == [("m", 2, 4.5), ("n", 1, None)]

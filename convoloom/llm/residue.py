@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 DEPTH = 3
 SIMILARITY = 0.6
 MAX_CHILDREN = 64
@@ -303,11 +305,11 @@ def residue(mrl: DataFrame) -> DataFrame:
     """(record_id, field_name, kind): fields that hold residue, once per kind (`slot`, `script`, `error`, `filler`).
 
     Null, empty and blank fields are no cases.  Repeated deliveries count once.
-    Verdicts travel by an inner join of the distinct positive templates with the
+    The mined messages are checkpointed, so that trees are built once.  Verdicts travel by an inner join of the distinct positive templates with the
     messages; messages of one template are salted over 16 keys.
     """
     salt = 16
-    mined = templates(mrl).select("record_id", "field_name", F.xxhash64("template").alias("t"), F.pmod(F.xxhash64("record_id"), F.lit(salt)).cast("int").alias("s"), "template")
+    mined = cut(templates(mrl).select("record_id", "field_name", F.xxhash64("template").alias("t"), F.pmod(F.xxhash64("record_id"), F.lit(salt)).cast("int").alias("s"), "template").distinct())
     judged = mined.groupBy("t").agg(F.first("template").alias("template")).select("t", _verdicts("template").alias("kind")).filter(F.col("kind") != "")
     told = judged.select("t", "kind", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("s"))
     hit = mined.select("record_id", "field_name", "t", "s").join(told, ["t", "s"]).select("record_id", "field_name", "kind")

@@ -18,13 +18,13 @@ def blank(c: Column) -> Column:
     return ~F.coalesce(c, F.lit("")).rlike(r"\S")
 
 
-def latest_rows(df: DataFrame, key: str, order: str = "ingested_at") -> DataFrame:
+def latest_rows(df: DataFrame, key: str, order: str = "ingested_at", columns: tuple[str, ...] | None = None) -> DataFrame:
     """One row per key: that of the greatest `order`; rows without a key are left out.
 
     An aggregation of whole rows with map-side combine.  Of rows that tie in `order`
-    one whole row is kept.
+    one whole row is kept.  Only the named columns are read, if any are named.
     """
-    rest = [c for c in df.columns if c != key]
+    rest = [c for c in (df.columns if columns is None else columns) if c != key]
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(key, *(F.col(f"r.{c}").alias(c) for c in rest))
 
 

@@ -30,17 +30,31 @@ def flatten(log: DataFrame) -> DataFrame:
     )
 
 
-def latest(log: DataFrame) -> DataFrame:
+def latest(log: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
     """One flat row per model and id: the last ok attempt, else the last attempt.
 
+    Whole rows are compared, so columns that aren't named are not pruned: name those needed.
+
     One aggregation with map-side combine; no window and no sort.
     """
     f = flatten(log)
+    if columns is not None:
+        f = f.select(*dict.fromkeys(("seq", "_eval_id", "_model", "_status", *columns)))
     rest = [c for c in f.columns if c not in ("_eval_id", "_model")]
     best = F.max_by(F.struct(*rest), F.struct(F.coalesce(F.col("_status") == "ok", F.lit(False)), F.col("seq"))).alias("r")
     return f.groupBy("_eval_id", "_model").agg(best).select("_eval_id", "_model", *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
+def latest_ok(log: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The last ok attempt per model and id, with the named flat columns only.
+
+    An ok attempt always wins, so the others are filtered before the aggregation, in
+    the scan.  Numbers are kept one by one, which leaves a hash aggregation without a sort.
+    """
+    f = flatten(log.filter(F.col("_status") == "ok")).select("seq", "_eval_id", "_model", *columns)
+    return f.groupBy("_eval_id", "_model").agg(F.max("seq").alias("seq"), *(F.max_by(c, "seq").alias(c) for c in columns)).withColumn("_status", F.lit("ok"))
+
+
 def ok(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("_status") == "ok")
 

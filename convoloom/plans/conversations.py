@@ -20,12 +20,12 @@ CHECKS = (
 )
 
 
-def _completions(spark: SparkSession, d: str) -> DataFrame:
-    return V.latest_rows(table(spark, d, "reasoning_completions"), "completion_id")
+def _completions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return V.latest_rows(table(spark, d, "reasoning_completions"), "completion_id", columns=columns or ("interactions",))
 
 
-def _mrl(spark: SparkSession, d: str) -> DataFrame:
-    return V.latest_rows(table(spark, d, "mrl_records"), "record_id")
+def _mrl(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return V.latest_rows(table(spark, d, "mrl_records"), "record_id", columns=columns or ("_subset",))
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +121,7 @@ def repeat_ratio_by_source(spark, d):
 
 def checker_results(spark, d):
     a = F.col("answer")
-    x = _mrl(spark, d).filter("answer IS NOT NULL")
+    x = _mrl(spark, d, "answer").filter("answer IS NOT NULL")
     return x.select(F.count("*").alias("n"), *(F.sum(C.check(n.replace("_5", ""), a, p).cast("long")).alias(n) for n, p in CHECKS))
 
 
@@ -134,7 +134,7 @@ def standing_adherence(spark, d):
 
 
 def duplicate_query_first(spark, d):
-    return V.first_of(_mrl(spark, d).filter("query IS NOT NULL"), "query", ["record_id"]).select("query", "record_id")
+    return V.first_of(_mrl(spark, d, "query").filter("query IS NOT NULL"), "query", ["record_id"]).select("query", "record_id")
 
 
 def per_subset_head(spark, d):
@@ -151,12 +151,12 @@ def split_by_position(spark, d):
 
 
 def union_append(spark, d):
-    m = _mrl(spark, d)
+    m = _mrl(spark, d, "query", "answer")
     return V.append(m.filter("record_id % 2 = 0").select("record_id", "query", "answer"), m.filter("record_id % 2 = 1").select("record_id", "query"))
 
 
 def example_ids(spark, d):
-    return _completions(spark, d).select("completion_id", V.example_id(F.col("_subset"), F.col("_sample_index"), F.coalesce("topics", F.lit(""))).alias("example_id"))
+    return _completions(spark, d, "_subset", "_sample_index", "topics").select("completion_id", V.example_id(F.col("_subset"), F.col("_sample_index"), F.coalesce("topics", F.lit(""))).alias("example_id"))
 
 
 def derive_variants(spark, d):
@@ -169,7 +169,7 @@ def derive_mixed(spark, d):
 
 
 def seed_curation(spark, d):
-    return V.seeds(_mrl(spark, d), "record_id")
+    return V.seeds(_mrl(spark, d, "query"), "record_id")
 
 
 def think_parse(spark, d):
@@ -183,7 +183,7 @@ def exploratory_cues(spark, d):
 
 
 def _scores(spark, d):
-    return _completions(spark, d).select(F.col("completion_id").alias("c"), F.col("overall_score").alias("coherence"), F.col("memory_score").alias("appropriateness"))
+    return _completions(spark, d, "overall_score", "memory_score").select(F.col("completion_id").alias("c"), F.col("overall_score").alias("coherence"), F.col("memory_score").alias("appropriateness"))
 
 
 def gate_decision(spark, d):
@@ -200,7 +200,7 @@ def batch_summary(spark, d):
 
 def rule_pass_rates(spark, d):
     """Pass rate of each of the four rules over all answers, by conversation mode."""
-    t = _completions(spark, d).select("conv_mode", F.explode("interactions").alias("i")).select("conv_mode", F.col("i.answer").alias("answer"))
+    t = _completions(spark, d, "conv_mode", "interactions").select("conv_mode", F.explode("interactions").alias("i")).select("conv_mode", F.col("i.answer").alias("answer"))
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), C.check(n, F.col("answer"), p).alias("passed")) for n, p in RULES))).alias("x")
     return D.pass_rates(t.select("conv_mode", each).select("conv_mode", "x.rule", "x.passed"), ["conv_mode", "rule"])
 
@@ -234,7 +234,7 @@ def record_defect_counts(spark, d):
     intent = F.element_at(F.array(*map(F.lit, ("compress", "fact_recall", "fact_update", "restyle", "deepen"))), (k + 1).cast("int"))
     name = F.regexp_extract(T.text("query"), r"\b([A-Z][a-z]{5,})\b", 1)
     t = _turns(spark, d).withColumns({"intent": intent, "scope": F.when(k == 1, "delayed_recall"), "planted_turn": F.lit(0), "value": F.when(k == 2, F.lit("premium plan")).otherwise(name), "stale_values": F.array(F.lit("Zanzibar"))})
-    c = _scores(spark, d).join(_completions(spark, d).select(F.col("completion_id").alias("c"), F.col("topics").alias("first_query")), "c").withColumn("sensitive", F.col("c") % 7 == 0)
+    c = _scores(spark, d).join(_completions(spark, d, "topics").select(F.col("completion_id").alias("c"), F.col("topics").alias("first_query")), "c").withColumn("sensitive", F.col("c") % 7 == 0)
     return X.record_defects(t, c).groupBy("defect").agg(F.count("*").alias("n"))
 
 
@@ -243,7 +243,7 @@ def materialised_subsets(spark, d):
 
 
 def yaml_answers(spark, d):
-    return _mrl(spark, d).select("record_id", C.check("yaml_valid", F.col("answer")).alias("valid"))
+    return _mrl(spark, d, "answer").select("record_id", C.check("yaml_valid", F.col("answer")).alias("valid"))
 
 
 def q(x: str) -> str:

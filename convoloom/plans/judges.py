@@ -17,8 +17,13 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "judge_log")
 
 
-def _latest(spark: SparkSession, d: str) -> DataFrame:
-    return J.latest(_log(spark, d))
+def _latest(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """All columns, or only the named flat ones beside seq, ids and status."""
+    return J.latest(_log(spark, d), columns or None)
+
+
+def _ok(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return J.latest_ok(_log(spark, d), (*J.SCORES, *more))
 
 
 def judge_latest(spark, d):
@@ -26,7 +31,7 @@ def judge_latest(spark, d):
 
 
 def judge_status(spark, d):
-    return J.status_counts(_latest(spark, d))
+    return J.status_counts(_latest(spark, d, "_status"))
 
 
 def judge_errors(spark, d):
@@ -34,42 +39,42 @@ def judge_errors(spark, d):
 
 
 def judge_scores(spark, d):
-    return J.score_summary(_latest(spark, d))
+    return J.score_summary(_ok(spark, d))
 
 
 def judge_subset_summary(spark, d):
-    return J.score_summary(_latest(spark, d), ("_model", "_subset"), median=True)
+    return J.score_summary(_ok(spark, d, "_subset"), ("_model", "_subset"), median=True)
 
 
 def judge_pairwise(spark, d):
-    return J.pairwise_agreement(_latest(spark, d))
+    return J.pairwise_agreement(_ok(spark, d))
 
 
 def judge_bias(spark, d):
-    return J.reference_bias(_latest(spark, d), REFERENCE)
+    return J.reference_bias(_ok(spark, d), REFERENCE)
 
 
 def judge_top_disagreements(spark, d):
-    return J.top_disagreements(_latest(spark, d), REFERENCE)
+    return J.top_disagreements(_ok(spark, d), REFERENCE)
 
 
 def judge_fleiss(spark, d):
     """Kappa among the three models that judge most ids (no id is judged by all models)."""
-    rows = _latest(spark, d).filter(F.col("_model").isin("aster-judge-120b", "birch-eval-70b", "cobalt-critic-32b"))
+    rows = _ok(spark, d).filter(F.col("_model").isin("aster-judge-120b", "birch-eval-70b", "cobalt-critic-32b"))
     return J.fleiss_kappa(rows)
 
 
 def judge_ops_percentiles(spark, d):
-    return J.operations(_latest(spark, d))
+    return J.operations(J.latest_ok(_log(spark, d), ("_latency_seconds", "prompt_tokens", "completion_tokens", "reasoning_tokens", "total_tokens", "n_interactions", "prompt_chars")))
 
 
 def judge_common_only(spark, d):
-    rows = _latest(spark, d).filter(F.col("_model").isin("aster-judge-120b", "birch-eval-70b"))
+    rows = _latest(spark, d, "_status", "overall_score").filter(F.col("_model").isin("aster-judge-120b", "birch-eval-70b"))
     return J.common_only(rows).select("_eval_id", "_model", "_status", "overall_score")
 
 
 def judge_shape(spark, d):
-    return J.shape(_latest(spark, d))
+    return J.shape(_latest(spark, d, "_status", "_subset", "n_interactions", "prompt_chars"))
 
 
 def judge_intra(spark, d):
@@ -91,19 +96,19 @@ def judge_retryable(spark, d):
 
 
 def subset_coverage(spark, d):
-    return J.coverage(_latest(spark, d), table(spark, d, "subset_targets"), PER_SUBSET)
+    return J.coverage(_latest(spark, d, "_status", "_subset"), table(spark, d, "subset_targets"), PER_SUBSET)
 
 
 def subset_ensemble(spark, d):
-    return J.ensemble(_latest(spark, d), REFERENCE)
+    return J.ensemble(_ok(spark, d, "_subset", "_sample_index"), REFERENCE)
 
 
 def subset_ranking(spark, d):
-    return J.ranking(J.ensemble(_latest(spark, d), REFERENCE))
+    return J.ranking(J.ensemble(_ok(spark, d, "_subset", "_sample_index"), REFERENCE))
 
 
 def subset_disagreement(spark, d):
-    e = J.ensemble(_latest(spark, d), REFERENCE)
+    e = J.ensemble(_ok(spark, d, "_subset", "_sample_index"), REFERENCE)
     return e.orderBy(F.col("overall_score_ensemble_std").desc_nulls_last(), "_eval_id", "_subset", "_sample_index").limit(50).select("_eval_id", "_subset", "_sample_index", "overall_score_ensemble_std", "overall_score_ensemble_mean")
 
 
@@ -111,7 +116,7 @@ def subset_hypothesis(spark, d):
     s = table(spark, d, "subset_targets").select("_subset").filter("_subset IS NOT NULL")
     word = F.split("_subset", "-")[1]
     groups = s.withColumn("hypothesis_group", word).join(F.broadcast(spark.createDataFrame(GROUPS, "hypothesis_group string, expected_rank int")), "hypothesis_group")
-    return J.hypothesis(J.ranking(J.ensemble(_latest(spark, d), REFERENCE)), groups)
+    return J.hypothesis(J.ranking(J.ensemble(_ok(spark, d, "_subset", "_sample_index"), REFERENCE)), groups)
 
 
 _FLAT = """

@@ -79,6 +79,17 @@ def tokenise(texts: list[str]) -> Tokens:
     return Tokens(feature, h, number, doc, at[s] - start[doc], at[np.maximum(e - 1, 0)] + 1 - start[doc] if len(s) else s, bounds)
 
 
+def tokenise_all(texts: list[str], step: int = 500) -> Tokens:
+    """The same as `tokenise`, some texts at a time, so that work arrays stay small."""
+    parts = [tokenise(texts[i : i + step]) for i in range(0, len(texts), step)] or [tokenise([])]
+    words = np.cumsum([0, *(len(p.doc) for p in parts)])
+    sentences = np.cumsum([0, *(len(p.bounds) - 1 for p in parts)])
+    join = lambda name, shift: np.concatenate([getattr(p, name) + s for p, s in zip(parts, shift, strict=True)])
+    none = [0] * len(parts)
+    bounds = np.concatenate([*(p.bounds[:-1] + s for p, s in zip(parts, words[:-1], strict=True)), words[-1:]])
+    return Tokens(np.concatenate([p.feature for p in parts]), np.concatenate([p.unigram for p in parts]), join("sentence", sentences[:-1]), join("doc", range(0, step * len(parts), step)), join("begin", none), join("end", none), bounds)
+
+
 class Field:
     """Weights of the chain: one row per hashed feature, and transitions."""
 
@@ -94,7 +105,8 @@ class Field:
     def marginals(self, t: Tokens, pairs: bool = False):
         """Marginal of every token's state; with `pairs` also the expected transitions."""
         score = self.scores(t.feature)
-        em = np.exp(np.clip(score - score.max(1, keepdims=True), -30, 0)).astype(np.float64)
+        score -= score.max(1, keepdims=True)
+        em = np.exp(np.maximum(score, -30, out=score), out=score)
         tr = np.exp(self.moves)
         out = np.zeros_like(em)
         expected = np.zeros((STATES, STATES))
@@ -104,7 +116,7 @@ class Field:
         while i < len(order):
             size = n[order[i]]
             j = int(np.searchsorted(n[order], max(size, int(size * 1.25)), "right"))
-            j = min(j, i + max(1, 400_000 // max(1, int(n[order[j - 1]]))))
+            j = min(j, i + max(1, 100_000 // max(1, int(n[order[j - 1]]))))
             group = order[i:j]
             i = j
             top = int(n[group].max())
@@ -112,7 +124,7 @@ class Field:
             place = t.bounds[group][:, None] + np.arange(top)[None, :]
             live = np.arange(top)[None, :] < lens[:, None]
             place = np.where(live, place, t.bounds[group][:, None])
-            e = em[place.T]  # [top, group, states]
+            e = em[place.T].astype(np.float64)  # [top, group, states]
             e[~live.T] = 1.0
             fw = np.empty_like(e)
             a = e[0] / e[0].sum(1, keepdims=True)
@@ -150,10 +162,12 @@ def _odds(t: Tokens, positive: np.ndarray, unknown: np.ndarray) -> np.ndarray:
         other = ~positive
     best = np.full(len(t.doc), -9.0)
     for k in range(3):
-        key = t.feature[:, k].astype(np.int64)
-        pair = np.unique(np.stack([key, t.doc], 1), axis=0)
-        p = np.bincount(pair[:, 0], weights=positive[pair[:, 1]], minlength=1 << BITS)
-        q = np.bincount(pair[:, 0], weights=other[pair[:, 1]], minlength=1 << BITS)
+        key = t.feature[:, k]
+        pair = np.unique(key.astype(np.int64) * len(positive) + t.doc)  # each word once a document
+        where, doc = pair // len(positive), pair % len(positive)
+        p = np.bincount(where, weights=positive[doc], minlength=1 << BITS)
+        q = np.bincount(where, weights=other[doc], minlength=1 << BITS)
+        del pair, where, doc
         a, b = positive.sum(), other.sum()
         lo = np.log((p + 0.2) / (a + 0.4)) - np.log((q + 0.2) / (b + 0.4))
         lo = np.where(p >= (3 if a >= 100 else 2), lo, np.minimum(lo, 0.0))
@@ -193,7 +207,7 @@ def spans(t: Tokens, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[Field, np.ndarray]:
     """The field and each category's cutoff, from documents and their labels [docs, categories]."""
-    t = tokenise(texts)
+    t = tokenise_all(texts)
     weights = np.zeros((1 << BITS, STATES), np.float32)
     moves = np.zeros((STATES, STATES))
     field = Field(weights, moves)
@@ -212,7 +226,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     calm = (np.nan_to_num(labels) < 0.5).all(1)[t.doc[t.bounds[:-1]]][once]
     once = once[~(spare & calm)]
     g2, gm = np.full(weights.shape, 1e-6, np.float32), np.full(moves.shape, 1e-6)
-    hot = np.eye(STATES)[state]
+    hot = np.eye(STATES, dtype=np.float32)[state]
     for epoch in range(epochs):
         if epoch == epochs // 2:  # the field's own reading decides which sentences of a positive document are spans
             p = field.marginals(t)
@@ -220,7 +234,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             allowed = np.nan_to_num(labels[t.doc[t.bounds[:-1]]], nan=0.0) >= 0.5
             s = np.where((mean[:, 1:] * allowed).max(1) > 0.5, (mean[:, 1:] * allowed).argmax(1) + 1, 0)
             state = np.repeat(s, n)
-            hot = np.eye(STATES)[state]
+            hot = np.eye(STATES, dtype=np.float32)[state]
         order = rng.permutation(once)
         for part in np.array_split(order, max(1, len(order) // 3000)):
             t_sub = _take(t, part)

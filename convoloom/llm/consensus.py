@@ -101,18 +101,36 @@ def _grid_kernels(grid: np.ndarray, widths: np.ndarray, levels: int) -> np.ndarr
     return _KERNELS[key]
 
 
-def posterior(log_given: np.ndarray, log_prior: np.ndarray, annotators: list, labels: list) -> np.ndarray:
-    """[items, truth] posterior; annotators and labels are ragged lists of indices (labels from 0)."""
-    n = np.fromiter(map(len, annotators), np.int64, len(annotators))
-    out = np.repeat(log_prior[None, :], len(n), 0)
-    if n.sum():
-        row = np.repeat(np.arange(len(n)), n)
-        np.add.at(out, row, log_given[np.concatenate(annotators).astype(np.int64), np.concatenate(labels).astype(np.int64)])
+def posterior(log_given: np.ndarray, log_prior: np.ndarray, counts: np.ndarray, annotators: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """[items, truth] posterior; annotators and labels (from 0) are flat, counts has the number of each item's labels."""
+    out = np.repeat(log_prior[None, :], len(counts), 0)
+    some = np.flatnonzero(counts)
+    if len(some):
+        first = np.cumsum(counts) - counts
+        out[some] += np.add.reduceat(log_given[annotators, labels], first[some], axis=0)
     out -= out.max(1, keepdims=True)
     np.exp(out, out)
     return out / out.sum(1, keepdims=True)
 
 
+def _flat(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a, b = part["annotators"].tolist(), part["labels"].tolist()
+    n = np.fromiter(map(len, a), np.int64, len(a))
+    join = lambda x: np.concatenate(x).astype(np.int64) if n.sum() else np.zeros(0, np.int64)
+    return n, join(a), join(b)
+
+
+_BLOCK = "score_name string, counts binary, annotators binary, labels binary"
+
+
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Many items in one row of flat arrays, so that a pass of the EM doesn't unpack lists again."""
+    for pdf in batches:
+        for s, part in pdf.groupby("score_name"):
+            n, a, b = _flat(part)
+            yield pd.DataFrame({"score_name": [s], "counts": [n.astype("<u2").tobytes()], "annotators": [a.astype("<u2").tobytes()], "labels": [b.astype("<u1").tobytes()]})
+
+
 def votes(judge_log: DataFrame, scores: tuple[str, ...] = SCORES) -> DataFrame:
     """(_eval_id, score_name, _model, label): each model's last valid score of an id; retries and repeated lines fall together.
 
@@ -132,7 +150,8 @@ def _models(votes_: DataFrame) -> list[str]:
 
 
 def fit(items: DataFrame, names: list[str], scores: tuple[str, ...] = SCORES, iterations: int = ITERATIONS) -> dict[str, Mixture]:
-    """EM over `items` (score_name, annotators array<int>, labels array<int>)."""
+    """EM over `items` (score_name, annotators array<int>, labels array<int>), at most one label per annotator."""
+    packed = cut(items.mapInPandas(_pack, _BLOCK))
     models = {s: Mixture(len(names)) for s in scores}
     open_ = set(scores) if names else set()
     for _ in range(iterations):
@@ -141,16 +160,18 @@ def fit(items: DataFrame, names: list[str], scores: tuple[str, ...] = SCORES, it
         def expect(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
             total = {s: np.zeros((len(names), LEVELS, LEVELS)) for s in given}
             for pdf in batches:
-                for s, part in pdf.groupby("score_name"):
+                for s, *blob in zip(pdf["score_name"], pdf["counts"], pdf["annotators"], pdf["labels"], strict=True):
                     if s not in given:
                         continue
-                    a, b = part["annotators"].tolist(), part["labels"].tolist()
-                    p = posterior(*given[s], a, b)
-                    n = np.fromiter(map(len, a), np.int64, len(a))
-                    np.add.at(total[s], (np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)), np.repeat(p, n, 0))
+                    n, a, b = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(blob, ("<u2", "<u2", "<u1"), strict=True))
+                    p = posterior(*given[s], n, a, b)
+                    at, row = a * LEVELS + b, np.repeat(np.arange(len(n)), n)
+                    flat = total[s].reshape(-1, LEVELS)
+                    for k in range(LEVELS):
+                        flat[:, k] += np.bincount(at, weights=p[row, k], minlength=len(flat))
             yield pd.DataFrame({"score_name": list(total), "counts": [x.ravel().tolist() for x in total.values()]})
 
-        sums = items.mapInPandas(expect, "score_name string, counts array<double>")
+        sums = packed.mapInPandas(expect, "score_name string, counts array<double>")
         each = sums.select("score_name", F.posexplode("counts").alias("k", "v")).groupBy("score_name", "k").agg(F.sum("v").alias("v"))
         expected = {s: np.zeros(len(names) * LEVELS * LEVELS) for s in scores}
         for s, k, v in each.filter("v > 0").collect():
@@ -186,13 +207,14 @@ def consensus(judge_log: DataFrame, scores: tuple[str, ...] = SCORES) -> tuple[D
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for s, part in pdf.groupby("score_name"):
-                a, b = part["annotators"].tolist(), part["labels"].tolist()
-                p = posterior(*given[s], a, b)
+                n, a, b = _flat(part)
+                p = posterior(*given[s], n, a, b)
                 bands = np.add.reduceat(p, lows, axis=1)
                 best = p.argmax(1)
-                near = [float(np.mean(np.abs(np.asarray(x) - t) <= 1)) if len(x) else None for x, t in zip(b, best, strict=True)]
+                close = np.bincount(np.repeat(np.arange(len(n)), n), weights=np.abs(b - np.repeat(best, n)) <= 1, minlength=len(n))
+                near = np.where(n > 0, close / np.maximum(n, 1), np.nan)
                 yield pd.DataFrame(
-                    {"_eval_id": part["_eval_id"], "score_name": s, "consensus": best + 1, "band": [BANDS[k][0] for k in bands.argmax(1)], "certainty": bands.max(1), "agreement": near, "n_labels": [len(x) for x in b]}
+                    {"_eval_id": part["_eval_id"], "score_name": s, "consensus": best + 1, "band": [BANDS[k][0] for k in bands.argmax(1)], "certainty": bands.max(1), "agreement": near, "n_labels": n}
                 )
 
     out = items.mapInPandas(decide, "_eval_id string, score_name string, consensus int, band string, certainty double, agreement double, n_labels int")

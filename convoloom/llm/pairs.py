@@ -165,13 +165,14 @@ _LANGUAGE_NAMES = (
     r"inglés|alemán|francés|español|polaco|angielsk\w*|niemieck\w*|francusk\w*|hiszpańsk\w*|polsk\w*"
 )
 _ASKS = re.compile(rf"\b(?:in|into|to|auf|ins|en|au|al|à|na|po|w)\s+(?:the |le |l['’]|el |język\w* )?(?:{_LANGUAGE_NAMES})\b|\btranslat|\bübersetz|\btradui|\btraduc|\bprzetłumacz|\btłumacz", re.I)
+_CODE = re.compile(r"```.*?(?:```|$)", re.S)
 MIN_VOTES, LEAD = 2, 1.6
 
 
 def language(text: str | None) -> str:
-    """The language with clearly most stopword votes; an empty string if undecided."""
+    """The language with clearly most stopword votes outside code; an empty string if undecided."""
     n = [0.0] * len(_LANGS)
-    for w in _WORD.findall(text or ""):
+    for w in _WORD.findall(_CODE.sub(" ", text or "")):
         for k in _VOTES.get(w.lower(), ()):
             n[k] += 1.0 / len(_VOTES[w.lower()])
     order = sorted(range(len(n)), key=lambda k: -n[k])

@@ -75,6 +75,8 @@ _ERROR_PAGES = [
     r"^(?:rate limit exceeded|too many requests|quota exceeded)\b",
     r"^no healthy upstream\b|^upstream connect error\b|^connection to (?:backend|server|upstream) .{0,40}(?:refused|failed|timed out|reset)|^(?:connection|request) (?:timed out|refused|reset)\b",
     r"^(?:oops|whoops)!$",
+    r"^traceback (?:id\b|\(most recent)|^(?:worker|process|task|job) (?:\d+ )?(?:timed out|crashed|was killed)\b",
+    r"^.{0,60}\bis (?:currently |temporarily )?(?:down|closed|offline|unavailable) for (?:scheduled |planned )?maintenance\b|^(?:scheduled|planned) maintenance\b",
     r"^ha ocurrido un error\b|^se ha producido un error\b|^error (?:inesperado|del servidor)\b|^página no encontrada\b|^acceso denegado\b|^servicio no disponible\b",
     r"^une erreur (?:\w+ )?(?:est survenue|s[’']est produite)\b|^page introuvable\b|^accès refusé\b|^service indisponible\b|^erreur (?:du serveur|inattendue|interne)\b",
     r"^(?:es ist )?ein (?:unerwarteter )?fehler (?:ist )?aufgetreten\b|^es ist ein (?:\w+ )?fehler aufgetreten\b|^seite nicht gefunden\b|^zugriff verweigert\b|^der server (?:ist|antwortet) .{0,40}(?:nicht|überlastet)|^interner (?:server)?fehler\b",

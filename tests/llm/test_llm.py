@@ -53,7 +53,7 @@ def test_words_match_python():
     "text,kind",
     [
         ("503: Service Unavailable", "error"), ("Access denied. Contact the owner.", "error"), ("Oops! this page could not be loaded.", "error"), ("<html><head><title>Error</title></head>", "error"),
-        ("Please enable JavaScript to continue", "script"), ("This page requires scripts.", "script"), ("Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.", "script"),
+        ("Traceback id 0081aa4: worker 7 timed out", "error"), ("Olbel is down for maintenance and will be back in 5 minutes.", "error"), ("Please enable JavaScript to continue", "script"), ("This page requires scripts.", "script"), ("Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.", "script"),
         ("Sample text goes here.", "filler"), ("TODO: write this one later", "filler"), ("Lorem ipsum dolor sit amet", "filler"), ("asdf qwer zzz", "filler"),
         ("Why does the site tell me to enable JavaScript?", ""), ("A 404 Not Found page says that the server has no document.", ""), ("The TODO list still has 3 items.", ""), ("Where does lorem ipsum come from?", ""), ("", ""),
     ],
@@ -161,7 +161,7 @@ def test_pair_defects():
     german = "Außerdem erwähnt sie, dass die Brücke am Montag kaum noch zu sehen war und nicht mehr steht."
     assert pairs.defect(q, german) == "other_language"
     assert pairs.defect(q + " Please answer in German.", german) == ""
-    assert pairs.defect(None, german) == ""
+    assert pairs.defect(None, german) == "" and pairs.language("```python\nfor turn in the list of turns: print(the, of)") == ""
     assert pairs.defect(q, "They should bring ropes, bread and " + LONG) == ""
 
 

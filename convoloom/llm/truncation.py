@@ -100,32 +100,38 @@ def _sentences(values: DataFrame, wanted: DataFrame) -> DataFrame:
     return heads.groupBy("head", "n").agg(F.count("*").alias("times")).join(wanted.select("head").distinct(), "head", "left_semi")
 
 
+def _inside(text: str, longer: str) -> bool:
+    """Does `text`, a strict prefix of `longer`, stop inside a word of it?"""
+    return text[-1:].isalnum() and longer[len(text)].isalnum()
+
+
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of sorted distinct texts: those that are a prefix of their successor, and the partition's first and last text."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    last, out = None, []
+    last, whole, out = None, False, []
     for pdf in batches:
-        for t in pdf["text"]:
+        for t, w in zip(pdf["text"], pdf["whole"], strict=True):
             if last is None:
-                out.append(("first", part, t))
-            elif t.startswith(last):
-                out.append(("hit", part, last))
-            last = t
-        yield pd.DataFrame(out, columns=["kind", "part", "text"])
+                out.append(("first", part, t, w, False))
+            elif whole and t.startswith(last):
+                out.append(("hit", part, last, True, _inside(last, t)))
+            last, whole = t, w
+        yield pd.DataFrame(out, columns=["kind", "part", "text", "whole", "inside"])
         out = []
     if last is not None:
-        yield pd.DataFrame([("last", part, last)], columns=["kind", "part", "text"])
+        yield pd.DataFrame([("last", part, last, whole, False)], columns=["kind", "part", "text", "whole", "inside"])
 
 
-def _cut_copies(values: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """(text): distinct values that are a strict prefix of another value.
+def _extended(values: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """(text, inside): distinct values that are a strict prefix of another value; inside: the successor goes on within the word.
 
-    Values that share a hash of their first characters with a candidate are
-    range-sorted; in sorted order any strict extension of a value makes the next
-    distinct value one.  No pairs are formed, and a range split can halve any group of
-    equal beginnings.  The last value of a partition meets the first of the next in a
+    Values of less than PREFIX_CHARS characters are looked up among the distinct beginnings of
+    all values, which show whether there is a longer one; other values enter whole if they
+    share a hash of their first characters with a candidate.  All are range-sorted; in sorted order any strict extension of a value makes the next
+    distinct text one.  No pairs are formed, and a range split can halve any group of
+    equal beginnings.  The last text of a partition meets the first of the next in a
     table of two rows a partition.
     """
     from pyspark.sql import Window
@@ -134,16 +140,28 @@ def _cut_copies(values: DataFrame, candidates: DataFrame | None = None) -> DataF
     t = values.filter(F.length("text") >= PREFIX_CHARS).select("text", key)
     if candidates is not None:
         t = t.join(candidates.filter(F.length("text") >= PREFIX_CHARS).select(key).distinct(), "k", "left_semi")
-    found = cut(t.select("text").distinct().repartitionByRange("text").sortWithinPartitions("text").mapInPandas(_neighbours, "kind string, part int, text string"))
+    # A beginning that is no value itself isn't whole.
+    begin = values.select(F.substring("text", 1, PREFIX_CHARS).alias("text"), (F.length("text") <= PREFIX_CHARS).alias("whole"))
+    texts = begin.unionByName(t.select("text", F.lit(True).alias("whole"))).groupBy("text").agg(F.max("whole").alias("whole"))
+    found = cut(texts.repartitionByRange("text").sortWithinPartitions("text").mapInPandas(_neighbours, "kind string, part int, text string, whole boolean, inside boolean"))
     nxt = F.lead("text").over(Window.orderBy("part", F.col("kind") == "last"))
-    edges = found.filter("kind <> 'hit'").withColumn("next", nxt).filter((F.col("kind") == "last") & F.col("next").startswith(F.col("text")))
-    return found.filter("kind = 'hit'").select("text").unionByName(edges.select("text"))
+    edges = found.filter("kind <> 'hit'").withColumn("next", nxt).filter((F.col("kind") == "last") & F.col("whole") & F.col("next").startswith(F.col("text")))
+    letter = r"[\p{L}\p{N}]"
+    over = F.col("text").rlike(letter + "$") & F.substring("next", F.length("text") + 1, F.lit(1)).rlike(letter)
+    return found.filter("kind = 'hit'").select("text", "inside").unionByName(edges.select("text", over.alias("inside")))
+
+
+def _cut_copies(values: DataFrame) -> DataFrame:
+    """(text): distinct values that are a strict prefix of another value."""
+    return _extended(values).select("text")
 
 
 def cut_values(values: DataFrame) -> DataFrame:
     """Rows of `values` (key columns, query, text) whose text is cut off, each distinct row once.
 
-    Null and blank texts are not cut.  Very long texts are read whole.
+    Null and blank texts are not cut.  Very long texts are read whole.  A prefix of a longer
+    value that has two words must stop inside the second, as whole words may be a complete
+    text; a single word is not decided, as names go on in longer names.
     """
     cols = values.columns
     open_ = values.filter(may_be_open(F.col("text"))).distinct()
@@ -157,9 +175,9 @@ def cut_values(values: DataFrame) -> DataFrame:
         .groupBy("head", "n")
         .agg((F.sum(F.when(F.col("length") > F.col("n"), F.col("times")).otherwise(0)) / F.sum("times")).alias("longer"))
     )
-    copies = _cut_copies(values, maybe).withColumn("copied", F.lit(True))
+    copies = _extended(values, maybe).withColumn("copied", F.lit(True))
     decided = maybe.join(told, ["head", "n"], "left").join(copies, "text", "left")
-    open_end = (F.coalesce(F.col("longer"), F.when(F.col("n") >= MIN_WORDS, 1.0).otherwise(0.0)) >= MIN_LONGER) | (F.col("copied") & (F.col("n") >= HEAD_WORDS))
+    open_end = (F.coalesce(F.col("longer"), F.when(F.col("n") >= MIN_WORDS, 1.0).otherwise(0.0)) >= MIN_LONGER) | (F.col("copied") & ((F.col("n") >= HEAD_WORDS) | (F.col("inside") & (F.col("n") > 1))))
     return judged.filter(F.col("state") == "cut").select(*cols).unionByName(decided.filter(F.coalesce(open_end, F.lit(False))).select(*cols))
 
 

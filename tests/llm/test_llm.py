@@ -279,6 +279,21 @@ def test_cut_copies(spark):
     assert rows_of(truncation._cut_copies(v)) == [("x" * 40,)]
 
 
+def test_cut_copies_of_any_length(spark):
+    r = random.Random(5)
+    full = ["".join(r.choice("abcdé ") for _ in range(r.randint(1, 60))) for _ in range(40)]
+    v = [x for t in full for x in (t, t[: r.randint(1, len(t))], t[: r.choice([30, 31, 32, 33])])]
+    want = sorted({(a,) for a in v for b in v if b != a and b.startswith(a)})
+    assert {len(a) < truncation.PREFIX_CHARS for (a,) in want} == {True, False}
+    assert rows_of(truncation._cut_copies(spark.createDataFrame([(x,) for x in v], "text string").repartition(5))) == want
+
+
+def test_short_cut_values(spark):
+    texts = ["Answers grow steady after turn 104, with Thimora barely in view.", "Answers grow stead", "Nothing contradicts the old boat.", "Nothing co", "Olbel Mora", "Olbel Mora is named.", "Mora", "Moraby asked for it.", "n/a", "n/a."]
+    jl = spark.createDataFrame([(i, f"e{i}", "m", "ok", None, (1, 1, (x, None, None)), None, None) for i, x in enumerate(texts)], JL)
+    assert rows_of(truncation.truncated_values(mrl(spark, []), rc(spark, []), jl)) == [("judge_log", 1, -1), ("judge_log", 3, -1)]
+
+
 # ------------------------------------------------------------------ problem 7
 
 

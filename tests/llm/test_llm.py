@@ -125,6 +125,17 @@ def test_similar_pairs_brute_force(spark):
     assert rows_of(neardup.similar_pairs(mrl(spark, []))) == []
 
 
+def test_long_chains_are_one_class(spark):
+    n = 60
+    chain = [1, *range(n, 1, -1)]
+    apart = list(range(100, 120))
+    random.Random(6).shuffle(apart)
+    links = spark.createDataFrame([(min(p), max(p), 0.9) for c in (chain, apart) for p in zip(c, c[1:])], "a long, b long, similarity double")
+    members = spark.createDataFrame([(i, i) for i in [*chain, *apart, 200]], "id long, rep long")
+    want = [(i, 1, 1 if i in (1, 2) else 2) for i in range(1, n + 1)] + [(i, 100, 1 if i in (apart[0], apart[-1]) else 2) for i in range(100, 120)] + [(200, 200, 0)]
+    assert rows_of(neardup.components(links.coalesce(1), members.coalesce(1))) == want
+
+
 def test_hot_bucket_is_split_without_loss(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SPLIT", 4)
     bands = spark.createDataFrame([(i, 7) for i in range(30)] + [(100, 8), (3, 9), (5, 9)], "id long, k long")

@@ -98,10 +98,6 @@ def window_within(item: np.ndarray, text: np.ndarray) -> bool:
     if not len(start):
         return False
     i0 = start[:, 0]
-    start = start[i0 <= n - WINDOW]
-    if not len(start):
-        return False
-    i0 = start[:, 0]
     # A window may begin with changed words: allow the first equal word to come after e of them.
     # reach[d]: item position reached on text shift d in -CHANGES..CHANGES.
     D = 2 * CHANGES + 1

@@ -394,6 +394,23 @@ def leak_cases():
     return items, docs
 
 
+def test_windows_at_the_end_of_an_item():
+    r = random.Random(8)
+    item, seen = list(range(40)), collections.Counter()
+    for _ in range(400):
+        part = item[-r.randint(19, 24) :]
+        for p in {0, *r.sample(range(6), r.randint(0, 3))} if r.random() < 0.8 else {r.randrange(len(part)) for _ in range(3)}:
+            part[p] = r.randint(100, 999)
+        text = [r.randint(100, 999) for _ in range(r.randint(0, 9))] + part + [r.randint(100, 999) for _ in range(r.randint(0, 9))]
+        want = edits(item, text)
+        assert leakage.window_within(np.array(item), np.array(text)) == want, text
+        seen[want] += 1
+    assert min(seen[True], seen[False]) > 40
+    items = [(0, "Read this.\n\n" + " ".join(f"word{i}" for i in item))]
+    index = leakage.ItemIndex([0], [items[0][1]])
+    assert leakage.find(index, np.array([7]), ["Other start of it: " + " ".join(f"word{i}" for i in item[-21:])]) == [(7, 0)]
+
+
 def test_leaks_brute_force(spark):
     items, docs = leak_cases()
     pat = re.compile(r"[^\W_]+")

@@ -60,7 +60,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return t[order], w.first
 
 
-_SIGNED = "id long, n int, bag long, bands array<long>, sig binary"
+_SIGNED = "id long, doc long, n int, bag long, bands array<long>, sig binary"
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,7 +81,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     key = mix(key * np.uint64(31) + m[:, :, r] + np.uint64(1))
                 key += np.arange(BANDS, dtype=np.uint64)[None, :]
             sig = (_minima(t, first, sig_c) & np.uint32(0xFF)).astype(np.uint8)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[keep], "n": n[keep], "bag": bag.view(np.int64), "bands": list(mix(key).view(np.int64)), "sig": [x.tobytes() for x in sig]})
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[keep], "doc": pdf["doc"].to_numpy()[keep], "n": n[keep], "bag": bag.view(np.int64), "bands": list(mix(key).view(np.int64)), "sig": [x.tobytes() for x in sig]})
 
 
 def least_matches(threshold: float = THRESHOLD, miss: float = MISS) -> dict[int, int]:
@@ -180,23 +180,24 @@ def _bucket_pairs(bands: DataFrame) -> DataFrame:
 def similar_representatives(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(links, members) of (id, text).
 
-    members: id, rep: every record with words and the representative of its identical bags.
+    members: id, rep: every record with words and the representatives of its bags, one row for
+    each bag it was delivered with.  A representative stands for one bag: it is the hash of
+    an id and a text, not an id, as an id with several texts has several bags.
     links: a, b, similarity: similar pairs of representatives, a < b.
     Records without words are similar to nothing and have no row.
     """
-    texts = texts.filter(F.length("text") > 0)
+    texts = texts.filter(F.length("text") > 0).withColumn("doc", F.xxhash64("id", "text"))
     signed = texts.mapInPandas(_sign, _SIGNED)
-    members = cut(signed.select("id", "bag", "n", "bands", "sig"))
-    reps = members.groupBy("bag", "n").agg(F.min("id").alias("rep"))
+    members = cut(signed)
+    reps = members.groupBy("bag", "n").agg(F.min("doc").alias("rep"))
     membership = members.select("id", "bag", "n").join(reps, ["bag", "n"]).select("id", "rep").distinct()
-    own = members.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    own = members.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi").select(F.col("doc").alias("id"), "bands", "sig").dropDuplicates(["id"])
     bands = own.select("id", F.explode("bands").alias("k"))
     candidates = _bucket_pairs(bands)
     sig = own.select("id", "sig")
     compared = candidates.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
     survivors = compared.mapInPandas(_verify, "a long, b long")
-    one = texts.groupBy("id").agg(F.min("text").alias("text"))
-    full = survivors.join(one.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(one.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    full = survivors.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
     return cut(full.mapInPandas(_exact(threshold), _SHARED)), membership
 
 
@@ -213,7 +214,9 @@ def similar_pairs(mrl: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def components(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, class_id, links): every record's connected class (its smallest id) and its number of links.
+    """(id, class_id, links): every record's connected class (its smallest id) and its number of linked records.
+
+    The representatives of a record with several texts are joined like linked ones.
 
     In a round a record and its label's record take the smallest label's label among the
     record's links, and every label jumps to its own label (pointer doubling).  A label that
@@ -223,22 +226,34 @@ def components(links: DataFrame, members: DataFrame) -> DataFrame:
     is checkpointed.
     """
     edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    members = cut(members)
+    several = cut(members.groupBy("id").agg(F.count("*").alias("c"), F.min("rep").alias("first")).filter("c > 1").select("id", "first"))
+    same = several.join(members, "id").filter("rep <> first")
+    joined = cut(edges.unionByName(same.select(F.col("first").alias("a"), F.col("rep").alias("b"))).unionByName(same.select(F.col("rep").alias("a"), F.col("first").alias("b"))))
     label = cut(members.select(F.col("rep").alias("id")).distinct().withColumn("label", F.col("id")))
     moved = True
     while moved:
         up = label.select(F.col("id").alias("l"), F.col("label").alias("j"))
         jump = label.join(up, label["label"] == up["l"]).select("id", "label", "j")
-        near = edges.join(jump.select(F.col("id").alias("b"), "j"), "b").groupBy("a").agg(F.min("j").alias("m"))
+        near = joined.join(jump.select(F.col("id").alias("b"), "j"), "b").groupBy("a").agg(F.min("j").alias("m"))
         own = jump.join(near, jump["id"] == near["a"], "left").select("id", "label", F.least("j", F.coalesce("m", "j")).alias("to"))
         hooked = own.groupBy(F.col("label").alias("root")).agg(F.min("to").alias("h"))
         new = cut(own.join(hooked, own["id"] == hooked["root"], "left").select("id", "label", F.least("to", F.coalesce("h", "to")).alias("to")))
         moved = new.filter(F.col("to") < F.col("label")).limit(1).count() > 0
         label = new.select("id", F.col("to").alias("label"))
-    sizes = members.groupBy("rep").agg(F.count("*").alias("copies"))
-    degree = edges.join(sizes, edges["b"] == sizes["rep"]).groupBy("a").agg(F.sum("copies").alias("d"))
-    least = members.groupBy("rep").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    per_rep = label.join(least, label["id"] == least["rep"]).join(degree, F.col("rep") == F.col("a"), "left").select("rep", "label", (F.coalesce("d", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return members.join(per_rep, "rep").select("id", F.col("label").alias("class_id"), "links")
+    # Records of one bag each are counted by representatives, pairs with a record of several one by one, as these can meet more than once.
+    near = edges.unionByName(members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct())
+    single = members.join(several, "id", "left_anti")
+    sizes = single.groupBy("rep").agg(F.count("*").alias("copies"))
+    degree = near.join(sizes, near["b"] == sizes["rep"]).groupBy("a").agg(F.sum("copies").alias("d"))
+    plain = single.join(degree, single["rep"] == degree["a"]).select("id", (F.col("d") - 1).alias("links"))
+    from_several = members.join(several, "id", "left_semi").select(F.col("id").alias("x"), F.col("rep").alias("a"))
+    met = cut(from_several.join(near, "a").join(members.select(F.col("id").alias("y"), F.col("rep").alias("b")), "b").filter("x <> y").select("x", "y").distinct())
+    back = met.join(several.select(F.col("id").alias("y")), "y", "left_anti").select(F.col("y").alias("id"), F.lit(1).cast("long").alias("links"))
+    count = plain.unionByName(met.select(F.col("x").alias("id"), F.lit(1).cast("long").alias("links"))).unionByName(back).groupBy("id").agg(F.sum("links").alias("links"))
+    owned = members.join(label.select(F.col("id").alias("rep"), "label"), "rep").select("id", "label").distinct()
+    least = owned.groupBy("label").agg(F.min("id").alias("class_id"))
+    return owned.join(least, "label").join(count, "id", "left").select("id", "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
 def near_duplicate_classes(mrl: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -125,6 +125,19 @@ def test_similar_pairs_brute_force(spark):
     assert rows_of(neardup.similar_pairs(mrl(spark, []))) == []
 
 
+def test_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a, None, []), (1, b, None, []), (2, a, None, []), (3, b, None, []), (4, b + " more", None, []), (5, c, None, []), (6, c + " more", None, []), (7, a + " more", None, []), (7, b + " else", None, [])]
+    texts = collections.defaultdict(list)
+    for i, q, _, _ in rows:
+        texts[i].append(bag(q))
+    want = sorted((i, j) for i in texts for j in texts if i < j and any(len(x & y) >= 0.8 * len(x | y) for x in texts[i] for y in texts[j]))
+    assert (2, 3) not in want and {(1, 2), (1, 3), (1, 4), (1, 7), (5, 6)} <= set(want)
+    assert rows_of(neardup.similar_pairs(mrl(spark, rows))) == want
+    degree = collections.Counter(x for p in want for x in p)
+    assert rows_of(neardup.near_duplicate_classes(mrl(spark, rows))) == [(i, 5 if i in (5, 6) else 1, degree[i]) for i in range(1, 8)]
+
+
 def test_long_chains_are_one_class(spark):
     n = 60
     chain = [1, *range(n, 1, -1)]

@@ -1,11 +1,15 @@
 """Problem 6: text cut off by field limits.
 
-Method: self-join by prefix.  (a) Values are grouped by a hash of their first
-characters and sorted; a value that is a strict prefix of the next distinct value
-is a cut copy.  (b) The open last sentence of a value is looked up among the
-finished sentences that start with the same words.  Signs in the text itself
-(an unclosed structure, a broken character, an end in the middle of running
-text) are read first, so that only undecided values need the lookups.
+Method: self-join by prefix, at two lengths.  (a) Distinct values are range-sorted; a
+value that is a strict prefix of the next one is a cut copy of it.  (b) The last
+words of a value without an end mark are looked up among the passages of all values
+that begin with the same words (a hash of the three words before, names and numbers
+masked): in the longer copies the last word goes on, or the sentence goes on after
+it, or the sentence ends there.  The copies vote.
+
+What no copy can show is a class of its own (`structure`): an object, table or code
+block that is never closed, a broken character, an ellipsis as the end.  A last
+sentence that stays open behind finished ones and has no copy is `open`.
 """
 
 from __future__ import annotations
@@ -13,69 +17,60 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .passages import passages, spelled
 from .residue import residue_fields
 from .tails import CUT, ENDED, ending, open_tail, word_break
 from .values import KEY, mrl_answers, thinks
+from .words import chunks
 
-PREFIX_CHARS = 32
-HEAD_WORDS = 3
-MIN_WORDS = 6  # an open sentence of so many words that no lookup decides counts as cut
-MIN_LONGER = 0.5  # share of the finished sentences with the same head that are longer
+PREFIX_CHARS = 32  # values share a hash of so many first characters; shorter ones meet the beginnings of all values
+MIN_LONGER = 0.5  # share of a passage's copies that go on where the value stops
+FILTER_BITS = 24  # size of the Bloom filter of wanted passages, whatever their number
+PHRASE_WORDS = 3  # so many whole words can be a complete text of their own
+EVIDENCE = ("value", "passage", "structure", "open")
+#: Reported reasons that name a limit.
+LIMITS = ("length", "max_tokens")
 
 _SIGNATURE = re.compile(r"(?:regards|yours|sincerely|thanks|cheers|best|grüße|cordialement|saludos|pozdrawiam)\W*$|,\s*$", re.I)
 _LIST_ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
 _NAME_IN = re.compile(r"\w*[A-ZÀ-ÖØ-ÞŁŚŻŹĆŃ]\w*(?:-\d+)?")
 _LABEL = re.compile(r"^[^\W\d_][\w .'’-]{0,30}(?::|=)\s+\S|^--|^\*\*|^>")
-CLOSING, MAYBE = "closing", "maybe"
 
 
-def head(sentence: str) -> str:
-    """The first words of a sentence; names behind the first word and numbers are masked."""
-    w = sentence.split()[:HEAD_WORDS]
-    if len(w) < HEAD_WORDS:
-        return ""
-    return " ".join([re.sub(r"\d+", "0", w[0].lower()), *("N" if _NAME_IN.match(x) else re.sub(r"\d+", "0", x.lower()) for x in w[1:])])
-
-
-def judge(text: str, query: str | None = None) -> tuple[str, str, int]:
-    """(state, head, words): state is `cut`, `ended`, or `maybe` with the open sentence's head and length.
+def judge(text: str, query: str | None = None) -> str:
+    """`structure`, `ended`, `open` (finished sentences, then an open one), `dangling` (one open sentence that stops at a word which needs another) or `maybe`.
 
     A text that only repeats its query is complete whatever its end.
     """
     e = ending(text)
     if e == CUT:
-        return "cut", "", 0
+        return "structure"
     if e == ENDED:
-        return "ended", "", 0
+        return "ended"
     t = text.strip()
     lines = t.split("\n")
     line = lines[-1].strip()
     tail = open_tail(t)
     n = len(tail.split())
     if query and re.sub(r"\W+", " ", query).strip().lower().endswith(re.sub(r"\W+", " ", tail).strip().lower()) and 2 * len(tail) > len(query):
-        return "ended", "", 0
-    if len(lines) == 1 or len(tail) < len(line):
-        if len(tail) < len(line):
-            return "cut", "", 0
-        if word_break(tail) and n >= 2:
-            return "cut", "", 0
-        return "maybe", head(tail), n
-    before = lines[-2].strip()
-    if _LABEL.match(line) or (n <= 5 and _SIGNATURE.search(before)):
-        return "ended", "", 0
-    if _LIST_ITEM.match(line):
-        body = _LIST_ITEM.sub("", line)
-        if len(body.split()) <= 3:
-            return "ended", "", 0
-        tail, n = body, len(body.split())
-    if word_break(tail) and n >= 2:
-        return "cut", "", 0
-    return "maybe", head(tail), n
+        return "ended"
+    if len(tail) < len(line):
+        return "open"
+    if len(lines) > 1:
+        if _LABEL.match(line) or (n <= 5 and _SIGNATURE.search(lines[-2].strip())):
+            return "ended"
+        if _LIST_ITEM.match(line):
+            tail = _LIST_ITEM.sub("", line)
+            n = len(tail.split())
+            if n <= 3:
+                return "ended"
+    return "dangling" if n >= 2 and word_break(tail) else "maybe"
 
 
 def may_be_open(text: Column) -> Column:
@@ -84,20 +79,105 @@ def may_be_open(text: Column) -> Column:
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        r = [judge(t, q) for t, q in zip(pdf["text"], pdf["query"], strict=True)]
-        out = pdf.assign(state=[x[0] for x in r], head=[x[1] for x in r], n=[x[2] for x in r])
-        yield out[out["state"] != "ended"]
+    """Values that aren't surely finished, with the contexts and the spelling of their last word."""
+    for big in batches:
+        for pdf in chunks(big, "text"):
+            pdf = pdf.assign(state=[judge(t, q) for t, q in zip(pdf["text"], pdf["query"], strict=True)])
+            pdf = pdf[pdf["state"] != "ended"].reset_index(drop=True)
+            if not len(pdf):
+                continue
+            p = passages([t.strip() for t in pdf["text"]])
+            i = np.searchsorted(p.row, np.arange(len(pdf)), "right") - 1  # the last word of each value
+            has = (i >= 0) & (p.row[np.maximum(i, 0)] == np.arange(len(pdf))) if len(p.row) else np.zeros(len(pdf), bool)
+            key, loose, last = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), np.full(len(pdf), None, object)
+            key[has], loose[has] = p.key[i[has]].view(np.int64), p.loose[i[has]].view(np.int64)
+            last[has] = spelled(p, i[has])
+            yield pdf.assign(key=key, loose=loose, last=last)
+
+
+def _positions(keys: np.ndarray) -> np.ndarray:
+    """[keys, 2] bits of the Bloom filter."""
+    k = keys.view(np.uint64)
+    return np.stack((k >> np.uint64(64 - FILTER_BITS), (k << np.uint64(FILTER_BITS)) >> np.uint64(64 - FILTER_BITS)), 1).astype(np.int64)
+
+
+_BLOOM = "block int, bits binary"
+_BLOCK = 1 << 13  # bytes of the filter in one row
+
+
+def _bloom(keys: DataFrame) -> np.ndarray:
+    """Bloom filter of a column `k` of hashes: a fixed 2 MB, filled on the executors, merged by block."""
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for pdf in batches:
+            bits[_positions(pdf["k"].to_numpy(np.int64)).ravel()] = True
+        for b, part in enumerate(np.packbits(bits).reshape(-1, _BLOCK)):
+            if part.any():
+                yield pd.DataFrame({"block": [b], "bits": [part.tobytes()]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]]).tobytes()]})
+
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8).reshape(-1, _BLOCK)
+    for r in keys.mapInPandas(fill, _BLOOM).groupBy("block").applyInPandas(merge, _BLOOM).collect():
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return np.unpackbits(out.ravel()).view(bool)
+
+
+_SEEN = "k long, word string, ended boolean, n long"
+
 
+def _copies(values: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k, word, ended, n): passages of all values with a wanted context, counted by their next word and whether the sentence ends after it.
 
-def _sentences(values: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(head, n, times): finished sentences of all values with a wanted head, by masked head and length in words."""
-    s = values.select(F.explode(F.split("text", r"[\r\n]+|(?<=[.!?])\s+")).alias("s")).filter(F.col("s").rlike(r"[.!?][\"'”’»)]*\s*$"))
-    w = s.select(F.split(F.trim("s"), r"\s+").alias("w")).filter(F.size("w") > HEAD_WORDS)
-    word = lambda i: F.when(F.col("w")[i].rlike(r"^\w*[A-ZÀ-ÖØ-ÞŁŚŻŹĆŃ]"), F.lit("N")).otherwise(F.regexp_replace(F.lower(F.col("w")[i]), r"\d+", "0"))
-    first = F.regexp_replace(F.lower(F.col("w")[0]), r"\d+", "0")
-    heads = w.select(F.concat_ws(" ", first, *(word(i) for i in range(1, HEAD_WORDS))).alias("head"), F.size("w").alias("n"))
-    return heads.groupBy("head", "n").agg(F.count("*").alias("times")).join(wanted.select("head").distinct(), "head", "left_semi")
+    Passages without a wanted context are dropped in the scan by the Bloom filter; the others
+    are counted per batch before they are shuffled, so a hot context sends its distinct next
+    words only.  Last words of open values are no evidence.
+    """
+    sent = values.sparkSession.sparkContext.broadcast(np.packbits(_bloom(wanted)))
+    held: dict = {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if "f" not in held:
+            held["f"] = np.unpackbits(sent.value).view(bool)
+        for big in batches:
+            for pdf in chunks(big, "text"):
+                p = passages(pdf["text"].tolist())
+                known = p.ended | ~p.last
+                out = []
+                for keys, ok in ((p.key, known), (p.loose, known & (p.loose != p.key))):
+                    i = np.flatnonzero(ok)
+                    i = i[held["f"][_positions(keys[i])].all(1)]
+                    if len(i):
+                        _, at, n = np.unique(np.stack((keys[i], p.word[i], p.ended[i].astype(np.uint64))), axis=1, return_index=True, return_counts=True)
+                        i = i[at]
+                        out.append(pd.DataFrame({"k": keys[i].view(np.int64), "word": spelled(p, i), "ended": p.ended[i], "n": n}))
+                if out:
+                    yield pd.concat(out)
+
+    return values.select("text").mapInPandas(run, _SEEN).groupBy("k", "word", "ended").agg(F.sum("n").alias("n"))
+
+
+def _told(values: DataFrame, open_: DataFrame) -> DataFrame:
+    """(key, loose, last, longer, inside): for each last word in its context, the share of copies that go on, and whether most go on within the word.
+
+    Copies with the very first word of the sentence decide; without any, those with another name there.
+    """
+    asked = open_.filter(F.col("last").isNotNull()).select("key", "loose", "last").distinct()
+    wanted = asked.select(F.col("key").alias("k"), "last").unionByName(asked.select(F.col("loose").alias("k"), "last")).distinct()
+    seen = _copies(values, wanted.select("k").distinct())
+    same, inside = F.col("word") == F.col("last"), (F.col("word") != F.col("last")) & ~F.col("last").isin("N", "0") & F.col("word").startswith(F.col("last"))
+    votes = (
+        seen.join(wanted, "k")
+        .filter(same | inside)
+        .groupBy("k", "last")
+        .agg(F.sum("n").alias("all"), F.sum(F.when(inside | ~F.col("ended"), F.col("n")).otherwise(0)).alias("on"), F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("in"))
+    )
+    each = votes.select("k", "last", (F.col("on") / F.col("all")).alias("longer"), (2 * F.col("in") > F.col("all")).alias("within"))
+    one = lambda k, tag: each.select(F.col("k").alias(k), "last", *(F.col(c).alias(f"{c}_{tag}") for c in ("longer", "within")))
+    j = asked.join(one("key", "a"), ["key", "last"], "left").join(one("loose", "b"), ["loose", "last"], "left")
+    return j.select("key", "loose", "last", F.coalesce("longer_a", "longer_b").alias("longer"), F.coalesce("within_a", "within_b").alias("within"))
 
 
 def _inside(text: str, longer: str) -> bool:
@@ -156,29 +236,41 @@ def _cut_copies(values: DataFrame) -> DataFrame:
     return _extended(values).select("text")
 
 
-def cut_values(values: DataFrame) -> DataFrame:
-    """Rows of `values` (key columns, query, text) whose text is cut off, each distinct row once.
+def cut_evidence(values: DataFrame) -> DataFrame:
+    """Rows of `values` (key columns, query, text) whose text is cut off, each distinct row once, with `evidence`.
 
-    Null and blank texts are not cut.  Very long texts are read whole.  A prefix of a longer
-    value that has two words must stop inside the second, as whole words may be a complete
-    text; a single word is not decided, as names go on in longer names.
+    `value`: a strict prefix of a longer value.  `passage`: copies of its last words go on.
+    `structure` and `open`: signs in the text, without a copy that shows it; copies that end where the
+    value ends don't acquit it, as they can't know what the value lost.
+
+    Null and blank texts are not cut.  Very long texts are read whole.  A value of up to PHRASE_WORDS
+    whole words may be a complete answer (a name, an object) although longer texts begin with it; it must
+    stop inside its last word.  A single word is not decided, as names go on in longer names.
     """
     cols = values.columns
     open_ = values.filter(may_be_open(F.col("text"))).distinct()
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in open_.schema.fields), "state string, head string, n int"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in open_.schema.fields), "state string, key long, loose long, last string"])
     judged = cut(open_.mapInPandas(_judge, schema))
-    maybe = judged.filter(F.col("state") == "maybe")
-    wanted = maybe.select("head", "n").filter(F.col("head") != "").distinct()
-    known = _sentences(values, wanted).withColumnRenamed("n", "length")
-    told = (
-        wanted.join(known, "head")
-        .groupBy("head", "n")
-        .agg((F.sum(F.when(F.col("length") > F.col("n"), F.col("times")).otherwise(0)) / F.sum("times")).alias("longer"))
+    asked = judged.filter(F.col("state") != "structure")
+    told = _told(values, asked)
+    copies = _extended(values, asked).withColumn("copied", F.lit(True))
+    n = F.size(F.split(F.trim("text"), r"\s+"))
+    j = judged.join(told, ["key", "loose", "last"], "left").join(copies, "text", "left")
+    phrase = (F.col("state") == "maybe") & (n <= PHRASE_WORDS)
+    value = F.col("copied") & (~phrase | (F.col("inside") & (n > 1)))
+    passage = (F.col("longer") >= MIN_LONGER) & (~phrase | (F.col("within") & (n > 1)))
+    evidence = (
+        F.when(F.col("state") == "structure", "structure")
+        .when(F.coalesce(value, F.lit(False)), "value")
+        .when(F.coalesce(passage, F.lit(False)), "passage")
+        .when(F.col("state").isin("open", "dangling"), "open")
     )
-    copies = _extended(values, maybe).withColumn("copied", F.lit(True))
-    decided = maybe.join(told, ["head", "n"], "left").join(copies, "text", "left")
-    open_end = (F.coalesce(F.col("longer"), F.when(F.col("n") >= MIN_WORDS, 1.0).otherwise(0.0)) >= MIN_LONGER) | (F.col("copied") & ((F.col("n") >= HEAD_WORDS) | (F.col("inside") & (F.col("n") > 1))))
-    return judged.filter(F.col("state") == "cut").select(*cols).unionByName(decided.filter(F.coalesce(open_end, F.lit(False))).select(*cols))
+    return j.withColumn("evidence", evidence).filter("evidence IS NOT NULL").select(*cols, "evidence")
+
+
+def cut_values(values: DataFrame) -> DataFrame:
+    """Rows of `values` whose text is cut off, each distinct row once."""
+    return cut_evidence(values).drop("evidence")
 
 
 def judge_texts(judge_log: DataFrame, *more: str) -> DataFrame:
@@ -196,18 +288,35 @@ def all_values(mrl: DataFrame, completions: DataFrame, judge_log: DataFrame) ->
     return a.unionByName(t).unionByName(judge_texts(judge_log, s)).filter(F.length("text") > 0)
 
 
-def truncated_values(mrl: DataFrame, completions: DataFrame, judge_log: DataFrame) -> DataFrame:
-    """(tbl, row_key, pos) of cut values, each once; fields with residue (problem 1) are left out."""
-    found = cut_values(all_values(mrl, completions, judge_log).drop("_subset")).select(*KEY).distinct()
+def truncation_evidence(mrl: DataFrame, completions: DataFrame, judge_log: DataFrame) -> DataFrame:
+    """(tbl, row_key, pos, evidence) of cut values, each once; fields with residue (problem 1) are left out."""
+    order = F.array(*map(F.lit, EVIDENCE))
+    found = cut_evidence(all_values(mrl, completions, judge_log).drop("_subset")).groupBy(*KEY).agg(F.min(F.array_position(order, F.col("evidence"))).cast("int").alias("e"))
     bad = residue_fields(mrl).filter(F.col("field_name") == "answer").select(F.lit("mrl_records").alias("tbl"), F.col("record_id").alias("row_key"))
-    return found.join(bad, ["tbl", "row_key"], "left_anti").select(*KEY)
+    return found.join(bad, ["tbl", "row_key"], "left_anti").select(*KEY, F.element_at(order, F.col("e")).alias("evidence"))
+
+
+def truncated_values(mrl: DataFrame, completions: DataFrame, judge_log: DataFrame) -> DataFrame:
+    """(tbl, row_key, pos) of cut values, each once."""
+    return truncation_evidence(mrl, completions, judge_log).select(*KEY)
 
 
 def truncation_rates(mrl: DataFrame, completions: DataFrame, judge_log: DataFrame) -> DataFrame:
-    """(tbl, _subset, n_values, n_cut, cut_rate); values without a subset are reported under null."""
-    values = all_values(mrl, completions, judge_log)
-    n = values.groupBy("tbl", "_subset").agg(F.countDistinct("row_key", "pos").alias("n_values"))
-    keys = values.select(*KEY, "_subset").distinct()
-    per = truncated_values(mrl, completions, judge_log).join(keys, list(KEY)).groupBy("tbl", "_subset").agg(F.countDistinct("row_key", "pos").alias("n_cut"))
-    c = per.withColumnRenamed("tbl", "t").withColumnRenamed("_subset", "s")
-    return n.join(c, (F.col("tbl") == F.col("t")) & F.col("_subset").eqNullSafe(F.col("s")), "left").select("tbl", "_subset", "n_values", F.coalesce("n_cut", F.lit(0)).alias("n_cut"), F.round(F.coalesce("n_cut", F.lit(0)) / F.col("n_values"), 4).alias("cut_rate"))
+    """(tbl, _subset, n_values, n_cut, cut_rate, n_reported, n_confirmed); values without a subset are reported under null.
+
+    n_reported: replies of the judge log whose _finish_reason names a limit, however it is
+    spelled; n_confirmed: those of them that were found cut.  Both are 0 for the other tables.
+    """
+    keys = all_values(mrl, completions, judge_log).select(*KEY, "_subset").distinct()
+    reported = F.lower(F.trim("_finish_reason")).isin(*LIMITS)
+    said = judge_log.filter(reported).select(F.lit("judge_log").alias("tbl"), F.col("seq").alias("row_key"), F.lit(-1).alias("pos"), "_subset").distinct()
+    each = (
+        keys.select(*KEY, "_subset", F.lit(1).alias("v"), F.lit(0).alias("r"))
+        .unionByName(said.select(*KEY, "_subset", F.lit(0).alias("v"), F.lit(1).alias("r")))
+        .groupBy(*KEY, "_subset")
+        .agg(F.max("v").alias("v"), F.max("r").alias("r"))
+        .join(truncated_values(mrl, completions, judge_log).withColumn("c", F.lit(1)), list(KEY), "left")
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    n = each.groupBy("tbl", "_subset").agg(total("v").alias("n_values"), total(F.col("c") * F.col("v")).alias("n_cut"), total("r").alias("n_reported"), total(F.col("r") * F.col("c")).alias("n_confirmed"))
+    return n.select("tbl", "_subset", "n_values", "n_cut", F.round(F.col("n_cut") / F.nullif("n_values", F.lit(0)), 4).alias("cut_rate"), "n_reported", "n_confirmed")

@@ -14,17 +14,19 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+CODES = 0x110000
+
+
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point of the basic plane: is it a letter or digit; its lower-case code point."""
-    alnum = np.zeros(0x10000, bool)
-    lower = np.arange(0x10000, dtype=np.uint32)
-    for i in range(0x10000):
-        if 0xD800 <= i < 0xE000:
+def code_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: is it a letter or digit; its lower-case code point."""
+    alnum = np.zeros(CODES, bool)
+    lower = np.arange(CODES, dtype=np.uint32)
+    for i in range(CODES):
+        if not (c := chr(i)).isalnum():  # surrogates are neither letters nor digits
             continue
-        c = chr(i)
-        alnum[i] = c.isalnum()
-        if c.isalpha() and len(x := c.lower()) == 1:
+        alnum[i] = True
+        if len(x := c.lower()) == 1:
             lower[i] = ord(x)
     return alnum, lower
 
@@ -49,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_table() -> np.ndarray:
-    return _tables()[0]
+    return code_tables()[0]
 
 
 def hash_runs(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -79,10 +81,9 @@ def words(texts: list[str]) -> Words:
     n = len(texts)
     joined = "\0".join(texts) + "\0"
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    alnum, lower = _tables()
-    small = np.where(raw < 0x10000, raw, 0).astype(np.uint32)
-    ok = alnum[small]
-    code = lower[small]
+    alnum, lower = code_tables()
+    ok = alnum[raw]
+    code = lower[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], ok, [False])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
     length = np.fromiter(map(len, texts), np.int64, n) + 1

@@ -7,12 +7,12 @@ import re
 import numpy as np
 import pytest
 
-from convoloom.llm import consensus, cutoff, disguise, leakage, neardup, packing, pairs, repetition, residue, tails, toxicity, truncation
+from convoloom.llm import consensus, cutoff, disguise, leakage, neardup, packing, pairs, passages, repetition, residue, tails, toxicity, truncation
 from convoloom.llm.words import grams, words
 
 MRL = "record_id long, _subset string, lang string, query string, answer string, interactions array<struct<query:string,answer:string>>, ingested_at timestamp, text string, n int"
 RC = "completion_id long, _eval_id string, _subset string, conv_mode string, interactions array<struct<query:string,think:string,answer:string>>, overall_score int, ingested_at timestamp"
-JL = "seq long, _eval_id string, _model string, _status string, _subset string, judgment struct<memory_score:int,overall_score:int,rationale:struct<memory:string,instruction:string,freshness:string>>, error_type string, error string"
+JL = "seq long, _eval_id string, _model string, _status string, _subset string, judgment struct<memory_score:int,overall_score:int,rationale:struct<memory:string,instruction:string,freshness:string>>, error_type string, error string, _finish_reason string"
 LONG = "The old ledger lists every boat that ever came into the harbour. " * 3000
 
 
@@ -280,21 +280,22 @@ def test_repeated_values(spark):
 
 @pytest.mark.parametrize("t", ["It ends well.", "A list:\n- red boat\n- blue boat", "Text.\n\n-- Olbel", "x = 1\n```python\nprint(1)\n```", "| a | b |\n|---|---|\n| 1 | 2 |", 'Text. {"a": 1}', "Text. 🙂", "", None, "Text.\n\nFinal value: 12 g"])
 def test_complete_ends(t):
-    assert truncation.judge(t)[0] == "ended" if t else tails.ending(t) == tails.ENDED
+    assert truncation.judge(t) == "ended" if t else tails.ending(t) == tails.ENDED
 
 
 @pytest.mark.parametrize("t", ["One is done. Two is no", "It was sai…", "f�", "```python\ndef f(", '{"memory": 3, "over', "| a | b |\n|---|---|\n| 1 | 2", "They went to the"])
 def test_cut_ends(t):
-    assert truncation.judge(t)[0] == "cut"
+    assert truncation.judge(t) in ("structure", "open", "dangling")
 
 
 def test_truncated_values(spark):
-    log = lambda *r: spark.createDataFrame([(i, f"e{i}", "m", "ok" if x is not None else "error", None, (1, 1, (x, None, None)) if x is not None else None, "ValueError" if x is None else None, e) for i, x, e in r], JL)
+    log = lambda *r: spark.createDataFrame([(i, f"e{i}", "m", "ok" if x is not None else "error", None, (1, 1, (x, None, None)) if x is not None else None, "ValueError" if x is None else None, e, " Length" if i in (1, 2) else "stop") for i, x, e in r], JL)
     full = "The reply keeps the old boat in view across all turns."
     jl = log((1, full, None), (2, "The reply keeps the old bo", None), (3, "Fine", None), (4, None, 'unterminated: {"memory_score": 3, "ov'), (5, None, "not JSON: A whole sentence."), (6, "see notes on Olbel", None), (7, "The reply keeps the old bo", None))
-    a = mrl(spark, [(1, "q", "One is done. Two is no", []), (2, "q", "One is done. Two is no {{x}}", []), (3, "q", None, [])])
-    assert rows_of(truncation.truncated_values(a, rc(spark, []), jl)) == [("judge_log", 2, -1), ("judge_log", 4, -1), ("judge_log", 7, -1), ("mrl_records", 1, -1)]
-    assert {(t, n, c) for t, s, n, c, _ in rows_of(truncation.truncation_rates(a, rc(spark, []), jl)) if t == "judge_log"} == {("judge_log", 7, 3)}
+    a = mrl(spark, [(1, "q", "One is done. Two is no", []), (2, "q", "One is done. Two is no {{x}}", []), (3, "q", None, []), (14, "q", "All is fine. Then nobo", [])])
+    assert rows_of(truncation.truncated_values(a, rc(spark, []), jl)) == [("judge_log", 2, -1), ("judge_log", 4, -1), ("judge_log", 7, -1), ("mrl_records", 1, -1), ("mrl_records", 14, -1)]
+    assert {(t, n, c, said, both) for t, s, n, c, _, said, both in rows_of(truncation.truncation_rates(a, rc(spark, []), jl)) if t == "judge_log"} == {("judge_log", 7, 3, 2, 1)}
+    assert {r[1]: r[3] for r in truncation.truncation_evidence(a, rc(spark, []), jl).collect()} == {2: "value", 4: "structure", 7: "value", 1: "value", 14: "open"}
     assert rows_of(truncation.truncated_values(mrl(spark, []), rc(spark, []), log())) == []
 
 
@@ -314,10 +315,40 @@ def test_cut_copies_of_any_length(spark):
 
 def test_short_cut_values(spark):
     texts = ["Answers grow steady after turn 104, with Thimora barely in view.", "Answers grow stead", "Nothing contradicts the old boat.", "Nothing co", "Olbel Mora", "Olbel Mora is named.", "Mora", "Moraby asked for it.", "n/a", "n/a."]
-    jl = spark.createDataFrame([(i, f"e{i}", "m", "ok", None, (1, 1, (x, None, None)), None, None) for i, x in enumerate(texts)], JL)
+    jl = spark.createDataFrame([(i, f"e{i}", "m", "ok", None, (1, 1, (x, None, None)), None, None, None) for i, x in enumerate(texts)], JL)
     assert rows_of(truncation.truncated_values(mrl(spark, []), rc(spark, []), jl)) == [("judge_log", 1, -1), ("judge_log", 3, -1)]
 
 
+def test_passages_decide(spark):
+    """Nothing in the cut text itself shows the break: only the copies of its last words do, whatever the names and numbers in them."""
+    whole = [f"The old ledger of {n} lists {k} boats in the harbour" for n, k in (("Mora", 3), ("Olbel", 8))]
+    texts = [*(w + "." for w in whole), "The old ledger of Vedo lists 9 boats in the harb", "The old ledger of Vedo lists", "The old ledger of Vedo lists 9 boats in the harbour", "The grey one of Vedo keeps 9 boats in the harb", "No copy shows it here"]
+    jl = spark.createDataFrame([(i, f"e{i}", "m", "ok", None, (1, 1, (x, None, None)), None, None, None) for i, x in enumerate(texts)], JL)
+    got = {r[1]: r[3] for r in truncation.truncation_evidence(mrl(spark, []), rc(spark, []), jl.repartition(3)).collect()}
+    assert got == {2: "value", 3: "value", 5: "passage"}
+    jl = jl.filter("seq <> 4")
+    assert {r[1]: r[3] for r in truncation.truncation_evidence(mrl(spark, []), rc(spark, []), jl).collect()} == {2: "passage", 3: "value", 5: "passage"}
+
+
+def test_passages_match_brute_force():
+    r = random.Random(3)
+    words_ = ["Olbel", "boat", "7", "old", "Mora", "lists", "harbour"]
+    texts = [" ".join(r.choice(words_) for _ in range(r.randint(0, 9))) + r.choice([".", "", "!", ".\nNew boat", '."']) for _ in range(60)]
+    p = passages.passages(texts)
+    want = []
+    for i, t in enumerate(texts):
+        for line in t.split("\n"):
+            for s in re.findall(r"[^.!]*[.!]?", line):
+                w = re.findall(r"\w+", s)
+                m = ["0" if x == "7" else "N" if k and x[0].isupper() else x.lower() for k, x in enumerate(w)]
+                want += [(i, tuple(["", "", "", *m][k : k + 3]), x, k == len(w) - 1 and s[-1:] in (".", "!")) for k, x in enumerate(m)]
+    assert p.row.tolist() == [x[0] for x in want] and passages.spelled(p, np.arange(len(p.row))) == [x[2] for x in want] and p.ended.tolist() == [x[3] for x in want]
+    by = {}
+    for k, x in zip(p.key.tolist(), want, strict=True):
+        assert by.setdefault(x[1], k) == k
+    assert len(set(by.values())) == len(by)
+
+
 # ------------------------------------------------------------------ problem 7
 
 

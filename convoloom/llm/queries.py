@@ -24,9 +24,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_templates(spark: SparkSession, d: str) -> DataFrame:
     """Mined templates that are residue, with their kind and number of messages."""
-    mined = residue.templates(table(spark, d, "mrl_records"))
-    counted = mined.groupBy("template").agg(F.count("*").alias("n_messages"))
-    return counted.select("template", residue._verdicts("template").alias("kind"), "n_messages").filter("kind != ''")
+    return residue.classified(residue.templates(residue.parsed(table(spark, d, "mrl_records"))))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

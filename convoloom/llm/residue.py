@@ -1,10 +1,14 @@
 """Problem 1: template residue and error-page text.
 
-Method: the lines and sentences of each field are parsed by a fixed-depth prefix
-tree (length, then the first tokens, variable tokens masked), which mines message
-templates.  Every distinct template is classified once; its verdict goes back to
-its messages.  A template too general to tell leaves its messages to be judged
-one by one.  Unresolved slots inside ordinary text are found separately.
+Method: message templates by a fixed-depth prefix tree.  The lines and sentences of
+all fields, names and numbers masked, meet in the leaves of one tree over the whole
+collection (number of words, then the first words); within a leaf, forms that agree
+in most words become one template.  Leaves are groups of a shuffle, so the tree has
+no size limit; a large leaf is mined in parts whose templates are merged.
+
+Every template is classified once, from its wording and its statistics, and its
+verdict goes back to all messages.  Unresolved slots inside ordinary text are found
+separately.
 """
 
 from __future__ import annotations
@@ -20,11 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
+from .refusals import refuses
 
 DEPTH = 3
 SIMILARITY = 0.6
-MAX_CHILDREN = 64
+SPLIT = 2048  # distinct forms of a leaf that are mined in one part
 ANY = "<*>"
+TYPICAL = 1.2  # mean log odds from which the words of a template are typical of residue
+MIN_MESSAGES = 2  # messages that carry a template which is judged by its statistics
 
 # ---------------------------------------------------------------- messages
 
@@ -104,6 +111,7 @@ _JUNK = frozenset("asdf asdfasdf asd qwer qwerty qwertz jkl sdfg foo bar baz qux
 _ALL = [(k, re.compile("|".join(f"(?:{p})" for p in v), re.I)) for k, v in (("script", _SCRIPT_NOTICES), ("error", _ERROR_PAGES), ("filler", _FILLER))]
 #: Talk about such texts: a question, or a sentence that mentions a notice, a page or a word instead of being one.
 _TALK = re.compile(r"\?[\"'”’)]*$|\b(?:a notice|means|says that|usually|come from|as a dummy|tells? (?:me|you|us)|for example|such as|when they are|what does|should i|how do)\b", re.I)
+_FIRST_PERSON = re.compile(r"\b(?:i|my|me|ich|mein\w*|je|moi|mon|ma|yo|mi|ja|mój|moja)\b", re.I)
 _TAG = re.compile(r"</?noscript>|<!--.*?-->", re.I)
 
 
@@ -129,22 +137,6 @@ def verdict(message: str) -> str:
     return ""
 
 
-_NOTE = re.compile(r"\W*(?:to do|t\.b\.d)\b", re.I)
-
-
-@lru_cache(maxsize=1 << 16)
-def hint(token: str) -> bool:
-    """Every message with a verdict holds such a token."""
-    t = token.strip(_EDGES).lower()
-    return signal(token) or t in _JUNK or (len(t) > 4 and t in _LOREM)
-
-
-def too_general(template: list[str]) -> bool:
-    """Fewer than three fixed tokens, or less than two thirds fixed: the template can't stand for its messages."""
-    fixed = sum(t != ANY for t in template)
-    return fixed < 3 or 3 * fixed < 2 * len(template)
-
-
 # ---------------------------------------------------------------- templates
 
 _DIGIT = re.compile(r"\d")
@@ -166,41 +158,36 @@ def masked(message: str) -> list[str]:
 
 
 #: Words on which a verdict can rest, taken from the verdicts' own patterns; a template keeps them as they are.
-_SIGNALS = {w for v in (_SCRIPT_NOTICES, _ERROR_PAGES, _FILLER) for p in v for w in re.findall(r"[a-zà-ż]{4,}", p.lower())} | {"javascript", "skripten", "skripte", "skryptów", "skrypty", "js", "tbd", "tba", "http", "sign", "log"} | set("here means usually dummy notice text continue".split())
+_SIGNALS = {w for v in (_SCRIPT_NOTICES, _ERROR_PAGES, _FILLER) for p in v for w in re.findall(r"[a-zà-ż]{4,}", p.lower())} | {"javascript", "skripten", "skripte", "skryptów", "skrypty", "js", "tbd", "tba", "http", "sign", "log"} | set("here means usually dummy notice text continue unauthorized unauthorised authorized authorised".split())
 _EDGES = " \t.,;:!?()[]{}<>*_`\"'“”’#|-–/"
 
 
+_EDGE_RUNS = "^[{0}]+|[{0}]+$".format(re.sub(r"([\[\]\\^\-&])", r"\\\1", _EDGES))
+
+
 @lru_cache(maxsize=1 << 16)
 def signal(token: str) -> bool:
     """Can a verdict rest on this token: a word of the patterns, a question mark, a tag, a status number."""
     return token != ANY and ("?" in token or token[0] == "<" or _STATUS_TOKEN.fullmatch(token) is not None or token.strip(_EDGES).lower().split("-")[0] in _SIGNALS or token.strip(_EDGES).lower() in _SIGNALS)
 
 
-class PrefixTree:
-    """Fixed-depth prefix tree over token lists; each leaf holds templates of one length.
+class Leaf:
+    """Templates of one leaf: token lists of one length with the same first tokens.
 
     Signal tokens are never replaced by a wildcard, so messages with different
-    signals never share a template.
+    signals never share a template; templates are kept by their signals.
     """
 
-    def __init__(self, depth: int = DEPTH, similarity: float = SIMILARITY, children: int = MAX_CHILDREN):
-        self.depth, self.similarity, self.children = depth, similarity, children
-        self.root: dict = {}
+    def __init__(self, similarity: float = SIMILARITY):
+        self.similarity = similarity
         self.templates: list[list[str]] = []
+        self.by_signals: dict[tuple, list[int]] = {}
 
     def add(self, tokens: list[str]) -> int:
         """The number of the template that takes the message; the template may become more general."""
-        node = self.root.setdefault(len(tokens), {})
-        for token in tokens[: self.depth]:
-            if token not in node and token != ANY and len(node) >= self.children and not signal(token):
-                token = ANY
-            node = node.setdefault(token, {})
-        leaf = node.setdefault("", [])
-        signals = [(i, t) for i, t in enumerate(tokens) if signal(t)]
+        known = self.by_signals.setdefault(tuple((i, t) for i, t in enumerate(tokens) if signal(t)), [])
         need = self.similarity * len(tokens)
-        for k, told in leaf:
-            if told != signals:
-                continue
+        for k in known:
             t = self.templates[k]
             if sum(map(eq, t, tokens)) >= need:
                 for i, (a, b) in enumerate(zip(t, tokens, strict=True)):
@@ -208,8 +195,8 @@ class PrefixTree:
                         t[i] = ANY
                 return k
         self.templates.append(list(tokens))
-        leaf.append((len(self.templates) - 1, signals))
-        return len(self.templates) - 1
+        known.append(len(self.templates) - 1)
+        return known[-1]
 
 
 # ---------------------------------------------------------------- slots
@@ -256,30 +243,45 @@ def has_slot(text: str, query: str | None) -> bool:
 
 # ---------------------------------------------------------------- operator
 
-_MINED = "record_id long, field_name string, template string, message string"
-
+_PARSED = "record_id long, field_name string, form string"
 
-def _mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One tree per partition.  A message leaves with its template, or by itself if the template is too general.
 
-    Messages without any token that a verdict needs shape the tree but don't leave it.
-    """
-    tree = PrefixTree()
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every message of a field once, in its masked form."""
     for pdf in batches:
-        rows: list[tuple] = []
-        for rid, field, text in zip(pdf["record_id"], pdf["field_name"], pdf["text"], strict=True):
-            for m in dict.fromkeys(messages(text)):
-                tokens = masked(m)
-                k = tree.add(tokens)
-                if _NOTE.match(m) or any(map(hint, tokens)):
-                    rows.append((rid, field, k, m))
         out = []
-        names: dict[int, str] = {}
-        for rid, field, k, m in rows:
-            if k not in names:
-                names[k] = "" if too_general(tree.templates[k]) else " ".join(tree.templates[k])
-            out.append((rid, field, names[k] or m, m))
-        yield pd.DataFrame(out, columns=["record_id", "field_name", "template", "message"])
+        for rid, field, text in zip(pdf["record_id"], pdf["field_name"], pdf["text"], strict=True):
+            out += [(rid, field, m) for m in dict.fromkeys(" ".join(masked(m)) for m in messages(text))]
+        yield pd.DataFrame(out, columns=["record_id", "field_name", "form"])
+
+
+def _grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (leaf, part, form) sorted by these -> the same with the form's template.  One leaf at a time is held."""
+    at, leaf, rows, out = None, Leaf(), [], []
+
+    def close() -> None:
+        names = [" ".join(t) for t in leaf.templates]
+        out.extend((*r, names[k]) for r, k in rows)
+
+    def done() -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["leaf", "part", "form", "n_messages", "template"])
+
+    for pdf in batches:
+        for r in zip(pdf["leaf"], pdf["part"], pdf["form"], pdf["n_messages"], strict=True):
+            if r[:2] != at:
+                close()
+                at, leaf, rows = r[:2], Leaf(), []
+            rows.append((r, leaf.add(r[2].split(" "))))
+        if len(out) > 20_000:
+            yield done()
+            out = []
+    close()
+    yield done()
+
+
+def _grown(forms: DataFrame) -> DataFrame:
+    """Distinct (leaf, part, form) with n_messages and template."""
+    return forms.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "form").mapInPandas(_grow, "leaf string, part int, form string, n_messages long, template string")
 
 
 def fields(mrl: DataFrame) -> DataFrame:
@@ -288,9 +290,55 @@ def fields(mrl: DataFrame) -> DataFrame:
     return mrl.select("record_id", F.col("query").alias("asked"), pair.alias("f")).select("record_id", "f.field_name", "f.text", "asked").filter(F.length("text") > 0)
 
 
-def templates(mrl: DataFrame) -> DataFrame:
-    """(record_id, field_name, template, message): the mined messages of all fields."""
-    return fields(mrl).select("record_id", "field_name", "text").mapInPandas(_mine, _MINED)
+def parsed(mrl: DataFrame) -> DataFrame:
+    """(record_id, field_name, form): the messages of all fields."""
+    return fields(mrl).select("record_id", "field_name", "text").mapInPandas(_parse, _PARSED)
+
+
+def templates(messages_: DataFrame) -> DataFrame:
+    """(template, form, n_messages): every distinct form with the template that it belongs to.
+
+    A leaf of many forms is dealt into parts, which are mined apart; the templates of all its
+    parts are merged by the same rule.  A form whose template is too general to tell is its own template.
+    """
+    w = F.split("form", " ")
+    forms = messages_.groupBy("form").agg(F.count("*").alias("n_messages")).withColumn("leaf", F.concat_ws(" ", F.size(w), F.slice(w, 1, DEPTH)))
+    large = forms.groupBy("leaf").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).filter("parts > 1")
+    dealt = forms.join(large, "leaf", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("form"), F.col("parts")).cast("int")))
+    first = _grown(dealt.select("leaf", "part", "form", "n_messages"))
+    merged = _grown(first.filter("part > 0").select("leaf", F.lit(0).alias("part"), F.col("template").alias("form"), F.lit(0).cast("long").alias("n_messages")).distinct())
+    whole = merged.select(F.col("form").alias("template"), F.col("template").alias("whole"))
+    named = first.join(whole, "template", "left").select("form", "n_messages", F.coalesce("whole", "template").alias("template"))
+    t = F.split("template", " ")
+    fixed = F.size(F.filter(t, lambda x: x != ANY))
+    general = (fixed < 3) | (3 * fixed < 2 * F.size(t))
+    return named.select(F.when(general, F.col("form")).otherwise(F.col("template")).alias("template"), "form", "n_messages")
+
+
+def classified(templates_: DataFrame) -> DataFrame:
+    """(template, n_messages, kind) of the templates that are residue, each judged once.
+
+    First by wording: `script`, `error` or `filler`.  Then by statistics: a template that at
+    least MIN_MESSAGES messages carry is a `notice`, whatever its wording, if its words are as a
+    whole typical of those: mean log odds of at least TYPICAL, over at least three known words;
+    words that two residue templates don't share count -1, and the template itself is left out
+    of the counts.  Talk about notices, refusals and the first person are none.
+    """
+    t = cut(templates_.groupBy("template").agg(F.sum("n_messages").alias("n_messages")).withColumn("kind", _verdicts("template")))
+    plain = F.transform(F.split(F.lower("template"), " "), lambda x: F.regexp_replace(x, _EDGE_RUNS, ""))
+    words_ = F.array_distinct(F.filter(plain, lambda x: x.rlike(r"\D")))
+    bag = t.select("template", "n_messages", "kind", F.size(words_).alias("size"), F.explode(words_).alias("word"))
+    yes = (F.col("kind") != "").cast("int")
+    typical = bag.filter("kind <> ''").groupBy("word").agg(F.count("*").alias("p")).filter("p > 1")
+    calm = bag.filter("kind = ''").join(typical, "word").groupBy("word", "p").agg(F.count("*").alias("q"))
+    known = typical.join(calm.select("word", "q"), "word", "left").select("word", "p", F.coalesce("q", F.lit(1)).alias("q"))
+    total = t.agg(F.sum(yes).alias("np"), F.sum(1 - yes).alias("nq"))  # one row
+    smooth = lambda n, of: F.log((n + 0.1) / (of + 0.2))
+    odds = known.crossJoin(total).select("word", F.least(F.lit(5.0), F.greatest(F.lit(-3.0), smooth(F.col("p"), F.col("np")) - smooth(F.col("q") - 1, F.col("nq") - 1))).alias("w"))
+    asked = bag.filter((F.col("kind") == "") & (F.col("n_messages") >= MIN_MESSAGES) & (F.col("size") > 2))
+    score = asked.join(odds, "word").groupBy("template", "n_messages", "size").agg(F.sum("w").alias("w"), F.count("*").alias("k"))
+    notice = score.filter((F.col("k") > 2) & (F.col("w") - (F.col("size") - F.col("k")) >= TYPICAL * F.col("size"))).filter(~_says("template"))
+    return t.filter("kind <> ''").unionByName(notice.select("template", "n_messages", F.lit("notice").alias("kind")))
 
 
 @F.pandas_udf(T.StringType())
@@ -298,23 +346,31 @@ def _verdicts(template: pd.Series) -> pd.Series:
     return template.map(verdict)
 
 
+@F.pandas_udf(T.BooleanType())
+def _says(template: pd.Series) -> pd.Series:
+    """Does somebody speak in it: talk about a notice, a refusal, the first person."""
+    return template.map(lambda t: bool(_TALK.search(t) or _FIRST_PERSON.search(t)) or refuses(t))
+
+
 @F.pandas_udf(T.BooleanType())
 def _slots(text: pd.Series, asked: pd.Series) -> pd.Series:
     return pd.Series([has_slot(t, q) for t, q in zip(text, asked, strict=True)])
 
 
 def residue(mrl: DataFrame) -> DataFrame:
-    """(record_id, field_name, kind): fields that hold residue, once per kind (`slot`, `script`, `error`, `filler`).
+    """(record_id, field_name, kind): fields that hold residue, once per kind (`slot`, `script`, `error`, `filler`, `notice`).
 
     Null, empty and blank fields are no cases.  Repeated deliveries count once.
-    The mined messages are checkpointed, so that trees are built once.  Verdicts travel by an inner join of the distinct positive templates with the
-    messages; messages of one template are salted over 16 keys.
+    Parsed messages, templates and their verdicts are checkpointed, so that each is made once.  Verdicts travel by an inner join
+    of the forms of residue templates with the messages; messages of one form are salted over 16 keys.
     """
     salt = 16
-    mined = cut(templates(mrl).select("record_id", "field_name", F.xxhash64("template").alias("t"), F.pmod(F.xxhash64("record_id"), F.lit(salt)).cast("int").alias("s"), "template").distinct())
-    judged = mined.groupBy("t").agg(F.first("template").alias("template")).select("t", _verdicts("template").alias("kind")).filter(F.col("kind") != "")
-    told = judged.select("t", "kind", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("s"))
-    hit = mined.select("record_id", "field_name", "t", "s").join(told, ["t", "s"]).select("record_id", "field_name", "kind")
+    mined = cut(parsed(mrl))
+    known = cut(templates(mined))
+    judged = known.join(classified(known).select("template", "kind"), "template").select(F.xxhash64("form").alias("f"), "kind")
+    told = judged.select("f", "kind", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("s"))
+    said = mined.select("record_id", "field_name", F.xxhash64("form").alias("f"), F.pmod(F.xxhash64("record_id"), F.lit(salt)).cast("int").alias("s"))
+    hit = said.join(told, ["f", "s"]).select("record_id", "field_name", "kind")
     slots = fields(mrl).filter(F.col("text").rlike(SLOT_HINT)).filter(_slots("text", "asked")).select("record_id", "field_name", F.lit("slot").alias("kind"))
     return hit.unionByName(slots).distinct()
 

@@ -80,13 +80,38 @@ def test_residue_operator(spark):
     assert rows_of(residue.residue_fields(mrl(spark, []))) == []
 
 
-def test_tree_keeps_signals():
-    t = residue.PrefixTree()
+def test_leaf_keeps_signals():
+    t = residue.Leaf()
     a, b = t.add(residue.masked("The page needs JavaScript today")), t.add(residue.masked("The page needs attention today"))
     assert a != b
     assert t.add(residue.masked("Run 12 of Alpha ended well")) == t.add(residue.masked("Run 13 of Beta ended well"))
 
 
+def test_templates_are_mined_over_the_collection(spark, monkeypatch):
+    """Forms that lie in different partitions and in different parts of a split leaf share one template."""
+    colours = "red blue green grey white black amber brown pink gold".split()
+    rows = [(i, "q", f"The old boat of Olbel was painted {c} by noon.", None) for i, c in enumerate(colours * 2)]
+    for split in (2048, 3):
+        monkeypatch.setattr(residue, "SPLIT", split)
+        got = residue.templates(residue.parsed(mrl(spark, rows).repartition(7))).filter("form <> 'q'").collect()
+        assert len(got) == 10 and {r["template"] for r in got} == {"The old boat of <*> was painted <*> by noon."}
+        assert {r["n_messages"] for r in got} == {2}
+
+
+def test_unseen_notice_is_found_by_statistics(spark):
+    """No list holds this wording; its words are typical of the templates that the lists know, and several records carry it."""
+    unseen = "Scripts, please: your browser needs JavaScript for this page."
+    assert residue.verdict(unseen) == ""
+    known = ["Please enable JavaScript to use this page.", "This page requires JavaScript.", "Your browser blocks scripts on this page.", "This page needs scripts.", "Please enable scripts for this browser."]
+    calm = [f"The {c} boat of the harbour was sold {w} for nine coins." for c in ("red", "blue", "old", "new") for w in ("twice", "early", "late")]
+    rows = [(i, "q", t, None) for i, t in enumerate([*known, *calm, unseen, "All is well. " + unseen, "What does a page mean that says please enable JavaScript?"])]
+    found = {r["template"]: r["kind"] for r in residue.classified(residue.templates(residue.parsed(mrl(spark, rows)))).collect()}
+    assert found.pop(unseen) == "notice" and set(found.values()) == {"script"} and len(found) == len(known)
+    assert rows_of(residue.residue_fields(mrl(spark, rows))) == [(i, "answer") for i in (*range(5), 17, 18)]
+    once = [r for r in rows if r[0] != 18]
+    assert (17, "answer") not in rows_of(residue.residue_fields(mrl(spark, once)))
+
+
 # ------------------------------------------------------------------ problem 2
 
 

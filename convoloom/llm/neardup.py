@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .bloom import Bloom
 from .words import blocks, mix, occurrence, words
 
 THRESHOLD = 0.8
@@ -140,9 +141,9 @@ def _exact(threshold: float):
 
 
 def record_texts(mrl: DataFrame) -> DataFrame:
-    """(id, text): query, answer and all interactions of each record in one text; repeated deliveries fall together."""
+    """(id, text): query, answer and all interactions of each record in one text; repeated deliveries are kept."""
     inner = F.concat_ws("\n", F.flatten(F.transform(F.coalesce("interactions", F.array()), lambda x: F.array(x["query"], x["answer"]))))
-    return mrl.select(F.col("record_id").alias("id"), F.concat_ws("\n", "query", "answer", inner).alias("text")).filter(F.col("id").isNotNull()).distinct()
+    return mrl.select(F.col("record_id").alias("id"), F.concat_ws("\n", "query", "answer", inner).alias("text")).filter(F.col("id").isNotNull())
 
 
 def _bucket_pairs(bands: DataFrame) -> DataFrame:
@@ -196,8 +197,17 @@ def similar_representatives(texts: DataFrame, threshold: float = THRESHOLD) -> t
     candidates = _bucket_pairs(bands)
     sig = own.select("id", "sig")
     compared = candidates.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    survivors = compared.mapInPandas(_verify, "a long, b long")
-    full = survivors.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
+    survivors = cut(compared.mapInPandas(_verify, "a long, b long"))
+    # Only texts of survivors are shuffled, once: most others are dropped where they are read.
+    ends = survivors.select(F.col("a").alias("k")).unionByName(survivors.select(F.col("b").alias("k")))
+    asked = Bloom(ends)
+
+    def of_survivors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[asked.may_hold(pdf["doc"].to_numpy(np.int64))]
+
+    needed = cut(texts.select("doc", "text").mapInPandas(of_survivors, "doc long, text string").dropDuplicates(["doc"]))
+    full = survivors.join(needed.toDF("a", "text_a"), "a").join(needed.toDF("b", "text_b"), "b")
     return cut(full.mapInPandas(_exact(threshold), _SHARED)), membership
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .bloom import Bloom
 from .passages import passages, spelled
 from .residue import residue_fields
 from .tails import CUT, ENDED, ending, open_tail, word_break
@@ -31,7 +32,6 @@ from .words import chunks
 
 PREFIX_CHARS = 32  # values share a hash of so many first characters; shorter ones meet the beginnings of all values
 MIN_LONGER = 0.5  # share of a passage's copies that go on where the value stops
-FILTER_BITS = 24  # size of the Bloom filter of wanted passages, whatever their number
 PHRASE_WORDS = 3  # so many whole words can be a complete text of their own
 EVIDENCE = ("value", "passage", "structure", "open")
 #: Reported reasons that name a limit.
@@ -95,36 +95,6 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf.assign(key=key, loose=loose, last=last)
 
 
-def _positions(keys: np.ndarray) -> np.ndarray:
-    """[keys, 2] bits of the Bloom filter."""
-    k = keys.view(np.uint64)
-    return np.stack((k >> np.uint64(64 - FILTER_BITS), (k << np.uint64(FILTER_BITS)) >> np.uint64(64 - FILTER_BITS)), 1).astype(np.int64)
-
-
-_BLOOM = "block int, bits binary"
-_BLOCK = 1 << 13  # bytes of the filter in one row
-
-
-def _bloom(keys: DataFrame) -> np.ndarray:
-    """Bloom filter of a column `k` of hashes: a fixed 2 MB, filled on the executors, merged by block."""
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for pdf in batches:
-            bits[_positions(pdf["k"].to_numpy(np.int64)).ravel()] = True
-        for b, part in enumerate(np.packbits(bits).reshape(-1, _BLOCK)):
-            if part.any():
-                yield pd.DataFrame({"block": [b], "bits": [part.tobytes()]})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]]).tobytes()]})
-
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8).reshape(-1, _BLOCK)
-    for r in keys.mapInPandas(fill, _BLOOM).groupBy("block").applyInPandas(merge, _BLOOM).collect():
-        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(out.ravel()).view(bool)
-
-
 _SEEN = "k long, word string, ended boolean, n long"
 
 
@@ -135,12 +105,9 @@ def _copies(values: DataFrame, wanted: DataFrame) -> DataFrame:
     are counted per batch before they are shuffled, so a hot context sends its distinct next
     words only.  Last words of open values are no evidence.
     """
-    sent = values.sparkSession.sparkContext.broadcast(np.packbits(_bloom(wanted)))
-    held: dict = {}
+    known_ = Bloom(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if "f" not in held:
-            held["f"] = np.unpackbits(sent.value).view(bool)
         for big in batches:
             for pdf in chunks(big, "text"):
                 p = passages(pdf["text"].tolist())
@@ -148,7 +115,7 @@ def _copies(values: DataFrame, wanted: DataFrame) -> DataFrame:
                 out = []
                 for keys, ok in ((p.key, known), (p.loose, known & (p.loose != p.key))):
                     i = np.flatnonzero(ok)
-                    i = i[held["f"][_positions(keys[i])].all(1)]
+                    i = i[known_.may_hold(keys[i])]
                     if len(i):
                         _, at, n = np.unique(np.stack((keys[i], p.word[i], p.ended[i].astype(np.uint64))), axis=1, return_index=True, return_counts=True)
                         i = i[at]

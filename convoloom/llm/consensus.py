@@ -26,8 +26,10 @@ LEVELS = 10
 SCORES = ("overall_score", "memory_score")
 BANDS = (("low", 1, 4), ("mid", 5, 7), ("high", 8, 10))
 MAX_MODELS = 4096
-ITERATIONS = 40
-TOLERANCE = 5e-4
+COMPETENCE = (0.005, 0.995)
+TOLERANCE = 1e-6  # gain of log-likelihood a label under which the EM has converged
+GROWTH = 1.2  # of the relaxation, while the likelihood rises
+MOST_ROUNDS = 300  # an EM that needs more is reported as not converged
 
 
 class Mixture:
@@ -40,6 +42,8 @@ class Mixture:
         self.guess = np.full((annotators, levels), 1 / levels)
         self.shift = np.zeros(annotators)
         self.blur = np.full(annotators, 1.5)
+        self.rounds, self.converged = 0, False
+        self._relax, self._seen, self._plain = 1.0, -np.inf, self.theta
 
     def truthful(self) -> np.ndarray:
         """[J, label, truth]: probability of a label if it is truthful."""
@@ -53,14 +57,32 @@ class Mixture:
     def label_given_truth(self) -> np.ndarray:
         return self.theta[:, None, None] * self.truthful() + (1 - self.theta)[:, None, None] * self.guess[:, :, None]
 
-    def step(self, expected: np.ndarray) -> float:
-        """M-step from expected[J, label, truth]; returns the largest change of a competence."""
+    def advance(self, expected: np.ndarray, likelihood: float) -> None:
+        """One round of the EM from the expected counts and the mean log-likelihood a label that the present parameters gave.
+
+        Competences take longer and longer steps while the likelihood rises; when it falls,
+        they go back to the last plain step.
+        """
+        self.rounds += 1
+        if likelihood < self._seen and self._relax > 1:
+            self.theta, self._relax = self._plain.copy(), 1.0
+            return
+        self.converged = bool(abs(likelihood - self._seen) < TOLERANCE)
+        if self.converged:
+            return
+        self._seen, old = likelihood, self.theta
+        self.step(expected)
+        self._plain = self.theta
+        self.theta = np.clip(old + self._relax * (self.theta - old), *COMPETENCE)
+        self._relax *= GROWTH
+
+    def step(self, expected: np.ndarray) -> None:
+        """M-step from expected[J, label, truth]."""
         true = self.theta[:, None, None] * self.truthful()
         share = true / (true + (1 - self.theta)[:, None, None] * self.guess[:, :, None])
         t_mass, g_mass = expected * share, expected * (1 - share)
         total = expected.sum((1, 2))
-        old = self.theta
-        self.theta = np.clip((t_mass.sum((1, 2)) + 1) / (total + 2), 0.005, 0.995)
+        self.theta = np.clip((t_mass.sum((1, 2)) + 1) / (total + 2), *COMPETENCE)
         self.guess = (g_mass.sum(2) + 0.5) / (g_mass.sum((1, 2)) + 0.5 * self.levels)[:, None]
         # Shift and blur that explain the truthful labels best, over a grid; labels cut at the ends of the scale fit too.
         grid = np.arange(-4, 4.01, 0.25)
@@ -78,7 +100,6 @@ class Mixture:
             self.shift = self.shift - self.shift[order][np.searchsorted(c, c[-1] / 2)]
         prior = expected.sum((0, 1)) + 1
         self.prior = prior / prior.sum()
-        return float(np.abs(self.theta - old).max()) if len(old) else 0.0
 
 
 _KERNELS: dict[tuple, np.ndarray] = {}
@@ -101,16 +122,18 @@ def _grid_kernels(grid: np.ndarray, widths: np.ndarray, levels: int) -> np.ndarr
     return _KERNELS[key]
 
 
-def posterior(log_given: np.ndarray, log_prior: np.ndarray, counts: np.ndarray, annotators: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """[items, truth] posterior; annotators and labels (from 0) are flat, counts has the number of each item's labels."""
+def posterior(log_given: np.ndarray, log_prior: np.ndarray, counts: np.ndarray, annotators: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """[items, truth] posterior and the log-likelihood; annotators and labels (from 0) are flat, counts has the number of each item's labels."""
     out = np.repeat(log_prior[None, :], len(counts), 0)
     some = np.flatnonzero(counts)
     if len(some):
         first = np.cumsum(counts) - counts
         out[some] += np.add.reduceat(log_given[annotators, labels], first[some], axis=0)
-    out -= out.max(1, keepdims=True)
+    top = out.max(1, keepdims=True)
+    out -= top
     np.exp(out, out)
-    return out / out.sum(1, keepdims=True)
+    total = out.sum(1, keepdims=True)
+    return out / total, float((np.log(total) + top).sum())
 
 
 def _flat(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,35 +172,39 @@ def _models(votes_: DataFrame) -> list[str]:
     return sorted(names)
 
 
-def fit(items: DataFrame, names: list[str], scores: tuple[str, ...] = SCORES, iterations: int = ITERATIONS) -> dict[str, Mixture]:
+def fit(items: DataFrame, names: list[str], scores: tuple[str, ...] = SCORES, rounds: int = MOST_ROUNDS) -> dict[str, Mixture]:
     """EM over `items` (score_name, annotators array<int>, labels array<int>), at most one label per annotator."""
     packed = cut(items.mapInPandas(_pack, _BLOCK))
     models = {s: Mixture(len(names)) for s in scores}
     open_ = set(scores) if names else set()
-    for _ in range(iterations):
+    for _ in range(rounds):
         given = {s: (np.log(models[s].label_given_truth()), np.log(models[s].prior)) for s in open_}
 
         def expect(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
-            total = {s: np.zeros((len(names), LEVELS, LEVELS)) for s in given}
+            # The last two entries are the labels' number and their log-likelihood, made positive.
+            total = {s: np.zeros(len(names) * LEVELS * LEVELS + 2) for s in given}
             for pdf in batches:
                 for s, *blob in zip(pdf["score_name"], pdf["counts"], pdf["annotators"], pdf["labels"], strict=True):
                     if s not in given:
                         continue
                     n, a, b = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(blob, ("<u2", "<u2", "<u1"), strict=True))
-                    p = posterior(*given[s], n, a, b)
+                    p, ll = posterior(*given[s], n, a, b)
+                    total[s][-2:] += len(b), -ll
                     at, row = a * LEVELS + b, np.repeat(np.arange(len(n)), n)
-                    flat = total[s].reshape(-1, LEVELS)
+                    flat = total[s][:-2].reshape(-1, LEVELS)
                     for k in range(LEVELS):
                         flat[:, k] += np.bincount(at, weights=p[row, k], minlength=len(flat))
-            yield pd.DataFrame({"score_name": list(total), "counts": [x.ravel().tolist() for x in total.values()]})
+            yield pd.DataFrame({"score_name": list(total), "counts": [x.tolist() for x in total.values()]})
 
         sums = packed.mapInPandas(expect, "score_name string, counts array<double>")
         each = sums.select("score_name", F.posexplode("counts").alias("k", "v")).groupBy("score_name", "k").agg(F.sum("v").alias("v"))
-        expected = {s: np.zeros(len(names) * LEVELS * LEVELS) for s in scores}
+        expected = {s: np.zeros(len(names) * LEVELS * LEVELS + 2) for s in scores}
         for s, k, v in each.filter("v > 0").collect():
             expected[s][k] = v
         for s in list(open_):
-            if models[s].step(expected[s].reshape(len(names), LEVELS, LEVELS)) < TOLERANCE:
+            *cells, n, loss = expected[s]
+            models[s].advance(np.array(cells).reshape(len(names), LEVELS, LEVELS), -loss / max(n, 1))
+            if models[s].converged:
                 open_.discard(s)
         if not open_:
             break
@@ -190,7 +217,8 @@ def consensus(judge_log: DataFrame, scores: tuple[str, ...] = SCORES) -> tuple[D
     items: _eval_id, score_name, consensus (likeliest score), band, certainty (of the
     band), agreement (share of labels within one of the consensus), n_labels.  Every
     id with an ok judgment has a row per score; without a valid label the prior decides.
-    annotators: _model, score_name, competence, shift, blur, n_labels.  An empty log gives empty tables.
+    annotators: _model, score_name, competence, shift, blur, n_labels, and the rounds of the EM
+    with whether it converged.  An empty log gives empty tables.
     """
     spark = judge_log.sparkSession
     ok = judge_log.filter((F.col("_status") == "ok") & F.col("_eval_id").isNotNull() & F.col("judgment").isNotNull())
@@ -208,7 +236,7 @@ def consensus(judge_log: DataFrame, scores: tuple[str, ...] = SCORES) -> tuple[D
         for pdf in batches:
             for s, part in pdf.groupby("score_name"):
                 n, a, b = _flat(part)
-                p = posterior(*given[s], n, a, b)
+                p, _ = posterior(*given[s], n, a, b)
                 bands = np.add.reduceat(p, lows, axis=1)
                 best = p.argmax(1)
                 close = np.bincount(np.repeat(np.arange(len(n)), n), weights=np.abs(b - np.repeat(best, n)) <= 1, minlength=len(n))
@@ -218,6 +246,6 @@ def consensus(judge_log: DataFrame, scores: tuple[str, ...] = SCORES) -> tuple[D
                 )
 
     out = items.mapInPandas(decide, "_eval_id string, score_name string, consensus int, band string, certainty double, agreement double, n_labels int")
-    rows = [(n, s, float(m.theta[k]), float(m.shift[k]), float(m.blur[k])) for s, m in models.items() for k, n in enumerate(names)]
-    known = spark.createDataFrame(rows, "_model string, score_name string, competence double, shift double, blur double")
+    rows = [(n, s, float(m.theta[k]), float(m.shift[k]), float(m.blur[k]), m.rounds, m.converged) for s, m in models.items() for k, n in enumerate(names)]
+    known = spark.createDataFrame(rows, "_model string, score_name string, competence double, shift double, blur double, rounds int, converged boolean")
     return out, known.join(v.groupBy("_model", "score_name").agg(F.count("*").alias("n_labels")), ["_model", "score_name"])

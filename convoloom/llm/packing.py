@@ -18,26 +18,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .words import chunks, mix, words
 
 CAPACITY = 2048
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # read on the driver only; executors get the ranks
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DIMENSIONS, ORDER = 3, 10
 STRETCH = 4096  # neighbouring pieces that are packed against each other
 
 
 @cache
-def _encoding(path: str):
+def _encoding(ranks: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-def token_counts(texts: list[str], path: str = TOKENIZER) -> np.ndarray:
-    e = _encoding(path)
+def token_counts(texts: list[str], ranks: bytes) -> np.ndarray:
+    """Tokens of each text; ranks is the content of a vocabulary file."""
+    e = _encoding(ranks)
     safe = [(t or "").encode("utf-8", "replace").decode("utf-8") for t in texts]
     return np.fromiter(map(len, e.encode_ordinary_batch(safe, num_threads=1)), np.int64, len(texts))
 
@@ -107,13 +108,18 @@ _PLACED = "container_id long, doc_id long, piece int, token_start int, n_tokens
 
 
 def sized(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """doc_id, n_tokens, Hilbert key of each document with at least one token."""
+    """doc_id, n_tokens, Hilbert key of each document with at least one token.
+
+    The vocabulary (about 1 MB) is broadcast, so that no executor needs the file.
+    """
+    with open(path, "rb") as f:
+        ranks = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for big in batches:
             for pdf in chunks(big, "text"):
                 t = pdf["text"].tolist()
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": token_counts(t, path), "key": hilbert_key(project(t))})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": token_counts(t, ranks.value), "key": hilbert_key(project(t))})
 
     return documents.select("doc_id", "text").filter(F.length("text") > 0).mapInPandas(run, _SIZED).filter("n_tokens > 0")
 
@@ -123,10 +129,11 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER
 
     Every token of every row lies in exactly one container; containers hold at most
     `capacity` tokens.  Null and empty texts take no room.  Repeated rows are packed
-    as often as they come.
+    as often as they come.  The sizes (three numbers a document) are checkpointed before they are
+    sorted by range, as the sampling of the ranges would measure all texts once more.
     """
     pieces = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_tokens") / capacity).cast("int") - 1))
-    part = sized(documents, path).select("key", "doc_id", "n_tokens", pieces.alias("piece"))
+    part = cut(sized(documents, path)).select("key", "doc_id", "n_tokens", pieces.alias("piece"))
     part = part.select("key", "doc_id", "piece", (F.col("piece") * capacity).alias("token_start"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).alias("n_tokens"))
     along = part.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "piece")
 

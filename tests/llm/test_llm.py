@@ -386,8 +386,8 @@ def test_consensus_recovers_truth(spark):
         for m, (c, s) in judges.items():
             k += 1
             v = int(np.clip(round(r.normal(t + s, 0.6)), 1, 10)) if r.random() < c else 7 if m == "spam" else int(r.integers(1, 11))
-            rows.append((k, f"e{i}", m, "ok", None, (v, v, None), None, None))
-    rows += [(k + 1, "e0", "good", "error", None, None, "x", "x"), (k + 2, "only_null", "good", "ok", None, (None, 99, None), None, None), (k + 3, None, "good", "ok", None, (1, 1, None), None, None)]
+            rows.append((k, f"e{i}", m, "ok", None, (v, v, None), None, None, None))
+    rows += [(k + 1, "e0", "good", "error", None, None, "x", "x", None), (k + 2, "only_null", "good", "ok", None, (None, 99, None), None, None, None), (k + 3, None, "good", "ok", None, (1, 1, None), None, None, None)]
     items, annotators = consensus.consensus(spark.createDataFrame(rows, JL))
     got = {(e, s): b for e, s, b in rows_of(items.select("_eval_id", "score_name", "band"))}
     assert len(got) == 2 * 301
@@ -395,6 +395,7 @@ def test_consensus_recovers_truth(spark):
     assert np.mean([got[f"e{i}", "overall_score"] == band[t] for i, t in enumerate(truth)]) > 0.95
     c = {m: x for m, x in annotators.filter("score_name = 'overall_score'").select("_model", "competence").collect()}
     assert c["good"] > 0.85 and c["spam"] < 0.3
+    assert {r["converged"] for r in annotators.collect()} == {True} and 1 < annotators.first()["rounds"] < consensus.MOST_ROUNDS
     empty = spark.createDataFrame([], JL)
     assert rows_of(consensus.consensus(empty)[0]) == []
 

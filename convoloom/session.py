@@ -23,13 +23,20 @@ def local_session(cores: str = "8", app: str = "convoloom") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The shared folder that the session names in spark.checkpoint.dir.
+
+    Where it is unset, a session on the driver's machine alone (master `local`) gets a folder
+    there; on a cluster that is an error, as executors can't read each other's disks.
+    """
     sc = spark.sparkContext
     here = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if here:
         return here
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    there = there or "file://" + tempfile.mkdtemp(prefix="convoloom-")
+    if not there:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        there = "file://" + tempfile.mkdtemp(prefix="convoloom-")
     sc.setCheckpointDir(there)
     return there
 

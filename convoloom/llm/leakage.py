@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .bloom import Bloom
 from .words import Words, chunks, mix, words
 
 WINDOW, CHANGES, BLOCK = 22, 3, 5
@@ -215,25 +217,32 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same result for any number of items: blocks meet in a shuffle join, then whole pairs are verified."""
+    """The same result for any number of items: blocks meet in a shuffle join, then the places of the hits are verified.
+
+    Blocks of documents that no item has are dropped where they are read (Bloom filter).
+    """
     body = F.when(F.col("text").rlike(r"\n\s*\n"), F.regexp_replace("text", r"^(?s)(?:(?!\n\s*\n).)*\n\s*\n", "")).otherwise(F.col("text"))
-    i = items.select(F.col("item_id").alias("id"), body.alias("text"))
-    d = docs.select(F.col("doc_id").alias("id"), "text")
     schema = "id long, at int, f long"
-    left = d.mapInPandas(_blocks, schema).select(F.col("id").alias("doc_id"), F.col("at").alias("place"), "f")
-    right = i.mapInPandas(_blocks, schema).select(F.col("id").alias("item_id"), "f").distinct()
+    right = cut(items.select(F.col("item_id").alias("id"), body.alias("text")).mapInPandas(_blocks, schema).select(F.col("id").alias("item_id"), "f").distinct())
+    known = Bloom(right.select(F.col("f").alias("k")))
+
+    def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _blocks(batches):
+            yield pdf[known.may_hold(pdf["f"].to_numpy(np.int64))]
+
+    left = docs.select(F.col("doc_id").alias("id"), "text").mapInPandas(of_items, schema).select(F.col("id").alias("doc_id"), F.col("at").alias("place"), "f")
     hits = left.join(right, "f").select("doc_id", "item_id", "place").distinct()
     w = Window.partitionBy("doc_id", "item_id").orderBy("place")
     near = hits.withColumn("ahead", F.lead("place", LEAST_BLOCKS - 1).over(w)).filter(F.col("ahead") - F.col("place") <= WINDOW - BLOCK + CHANGES)
-    pairs = near.select("doc_id", "item_id").distinct()
+    pairs = near.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
     full = pairs.join(docs, "doc_id").join(items.select("item_id", F.col("text").alias("item")), "item_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = []
-            for t, x in zip(pdf["text"], pdf["item"], strict=True):  # overlapping pieces keep the alignment's table small
+            for t, x, places in zip(pdf["text"], pdf["item"], pdf["places"], strict=True):
                 a, b = words([t]).hash, words([item_body(x)]).hash
-                ok.append(any(window_within(b, a[s : s + PIECE + 2 * WINDOW]) for s in range(0, max(1, len(a)), PIECE)))
+                ok.append(any(window_within(b, part) for part in _pieces(a, np.asarray(places))))
             yield pdf.loc[ok, ["doc_id", "item_id"]]
 
     return full.mapInPandas(verify, "doc_id long, item_id long").distinct()

@@ -28,6 +28,7 @@ MAX_TRAIN_CHARS = 20_000  # longer reviewed documents are not used for the fit;
 MIN_OTHERS = 200
 STRONG = 2.7  # log odds from which a word or bigram is typical of a category
 EPOCHS = 10
+FOLDS = 2
 MIN_SCORE = 0.5
 _STOPS = np.array([10, 46, 33, 63, 0x2026, 0x3002, 0], np.uint32)
 _QUOTES = np.array([34, 0x201C, 0x201D, 0x201E, 0xAB, 0xBB], np.uint32)
@@ -163,7 +164,8 @@ def _odds(t: Tokens, positive: np.ndarray, unknown: np.ndarray) -> np.ndarray:
     best = np.full(len(t.doc), -9.0)
     for k in range(3):
         key = t.feature[:, k]
-        pair = np.unique(key.astype(np.int64) * len(positive) + t.doc)  # each word once a document
+        pair = np.sort(key.astype(np.int64) * len(positive) + t.doc)  # each word once a document
+        pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))] if len(pair) else pair
         where, doc = pair // len(positive), pair % len(positive)
         p = np.bincount(where, weights=positive[doc], minlength=1 << BITS)
         q = np.bincount(where, weights=other[doc], minlength=1 << BITS)
@@ -205,26 +207,22 @@ def spans(t: Tokens, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return state, telling
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[Field, np.ndarray]:
-    """The field and each category's cutoff, from documents and their labels [docs, categories]."""
+def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Field:
+    """The field, from documents and their labels [docs, categories]."""
     t = tokenise_all(texts)
     weights = np.zeros((1 << BITS, STATES), np.float32)
     moves = np.zeros((STATES, STATES))
     field = Field(weights, moves)
     if not len(t.doc):
-        return field, np.full(len(CATEGORIES), MIN_SCORE)
+        return field
     rng = np.random.default_rng(seed)
     state, telling = spans(t, labels)
     n = np.diff(t.bounds)
     # Repeated sentences teach nothing new: each is kept once per state.
     with np.errstate(over="ignore"):
         key = np.add.reduceat(mix(t.unigram + state.astype(np.uint64)), t.bounds[:-1])
-    _, once, times = np.unique(key, return_index=True, return_counts=True)
-    once, times = once[telling[once]], times[telling[once]]
-    # Of the many single sentences in documents without any category, every other one (by hash) is enough.
-    spare = (times == 1) & ((key[once] & np.uint64(1)) == 0)
-    calm = (np.nan_to_num(labels) < 0.5).all(1)[t.doc[t.bounds[:-1]]][once]
-    once = once[~(spare & calm)]
+    _, once = np.unique(key, return_index=True)
+    once = once[telling[once]]
     g2, gm = np.full(weights.shape, 1e-6, np.float32), np.full(moves.shape, 1e-6)
     hot = np.eye(STATES, dtype=np.float32)[state]
     for epoch in range(epochs):
@@ -244,7 +242,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             for k in range(t.feature.shape[1]):
                 ids, inv = np.unique(t_sub.feature[:, k], return_inverse=True)
                 g = np.zeros((len(ids), STATES), np.float32)
-                np.add.at(g, inv, d)
+                for y in range(STATES):
+                    g[:, y] = np.bincount(inv, weights=d[:, y], minlength=len(ids))
                 g -= 0.02 * weights[ids]
                 g2[ids] += g * g
                 weights[ids] += 0.25 * g / np.sqrt(g2[ids] + 1e-3)
@@ -255,8 +254,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             gm += (seen - expected) ** 2
             moves += 0.2 * (seen - expected) / np.sqrt(gm)
             np.clip(moves, -6, 6, out=moves)
-    doc_scores = document_scores(field.marginals(t), t, len(texts))
-    return field, np.array([_cutoff(doc_scores[:, k], labels[:, k]) for k in range(len(CATEGORIES))])
+    return field
 
 
 @dataclass
@@ -321,9 +319,42 @@ def reviewed(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED)
     return text.join(F.broadcast(sample), "doc_id")
 
 
+_FITTED = "fold int, weights binary, moves array<double>, row int, score array<double>"
+
+
 def trained(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[Field, np.ndarray]:
-    rows = reviewed(documents, labels, most).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return fit(rows["text"].tolist(), rows[list(CATEGORIES)].to_numpy(dtype=float))
+    """The field, fitted on all sampled documents, and the categories' cutoffs.
+
+    Cutoffs rest on documents that a field hasn't seen: in each fold another part of the sample is
+    scored by a field of the rest.  The sample is bounded (`most` documents of MAX_TRAIN_CHARS), so it
+    is broadcast; the fits are independent and run on the executors at the same time.
+    """
+    spark = documents.sparkSession
+    rows = reviewed(documents, labels, most).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
+    sent = spark.sparkContext.broadcast((rows["text"].tolist(), rows[list(CATEGORIES)].to_numpy(dtype=float)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts, votes = sent.value
+        own = np.arange(len(texts)) % FOLDS
+        for pdf in batches:
+            for fold in pdf["id"]:
+                use, out = np.flatnonzero(own != fold), np.flatnonzero((own == fold) & ~np.isnan(votes).all(1))
+                field = fit([texts[i] for i in use], votes[use])
+                if fold == FOLDS:  # no document's own: the field of the whole sample
+                    yield pd.DataFrame({"fold": [fold], "weights": [field.weights.tobytes()], "moves": [field.moves.ravel()], "row": [None], "score": [None]})
+                elif len(out):
+                    t = tokenise_all([texts[i] for i in out])
+                    score = document_scores(field.marginals(t), t, len(out))
+                    yield pd.DataFrame({"fold": fold, "weights": None, "moves": None, "row": out, "score": list(score)})
+
+    got = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInPandas(run, _FITTED).collect()
+    whole = next(r for r in got if r["fold"] == FOLDS)
+    field = Field(np.frombuffer(whole["weights"], np.float32).reshape(-1, STATES), np.array(whole["moves"]).reshape(STATES, STATES))
+    held = [r for r in got if r["fold"] != FOLDS]
+    if not held:
+        return field, np.full(len(CATEGORIES), MIN_SCORE)
+    score, label = np.array([r["score"] for r in held]), sent.value[1][[r["row"] for r in held]]
+    return field, np.array([_cutoff(score[:, k], label[:, k]) for k in range(len(CATEGORIES))])
 
 
 def scored(documents: DataFrame, field: Field) -> DataFrame:

@@ -84,6 +84,32 @@ RESTARTS_FAIL = 6
 ARTIFACT_KNOWN = r"\.(?:cw|cltr|clt|cwt|ctr)\b\s*$|(?:\bcw|\bcltr)\s*$"  # case counts
 ARTIFACT_TAIL = r"[A-Za-z]{3,}\.([a-z]{1,4})\s*$"  # case counts
 ARTIFACT_ALLOWED = "com org net io ai co gov edu py js ts md txt csv json html htm xml yaml yml pdf png jpg jpeg gif svg sh go rs rb cpp etc".split()
+ARTIFACT_JUNK = "cw|cltr|clt|cwt|ctr|ot"
+CLOSING_PHRASES = (
+    r"(?i)(?:\s*(?:"
+    r"(?:will\s+|now\s+|let'?s\s+|i'?ll\s+|then\s+)*(?:produce|write|give|output|provide|craft|deliver)\s+(?:the\s+)?(?:final\s+)?(?:answer|response|output|reply)\b[^.\n]*\.?"
+    r"|let'?s\s+(?:comply|proceed|do\s+it|go|begin|start|answer|write)\b[^.\n]*\.?"
+    r"|proceed\.?"
+    r"|time\s+to\s+(?:answer|write|respond|produce)\b[^.\n]*\.?"
+    r"|now\s+(?:answer|respond|write\s+it)\b[^.\n]*\.?"
+    r"|ok(?:ay)?,?\s+(?:let'?s\s+)?(?:proceed|go|comply|do\s+it)\.?"
+    r")\s*)+$"
+)
+EMPTY_REASONING = ("", ".", "..", "...", "…")
+PROMPT_ECHO = [
+    r"write the user'?s? next message",
+    r"output only the user'?s? message",
+    r"your request to the assistant this turn",
+    r"make it a coherent continuation",
+    r"full conversation so far",
+    r"do not answer your own question",
+    r"(?:^|\n)\s*-\s*persona\s*:",
+    r"(?:^|\n)\s*-\s*length\s*:",
+]
+BACK_REFERENCE = r"\b(?:earlier|before|you (?:said|mentioned|noted|wrote)|previously|that point|you brought up|going back)\b"
+MORE_STOPWORDS = "this that these those it its as be".split()
+PERSONAS = ("curious", "skeptical", "frustrated", "enthusiastic", "terse-expert", "casual")
+VERBOSITIES = ("short", "medium", "long")
 FILLER_TAIL = [
     r"\bwill produce (?:the )?final answer\.?",
     r"\blet'?s comply\.?",

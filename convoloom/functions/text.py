@@ -23,6 +23,12 @@ def any_of(patterns: list[str] | str) -> str:
     return "(?i)" + ("|".join(f"(?:{p})" for p in patterns) if isinstance(patterns, list) else patterns)
 
 
+def uniform(seed: int, *parts: Column) -> Column:
+    """A number in [0, 1) that depends on the seed and the parts only: the first 32 bits of an MD5; the same on any cluster."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts)).cast("binary"))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def has(c: Column, patterns: list[str] | str) -> Column:
     return text(c).rlike(any_of(patterns))
 
@@ -42,8 +48,8 @@ def evidence(c: Column, n: int = 100) -> Column:
 
 
 def words(c: Column) -> Column:
-    """Lower-case runs of ASCII letters, digits and underscores."""
-    return F.regexp_extract_all(F.lower(text(c)), F.lit(r"[a-z0-9_]+"), 0)
+    """Lower-case runs of letters, digits and underscores of any script; combining marks end a run."""
+    return F.regexp_extract_all(F.lower(text(c)), F.lit(r"[\p{L}\p{N}_]+"), 0)
 
 
 def word_count(c: Column) -> Column:
@@ -136,7 +142,7 @@ def first_match(c: Column, patterns: list[str], n: int = 50) -> Column:
 
 def trailing_artifact(c: Column) -> Column:
     t = F.rtrim(F.regexp_replace(text(c), r"\s+$", ""))
-    tail = F.regexp_extract(t, P.ARTIFACT_TAIL, 1)
+    tail = F.lower(F.regexp_extract(t, P.ARTIFACT_TAIL, 1))
     return t.rlike(P.ARTIFACT_KNOWN) | ((tail != "") & ~tail.isin(*P.ARTIFACT_ALLOWED))
 
 
@@ -203,10 +209,55 @@ def parse_think(c: Column) -> Column:
     return F.struct(F.when(good, inner).alias("reasoning"), F.when(good, rest).otherwise(bare(text(c))).alias("answer"), good.alias("well_formed"))
 
 
+def without_artifact(c: Column) -> Column:
+    """A junk token glued to the end removed: after a sentence end, after a word and a point (`write.s`), or bare; file endings stay."""
+    t = F.regexp_replace(text(c), r"\s+$", "")
+    glued = F.regexp_replace(t, r"(?<=[.!?*)\]\"'])\s*(?:" + P.ARTIFACT_JUNK + r")\s*$", "")
+    tail = F.regexp_extract(t, P.ARTIFACT_TAIL, 1)
+    cut = F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(tail) - 1), F.lit("."))
+    bare = F.regexp_replace(t, r"\s+(?:" + P.ARTIFACT_JUNK + r")\s*$", "")
+    return F.when(glued != t, F.regexp_replace(glued, r"\s+$", "")).when((tail != "") & ~F.lower(tail).isin(*P.ARTIFACT_ALLOWED), cut).otherwise(bare)
+
+
 def sanitize(c: Column) -> Column:
-    """The reserved phrase replaced, a glued junk token and mechanical closing phrases removed; never emptied."""
-    t = F.regexp_replace(text(c), r"(?i)\bstanding (instruction)", "ongoing $1")
-    t = F.regexp_replace(F.regexp_replace(t, r"\s+$", ""), r"(?<=[.!?*)\]\"'])\s*(?:cw|cltr|clt|cwt|ctr|ot)\s*$", "")
-    filler = r"(?i)(?:\s*(?:(?:will\s+|now\s+|let'?s\s+|i'?ll\s+|then\s+)*(?:produce|write|give|output|provide|craft|deliver)\s+(?:the\s+)?(?:final\s+)?(?:answer|response|output|reply)\b[^.\n]*\.?|let'?s\s+(?:comply|proceed|do\s+it|go|begin|start|answer|write)\b[^.\n]*\.?|proceed\.?)\s*)+$"
-    s = F.trim(F.regexp_replace(t, filler, ""))
-    return F.when(c.isNull(), F.lit(None)).otherwise(F.when(s == "", F.trim(t)).otherwise(s))
+    """Reasoning with the reserved phrase replaced, a glued junk token and mechanical closing phrases removed; never emptied, null stays null."""
+    t = without_artifact(F.regexp_replace(text(c), r"(?i)\bstanding (instruction)", "ongoing $1"))
+    s = F.regexp_replace(F.regexp_replace(t, P.CLOSING_PHRASES, ""), r"\s+$", "")
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.when(c.isNull(), F.lit(None)).otherwise(F.when(strip(s) == "", strip(t)).otherwise(strip(s)))
+
+
+def prompt_echo(c: Column) -> Column:
+    """Does a simulated user message repeat its own instructions?"""
+    return has(c, P.PROMPT_ECHO)
+
+
+def references_prior(c: Column, topic_: Column) -> Column:
+    """Does the text name a word of the topic (stopwords aside) or point back in words?"""
+    low = F.lower(text(c))
+    w = F.filter(F.regexp_extract_all(F.lower(text(topic_)), F.lit(r"[a-z0-9']+"), 0), lambda x: ~x.isin(*P.TOPIC_STOPWORDS, *P.MORE_STOPWORDS))
+    return F.exists(w, lambda x: F.contains(low, x)) | low.rlike(P.BACK_REFERENCE)
+
+
+def segment_response(field: Column, content: Column, source: str = "auto") -> Column:
+    """struct<reasoning, answer, well_formed> of a response with an optional reasoning field.
+
+    `auto` takes the field if it says something, else a think block in the content; `field`
+    and `inline` only ever look at one of them.  Think tags never stay in an answer.
+    """
+    if source not in ("auto", "field", "inline"):
+        raise ValueError(f"unknown source {source!r}")
+    inline = parse_think(content)
+    if source == "inline":
+        return inline
+    strip = lambda x: F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    said = strip(text(field))
+    empty = F.lower(said).isin(*P.EMPTY_REASONING)
+    answer = strip(F.regexp_replace(F.regexp_replace(text(content), r"(?is)<think\s*>.*?</think\s*>", ""), r"(?i)</?think\s*>", ""))
+    own = F.struct(F.when(~empty, said).otherwise("").alias("reasoning"), answer.alias("answer"), (~empty).alias("well_formed"))
+    return own if source == "field" else F.when(~empty, own).otherwise(inline)
+
+
+def harness_match(c: Column) -> Column:
+    """The first leaked phrase of the instructions; null without one."""
+    return first_match(c, P.HARNESS, 80)

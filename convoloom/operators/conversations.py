@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from . import order
 
 
 def blank(c: Column) -> Column:
@@ -106,7 +107,7 @@ def variants(df: DataFrame, key: str, kinds: tuple[str, ...] = ("reasoning", "in
     if unknown:
         raise ValueError(f"unknown variants: {sorted(unknown)}")
     x = df.select(F.col(key).alias("k"), "interactions", F.explode(F.array(*map(F.lit, kinds))).alias("variant"))
-    draw = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("k").cast("string"), i), F.lit(1_000_000)) / 1_000_000
+    draw = lambda i: T.uniform(seed, F.col("k"), i)
     drop = lambda i: (F.col("variant") == "instruct") | ((F.col("variant") == "mixed") & (draw(i) >= keep))
     out = F.transform("interactions", lambda v, i: F.struct(v["query"].alias("query"), F.when(~drop(i), v["think"]).alias("think"), v["answer"].alias("answer")))
     return x.select(F.concat_ws(":", F.col("k").cast("string"), "variant").alias("conversation_id"), "variant", out.alias("interactions"))
@@ -139,10 +140,10 @@ def sample_per(df: DataFrame, by: str, key: str, n: int, seed: int = 42) -> Data
 
 
 def split_at(df: DataFrame, key: str, position: int) -> tuple[DataFrame, DataFrame]:
-    """Rows before and from the given position in the order of the key (rank by count of smaller keys)."""
-    bound = df.select(key).distinct().orderBy(key).limit(position).agg(F.max(key).alias("b"), F.count("*").alias("n"))
-    x = df.crossJoin(F.broadcast(bound))
-    return x.filter(F.col(key) <= F.col("b")).drop("b", "n"), x.filter(F.col("b").isNull() | (F.col(key) > F.col("b"))).drop("b", "n")
+    """Rows before and from the given position in the order of distinct keys; rows without a key come last."""
+    bound = order.key_at(df, key, position)
+    before = F.lit(False) if bound is None else F.coalesce(F.col(key) <= F.lit(bound), F.lit(False))
+    return df.filter(before), df.filter(~before)
 
 
 def append(existing: DataFrame | None, new: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ sets share one of their rarest words, so rows meet only under those.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,11 @@ def greedy(df: DataFrame, key: str, text: str, threshold: float = 0.9) -> DataFr
     df_count = words.groupBy("t").agg(F.count("*").alias("f"))
     ranked = words.join(df_count, "t").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("r"))
     prefix = ranked.select("id", "n", F.explode(F.slice("r", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1)).alias("x")).select("id", "n", F.col("x.t").alias("t"))
-    a, b = prefix.toDF("a", "na", "t"), prefix.toDF("b", "nb", "t")
-    pairs = a.join(b, "t").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+    # Similar sets are of similar size: their size classes are equal or neighbours, so a frequent word is split by size.
+    size = F.floor(F.log(F.col("n").cast("double")) / -math.log(min(threshold, 0.99))).cast("int") if threshold > 0 else F.lit(0)
+    a = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "t", size.alias("s"))
+    b = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t", F.explode(F.array(size - 1, size, size + 1)).alias("s"))
+    pairs = a.join(b, ["t", "s"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
     w = distinct.select("id", "w")
     full = pairs.join(w.toDF("a", "wa"), "a").join(w.toDF("b", "wb"), "b")
     shared = F.size(F.array_intersect("wa", "wb"))

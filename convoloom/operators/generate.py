@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.parsing import judgment
 
 
@@ -72,7 +73,7 @@ def plan(seeds: DataFrame, key: str, turns: int, mix: dict[str, float], seed: in
     The inverse of the cumulative weights, evaluated on a hash: the same plan on any cluster.
     """
     x = seeds.select(F.col(key), F.explode(F.sequence(F.lit(1), F.lit(turns - 1))).alias("turn_index"))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col("turn_index")), F.lit(1_000_000)) / 1_000_000
+    u = T.uniform(seed, F.col(key), F.col("turn_index"))
     total, at, pick = sum(mix.values()), 0.0, None
     for name, w in mix.items():
         at += w / total
@@ -85,14 +86,15 @@ def draw_pairs(rows: DataFrame, key: list[str], intents: dict[str, float], polic
 
     Drawing until a valid pair comes has a closed form: pairs are drawn by the product
     of their weights among the valid ones.  `allowed` names an ARRAY<STRING> column of
-    permitted intents; null permits all, and a row without any permitted intent gets nulls.
+    permitted intents; null permits all, as does a list that permits none of the intents.
     """
     pairs = [(i, p, w * v) for i, w in intents.items() for p, v in policies.items() if (i, p) not in invalid and w * v > 0]
     if not pairs:
         raise ValueError("no valid pair of intent and policy")
     table = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.lit(float(w)).alias("w")) for i, p, w in pairs))
-    ok = table if allowed is None else F.when(F.col(allowed).isNull(), table).otherwise(F.filter(table, lambda x: F.array_contains(F.coalesce(F.col(allowed), F.array().cast("array<string>")), x["i"])))
-    u = F.pmod(F.xxhash64(F.lit(seed), *(F.col(k).cast("string") for k in key)), F.lit(1 << 40)) / (1 << 40)
+    some = table if allowed is None else F.filter(table, lambda x: F.array_contains(F.coalesce(F.col(allowed), F.array().cast("array<string>")), x["i"]))
+    ok = table if allowed is None else F.when(F.size(some) > 0, some).otherwise(table)
+    u = T.uniform(seed, *(F.col(k) for k in key))
     total = F.aggregate("_ok", F.lit(0.0), lambda a, x: a + x["w"])
     none = F.lit(None).cast("struct<i:string,p:string,w:double>")
     # The fold keeps the weight passed so far and the first pair that passes the target.

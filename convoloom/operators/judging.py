@@ -11,13 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
+
 SCORES = ("memory_score", "instruction_score", "freshness_score", "overall_score")
 LOW, HIGH = 1, 10
-PLACES = 4
+PLACES = 3
 
 
 def rounded(c: Column, places: int = PLACES) -> Column:
-    return F.round(c.cast("double"), places)
+    """Half to even."""
+    return F.bround(c.cast("double"), places)
 
 
 def flatten(log: DataFrame) -> DataFrame:
@@ -157,26 +160,37 @@ def top_disagreements(rows: DataFrame, reference: str, limit: int = 25) -> DataF
     return p.withColumn("total_abs_diff", total).orderBy(F.col("total_abs_diff").desc_nulls_last(), "_eval_id", "model").limit(limit)
 
 
-def fleiss_kappa(rows: DataFrame) -> DataFrame:
-    """Per score: items rated by every model present, raters and kappa (null with fewer than two raters or one category only)."""
+def fleiss_kappa(rows: DataFrame, complete: bool = True) -> DataFrame:
+    """Per score: items, raters and kappa (null with fewer than two raters or one category only).
+
+    `complete` counts the items rated by every model present, as Fleiss has it.  Without it
+    every item with two ratings or more counts, with as many raters as it has: its own
+    agreement among its pairs, and chance agreement from all ratings; on complete data both are equal.
+    Ratings outside the scale count as disagreement.
+    """
     o = ok(rows).filter(F.col("_model").isNotNull())
     long = o.select("_eval_id", "_model", F.explode(F.array(*(F.struct(F.lit(s).alias("metric"), F.col(s).alias("v")) for s in SCORES))).alias("x")).select("_eval_id", "_model", "x.metric", "x.v").filter("v IS NOT NULL")
     raters = long.groupBy("metric").agg(F.countDistinct("_model").alias("n_raters"))
     cells = long.groupBy("metric", "_eval_id", "v").agg(F.count("*").alias("c"))
-    items = cells.groupBy("metric", "_eval_id").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("v").between(LOW, HIGH), F.col("c") * F.col("c")).otherwise(0)).alias("sq"), F.map_from_entries(F.collect_list(F.struct("v", "c"))).alias("m"))
-    full = items.join(F.broadcast(raters), "metric").filter(F.col("n") == F.col("n_raters"))
-    head = full.groupBy("metric", "n_raters").agg(F.count("*").alias("n_items"), F.avg(F.try_divide(F.col("sq") - F.col("n"), F.col("n") * (F.col("n") - 1))).alias("p_bar"))
-    share = full.select("metric", "n_raters", F.explode("m").alias("v", "c")).filter(F.col("v").between(LOW, HIGH)).groupBy("metric", "v").agg(F.sum("c").alias("c")).groupBy("metric").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
-    k = head.join(share, "metric", "left").withColumn("pe", F.col("cc") / ((F.col("n_items") * F.col("n_raters")) * (F.col("n_items") * F.col("n_raters"))))
-    kappa = F.when((F.col("pe") != 1) & (F.col("n_raters") > 1), F.try_divide(F.col("p_bar") - F.col("pe"), 1 - F.col("pe")))
-    out = k.select("metric", "n_items", "n_raters", rounded(kappa).alias("fleiss_kappa"))
-    return raters.join(out.drop("n_raters"), "metric", "left").select("metric", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "n_raters", "fleiss_kappa")
+    items = cells.groupBy("metric", "_eval_id").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("v").between(LOW, HIGH), F.col("c") * (F.col("c") - 1)).otherwise(0)).alias("agreeing"), F.map_from_entries(F.collect_list(F.struct("v", "c"))).alias("m"))
+    full = items.join(F.broadcast(raters), "metric").filter((F.col("n") == F.col("n_raters")) if complete else (F.col("n") > 1))  # one row per score
+    head = full.groupBy("metric").agg(F.count("*").alias("n_items"), F.sum("n").alias("total"), F.avg(F.try_divide("agreeing", F.col("n") * (F.col("n") - 1))).alias("p_bar"))
+    share = full.select("metric", F.explode("m").alias("v", "c")).filter(F.col("v").between(LOW, HIGH)).groupBy("metric", "v").agg(F.sum("c").alias("c")).groupBy("metric").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
+    k = head.join(share, "metric", "left").withColumn("pe", F.col("cc") / (F.col("total") * F.col("total")))
+    kappa = F.when((F.col("pe") != 1) & F.col("p_bar").isNotNull(), F.try_divide(F.col("p_bar") - F.col("pe"), 1 - F.col("pe")))
+    out = k.select("metric", "n_items", rounded(kappa).alias("fleiss_kappa"))
+    return raters.join(out, "metric", "left").select("metric", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "n_raters", "fleiss_kappa")
 
 
 def operations(rows: DataFrame) -> DataFrame:
-    agg = [F.count("_eval_id").alias("n_ok"), rounded(F.avg("_latency_seconds")).alias("avg_latency_seconds"), rounded(F.median("_latency_seconds")).alias("p50_latency_seconds"), rounded(F.percentile("_latency_seconds", F.lit(0.95))).alias("p95_latency_seconds")]
+    """Per model: mean, median and 95th percentile of the latency, and mean tokens and sizes, over ok rows."""
+    o = ok(rows)
+    agg = [F.count("_eval_id").alias("n_ok"), rounded(F.avg("_latency_seconds")).alias("avg_latency_seconds")]
     agg += [rounded(F.avg(c)).alias(f"avg_{c}") for c in ("prompt_tokens", "completion_tokens", "reasoning_tokens", "total_tokens", "n_interactions", "prompt_chars")]
-    return ok(rows).groupBy("_model").agg(*agg)
+    places = order.percentiles(o, ["_model"], "_latency_seconds", {"p50": 0.5, "p95": 0.95}).withColumnRenamed("_model", "m")
+    g = o.groupBy("_model").agg(*agg).join(places, F.col("_model").eqNullSafe(F.col("m")), "left")
+    mean, *rest = (c for c in g.columns if c.startswith("avg_"))
+    return g.select("_model", "n_ok", mean, rounded(F.col("p50")).alias("p50_latency_seconds"), rounded(F.col("p95")).alias("p95_latency_seconds"), *rest)
 
 
 def common_only(rows: DataFrame) -> DataFrame:
@@ -187,6 +201,12 @@ def common_only(rows: DataFrame) -> DataFrame:
     return rows.join(ids, "_eval_id", "left_semi")
 
 
+def most_covering(rows: DataFrame, n: int) -> DataFrame:
+    """The rows of the n models that judged most ids ok; of equal ones the first by name."""
+    top = ok(rows).groupBy("_model").agg(F.countDistinct("_eval_id").alias("k")).orderBy(F.col("k").desc(), "_model").limit(n)
+    return rows.join(F.broadcast(top.select("_model")), "_model", "left_semi")  # n rows
+
+
 def shape(rows: DataFrame) -> DataFrame:
     first = rows.groupBy("_eval_id").agg(F.min_by(F.struct("_subset", "n_interactions", "prompt_chars"), "seq").alias("r")).select("_eval_id", "r.*")
     return first.filter(F.col("_subset").isNotNull()).groupBy("_subset").agg(F.count("*").alias("n_examples"), rounded(F.avg("n_interactions")).alias("avg_n_interactions"), F.min("n_interactions").alias("min_n_interactions"), F.max("n_interactions").alias("max_n_interactions"), rounded(F.avg("prompt_chars")).alias("avg_prompt_chars"))

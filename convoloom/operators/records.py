@@ -98,13 +98,11 @@ def replace_names(df: DataFrame, key: str, names: list[str], new: list[str], ski
 
     Later names see earlier replacements.  A name is skipped with probability `skip`.
     """
-    draw = lambda n: F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.lit(n)), F.lit(1 << 30))
     pool = F.array(*map(F.lit, new))
     q, a = F.col("query"), F.col("answer")
     for n in names:
-        d = draw(n)
-        go = (d / (1 << 30)) >= skip
-        to = F.element_at(pool, (F.pmod(F.shiftright(d, 3), F.lit(len(new))) + 1).cast("int"))
+        go = X.uniform(seed, F.col(key), F.lit(n), F.lit("skip")) >= skip
+        to = F.element_at(pool, F.floor(X.uniform(seed, F.col(key), F.lit(n)) * len(new)).cast("int") + 1)
         q, a = (F.when(go, F.replace(c, F.lit(n), to)).otherwise(c) for c in (q, a))
     return df.withColumns({"query": q, "answer": a})
 

@@ -120,9 +120,10 @@ def repeat_ratio_by_source(spark, d):
 
 
 def checker_results(spark, d):
-    a = F.col("answer")
+    """One row per record and checker."""
     x = _mrl(spark, d, "answer").filter("answer IS NOT NULL")
-    return x.select(F.count("*").alias("n"), *(F.sum(C.check(n.replace("_5", ""), a, p).cast("long")).alias(n) for n, p in CHECKS))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("checker"), C.check(n.replace("_5", ""), F.col("answer"), p).alias("passed")) for n, p in CHECKS))).alias("x")
+    return x.select("record_id", each).select("record_id", "x.checker", "x.passed")
 
 
 def standing_adherence(spark, d):
@@ -263,7 +264,7 @@ _W = (
     "turns AS (SELECT completion_id AS c, CAST(i - 1 AS INTEGER) AS turn_index, interactions[i].query AS query, interactions[i].think AS reasoning, interactions[i].answer AS answer FROM comp, unnest(range(1, len(interactions) + 1)) AS u(i)) "
 )
 _BLANK = lambda x: f"NOT regexp_matches(coalesce({x}, ''), '\\S')"
-_WORDS = lambda x: f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9_]+')"
+_WORDS = lambda x: f"regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}_]+')"
 _COUNT = lambda x: f"len(regexp_extract_all(coalesce({x}, ''), '[\\p{{L}}\\p{{N}}_][''\\p{{L}}\\p{{N}}_-]*'))"
 _CLEAN = lambda x: f"trim(regexp_replace(coalesce({x}, ''), '[\\s]+', ' ', 'g'))"
 _SENT = lambda x: f"list_filter(string_split(regexp_replace({_CLEAN(x)}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_matches(s, '[^\\s\\p{{Z}}]'))"
@@ -368,8 +369,8 @@ ORACLE = {
     "answer_quality_gate": _W + f"SELECT CASE WHEN length({_TRIMMED}) < 8 THEN 'too_short' WHEN len({_WORDS(_TRIMMED)}) < 2 THEN 'too_few_words' WHEN {has(_TRIMMED, P.REFUSAL)} THEN 'refusal' WHEN {_repeat(_TRIMMED)} > 0.5 THEN 'repetition' ELSE 'ok' END AS result, count(*) AS n FROM turns GROUP BY 1",
     "reasoning_shape": _W + f"SELECT c, turn_index, CAST({_COUNT('reasoning')} AS INTEGER) AS n_words, CAST(len({_SENT('reasoning')}) AS INTEGER) AS n_sentences, CAST({_LINES('reasoning')} AS INTEGER) AS n_lines, {_DEGENERATE('reasoning')} AS degenerate, CAST({_RESTARTS('reasoning')} AS INTEGER) AS restarts, round({_repeat('reasoning')}, 6) AS repeat_ratio FROM turns WHERE regexp_matches(reasoning, '\\S')",
     "reasoning_answer_overlap": _W + f"SELECT c, turn_index, round({_overlap('reasoning', 'answer')}, 6) AS overlap, round({_jaccard('query', 'answer')}, 6) AS jaccard FROM turns",
-    "repeat_ratio_by_source": f"SELECT source, count(*) AS n, round(avg(r), 6) AS mean_ratio, count(*) FILTER (WHERE r > 0.5) AS n_high FROM (SELECT source, {_repeat('text')} AS r FROM documents WHERE text IS NOT NULL) GROUP BY source",
-    "checker_results": _W + "SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {_CHECK_SQL[n]}) AS {n}" for n, _ in CHECKS) + " FROM mrl WHERE answer IS NOT NULL",
+    "repeat_ratio_by_source": f"WITH w AS (SELECT doc_id, source, {_WORDS('text')} AS w FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w), g AS (SELECT doc_id, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)), r AS (SELECT doc_id, count(*) AS n, count(DISTINCT (a, b, c)) AS k FROM g WHERE c IS NOT NULL GROUP BY doc_id), v AS (SELECT source, CASE WHEN len(w) >= 6 THEN 1 - r.k / r.n ELSE 0.0 END AS r FROM w LEFT JOIN r USING (doc_id)) SELECT source, count(*) AS n, round(avg(r), 6) AS mean_ratio, count(*) FILTER (WHERE r > 0.5) AS n_high FROM v GROUP BY source",
+    "checker_results": _W + " UNION ALL ".join(f"SELECT record_id, '{n}' AS checker, {_CHECK_SQL[n]} AS passed FROM mrl WHERE answer IS NOT NULL" for n, _ in CHECKS),
     "standing_adherence": _W + f"SELECT rule, count(*) AS n_checks, count(*) FILTER (WHERE {_RULE_SQL}) AS n_passed FROM (SELECT CAST(r.turn_index % 4 AS INTEGER) AS rule, t.answer FROM turns r JOIN turns t ON r.c = t.c AND t.turn_index > r.turn_index) GROUP BY rule",
     "duplicate_query_first": _W + "SELECT query, min(record_id) AS record_id FROM mrl WHERE query IS NOT NULL GROUP BY query",
     "per_subset_head": _W + "SELECT record_id, _subset FROM (SELECT *, row_number() OVER (PARTITION BY _subset ORDER BY record_id) AS rn FROM mrl) WHERE rn <= 5",

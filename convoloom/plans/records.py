@@ -73,10 +73,7 @@ def stream_latest(spark, d):
     path = f"{d.rstrip('/')}/judge_log.parquet"
     stream = judgelog.source(spark, path)
     judgelog.compact(stream, f"{home}/state", f"{home}/checkpoint")
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(f"{home}/state")
-    last = max(int(x.getPath().getName()) for x in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root))
-    return spark.read.parquet(f"{home}/state/{last}").drop("error", "_latency_seconds")
+    return judgelog.current(spark, f"{home}/state").drop("error", "_latency_seconds")
 
 
 def greedy_near_dup(spark, d):

@@ -285,8 +285,8 @@ def test_agreement_against_plain_python(spark):
         ids = [i for i in {i for i, _ in scores} if (i, a) in scores and (i, b) in scores]
         assert got[a, b]["n_common"] == len(ids)
         p = [(scores[i, a][0], scores[i, b][0]) for i in ids if scores[i, a][0] and scores[i, b][0]]
-        assert got[a, b]["memory_score_mae"] == pytest.approx(sum(abs(x - y) for x, y in p) / len(p), abs=1e-4)
-        assert got[a, b]["memory_score_weighted_kappa"] == pytest.approx(kappa(p), abs=1e-4)
+        assert got[a, b]["memory_score_mae"] == pytest.approx(sum(abs(x - y) for x, y in p) / len(p), abs=6e-4)
+        assert got[a, b]["memory_score_weighted_kappa"] == pytest.approx(kappa(p), abs=6e-4)
     bias = judging.reference_bias(judging.latest(log(spark, *rows)), "a").collect()
     assert {x["model"] for x in bias} == {"b", "c"}
     top = judging.top_disagreements(judging.latest(log(spark, *rows)), "a", 5).collect()
@@ -412,8 +412,73 @@ def test_stream_folds_batches(spark, tmp_path):
     for x in (a, b):
         x.coalesce(1).write.mode("append").parquet(src)
         judgelog.compact(judgelog.source(spark, src), state, ck)
-    last = max(Path(state).iterdir(), key=lambda p: int(p.name))
-    assert rows_of(spark.read.parquet(str(last)).select("_eval_id", "seq")) == rows_of(judging.latest(a.unionByName(b)).select("_eval_id", "seq")) == [("a", 1), ("b", 4), ("c", 5)]
+    assert len(list(Path(state, "manifest").iterdir())) == 2
+    assert rows_of(judgelog.current(spark, state).select("_eval_id", "seq")) == rows_of(judging.latest(a.unionByName(b)).select("_eval_id", "seq")) == [("a", 1), ("b", 4), ("c", 5)]
+
+
+def test_stream_rewrites_touched_buckets_only(spark, tmp_path):
+    src, state, ck = (str(tmp_path / x) for x in ("src", "state", "ck"))
+    assert judgelog.current(spark, state) is None
+    rows = []
+    for k in range(4):
+        new = [(10 * k + i, f"e{i if k else i + 40}", "m", "ok", (k, k, k, k)) for i in range(6 if k < 3 else 1)]
+        rows += new
+        log(spark, *new).coalesce(1).write.mode("append").parquet(src)
+        judgelog.compact(judgelog.source(spark, src), state, ck, buckets=8)
+        assert rows_of(judgelog.current(spark, state).select("_eval_id", "seq")) == rows_of(judging.latest(log(spark, *rows)).select("_eval_id", "seq"))
+    assert len(list(Path(state, "data/3").glob("bucket=*"))) == 1
+    kept = {p.parent.name for p in Path(state, "data").glob("*/bucket=*")}
+    assert "3" in kept and "1" not in kept  # the second batch's buckets were all written again
+
+
+def test_order_statistics(spark):
+    from convoloom.operators import order
+
+    r = random.Random(4)
+    v = [r.choice([None, r.random(), 5.0]) for _ in range(400)]
+    df = spark.createDataFrame([(i, "ab"[i % 2] if i % 7 else None, x) for i, x in enumerate(v)], "id long, g string, v double").repartition(5)
+    got = {g: (a, b) for g, a, b in rows_of(order.percentiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}).na.fill("none", ["g"]))}
+    for g in ("a", "b", None):
+        x = sorted(y for i, y in enumerate(v) if y is not None and ("ab"[i % 2] if i % 7 else None) == g)
+        at = lambda p: x[int(p * (len(x) - 1))] + (x[min(len(x) - 1, int(p * (len(x) - 1)) + 1)] - x[int(p * (len(x) - 1))]) * (p * (len(x) - 1) % 1)  # noqa: B023, E731
+        assert got[g or "none"] == pytest.approx((at(0.5), at(0.95)))
+    keys = spark.createDataFrame([(x,) for x in (3, 1, 4, 1, 5, 9, 2, 6)] + [(None,)], "k long").repartition(4)
+    assert [order.key_at(keys, "k", p) for p in (0, 1, 3, 7, 99)] == [None, 1, 3, 9, 9]
+    assert order.key_at(keys.limit(0), "k", 2) is None
+    a, b = V.split_at(keys, "k", 3)
+    assert (rows_of(a), sorted(x[0] or 0 for x in b.collect())) == ([(1,), (1,), (2,), (3,)], [0, 4, 5, 6, 9])
+    t = order.running_total(spark.createDataFrame([(i, i) for i in range(20)], "k long, v long").repartition(6), "k", "v", "before")
+    assert sorted(tuple(r) for r in t.select("k", "before").collect()) == [(i, i * (i - 1) // 2) for i in range(20)]
+
+
+def test_words_of_four_languages(spark):
+    """Runs of letters of any script, as a word pattern of Unicode reads them."""
+    texts = ["Für die Brücke, größer!", "L’été à Nîmes_2 était très doux", "Zażółć gęślą jaźń", "naïve café 東京 ½", None, ""]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.words(F.col("t"))).orderBy("i").collect()
+    assert [r[1] for r in got] == [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    row = spark.createDataFrame([("über größe", "größe über alles")], "a string, b string").select(T.jaccard(F.col("a"), F.col("b")), T.overlap(F.col("a"), F.col("b"))).first()
+    assert tuple(row) == (pytest.approx(2 / 3), 0.0)
+
+
+def test_sanitising_and_echoes(spark):
+    rows = {"The sum is 391.cw": "The sum is 391.", "They write.s": "They write.", "See main.py": "See main.py", "All done cw": "All done", "It holds. Will produce final answer.": "It holds.", "Proceed.": "Proceed.", "A standing instruction holds": "A ongoing instruction holds", "Fine. Okay, let's go.": "Fine."}
+    got = dict(rows_of(spark.createDataFrame([(t,) for t in rows], "t string").select("t", T.sanitize(F.col("t")))))
+    assert got == rows
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(T.sanitize(F.lit(None).cast("string"))) is None
+    assert one(T.prompt_echo(F.lit("Go on. Output only the user's message."))) and not one(T.prompt_echo(F.lit("What is a persona?")))
+    assert one(T.references_prior(F.lit("Tell me of the harbour"), F.lit("the old harbour"))) and one(T.references_prior(F.lit("As you said"), F.lit(""))) and not one(T.references_prior(F.lit("And now?"), F.lit("the old boat")))
+    assert one(T.safe_filename(F.lit("a/b c:é.txt"))) == "a_b_c__.txt"
+    assert one(T.harness_match(F.lit("It matches the provided text"))) == "matches the provided"
+
+
+def test_segments_of_a_response(spark):
+    df = spark.createDataFrame([(1, "I think so.", "Yes <think>no</think> sir"), (2, "...", "<think>deep</think>Yes"), (3, None, "plain</think>"), (4, "", "")], "i int, r string, c string")
+    seg = lambda s: [tuple(x[0]) for x in df.orderBy("i").select(T.segment_response(F.col("r"), F.col("c"), s)).collect()]
+    assert seg("auto")[:2] == [("I think so.", "Yes  sir", True), ("deep", "Yes", True)]
+    assert seg("field")[1] == ("", "Yes", False) and seg("inline")[0] == ("no", "Yes  sir", True)
+    with pytest.raises(ValueError, match="unknown source"):
+        T.segment_response(F.col("r"), F.col("c"), "odd")
 
 
 def test_generation_is_repeatable(spark):
@@ -497,7 +562,8 @@ def test_drawn_pairs_follow_weights(spark):
     x = generate.draw_pairs(df, ["id"], {"a": 3, "b": 1}, {"p": 1, "q": 1}, {("a", "q")}, "allowed")
     n = {(i, p): c for i, p, c in x.filter("id % 10 > 1").groupBy("intent", "policy").count().collect()}
     assert set(n) == {("a", "p"), ("b", "p"), ("b", "q")} and abs(n["a", "p"] / sum(n.values()) - 0.6) < 0.02
-    assert {r[0] for r in x.filter("id % 10 = 0").select("intent").distinct().collect()} == {"b"} and x.filter("id % 10 = 1 AND intent IS NOT NULL").count() == 0
+    assert {r[0] for r in x.filter("id % 10 = 0").select("intent").distinct().collect()} == {"b"}
+    assert {r[0] for r in x.filter("id % 10 = 1").select("intent").distinct().collect()} == {"a", "b"}  # none of its intents is known: all are permitted
     with pytest.raises(ValueError, match="no valid pair"):
         generate.draw_pairs(df, ["id"], {"a": 1}, {"p": 1}, {("a", "p")})
 

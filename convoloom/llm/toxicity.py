@@ -9,6 +9,8 @@ runs as one map over Arrow batches, in numpy, without a loop per token.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -223,6 +225,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
         key = np.add.reduceat(mix(t.unigram + state.astype(np.uint64)), t.bounds[:-1])
     _, once = np.unique(key, return_index=True)
     once = once[telling[once]]
+    vocabulary = [np.unique(t.feature[:, k], return_inverse=True) for k in range(t.feature.shape[1])]
     g2, gm = np.full(weights.shape, 1e-6, np.float32), np.full(moves.shape, 1e-6)
     hot = np.eye(STATES, dtype=np.float32)[state]
     for epoch in range(epochs):
@@ -234,16 +237,16 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             state = np.repeat(s, n)
             hot = np.eye(STATES, dtype=np.float32)[state]
         order = rng.permutation(once)
-        for part in np.array_split(order, max(1, len(order) // 3000)):
+        for part in np.array_split(order, max(1, len(order) // 5000)):
             t_sub = _take(t, part)
             p, expected = field.marginals(t_sub, pairs=True)
             h = hot[t_sub.source]
             d = (h - p).astype(np.float32)
-            for k in range(t.feature.shape[1]):
-                ids, inv = np.unique(t_sub.feature[:, k], return_inverse=True)
-                g = np.zeros((len(ids), STATES), np.float32)
-                for y in range(STATES):
-                    g[:, y] = np.bincount(inv, weights=d[:, y], minlength=len(ids))
+            for k, (known, number) in enumerate(vocabulary):
+                inv = number[t_sub.source]
+                here = np.flatnonzero(np.bincount(inv, minlength=len(known)))
+                ids = known[here]
+                g = np.stack([np.bincount(inv, weights=d[:, y], minlength=len(known))[here] for y in range(STATES)], 1).astype(np.float32)
                 g -= 0.02 * weights[ids]
                 g2[ids] += g * g
                 weights[ids] += 0.25 * g / np.sqrt(g2[ids] + 1e-3)
@@ -331,17 +334,18 @@ def trained(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -
     """
     spark = documents.sparkSession
     rows = reviewed(documents, labels, most).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
-    sent = spark.sparkContext.broadcast((rows["text"].tolist(), rows[list(CATEGORIES)].to_numpy(dtype=float)))
+    labels_ = rows[list(CATEGORIES)].to_numpy(dtype=float)
+    sent = spark.sparkContext.broadcast(zlib.compress(pickle.dumps((rows["text"].tolist(), labels_))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts, votes = sent.value
+        texts, votes = pickle.loads(zlib.decompress(sent.value))
         own = np.arange(len(texts)) % FOLDS
         for pdf in batches:
             for fold in pdf["id"]:
                 use, out = np.flatnonzero(own != fold), np.flatnonzero((own == fold) & ~np.isnan(votes).all(1))
                 field = fit([texts[i] for i in use], votes[use])
                 if fold == FOLDS:  # no document's own: the field of the whole sample
-                    yield pd.DataFrame({"fold": [fold], "weights": [field.weights.tobytes()], "moves": [field.moves.ravel()], "row": [None], "score": [None]})
+                    yield pd.DataFrame({"fold": [fold], "weights": [zlib.compress(field.weights.tobytes())], "moves": [field.moves.ravel()], "row": [None], "score": [None]})
                 elif len(out):
                     t = tokenise_all([texts[i] for i in out])
                     score = document_scores(field.marginals(t), t, len(out))
@@ -349,11 +353,11 @@ def trained(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -
 
     got = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInPandas(run, _FITTED).collect()
     whole = next(r for r in got if r["fold"] == FOLDS)
-    field = Field(np.frombuffer(whole["weights"], np.float32).reshape(-1, STATES), np.array(whole["moves"]).reshape(STATES, STATES))
+    field = Field(np.frombuffer(zlib.decompress(whole["weights"]), np.float32).reshape(-1, STATES), np.array(whole["moves"]).reshape(STATES, STATES))
     held = [r for r in got if r["fold"] != FOLDS]
     if not held:
         return field, np.full(len(CATEGORIES), MIN_SCORE)
-    score, label = np.array([r["score"] for r in held]), sent.value[1][[r["row"] for r in held]]
+    score, label = np.array([r["score"] for r in held]), labels_[[r["row"] for r in held]]
     return field, np.array([_cutoff(score[:, k], label[:, k]) for k in range(len(CATEGORIES))])
 
 
@@ -362,10 +366,10 @@ def scored(documents: DataFrame, field: Field) -> DataFrame:
 
     Null and empty texts score 0 and have no spans.  Repeated rows give repeated results.
     """
-    sent = documents.sparkSession.sparkContext.broadcast((field.weights, field.moves))
+    sent = documents.sparkSession.sparkContext.broadcast((zlib.compress(field.weights.tobytes()), field.moves))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Field(*sent.value)
+        own = Field(np.frombuffer(zlib.decompress(sent.value[0]), np.float32).reshape(-1, STATES), sent.value[1])
         for big in batches:
             for pdf in chunks(big, "text", 1_000_000, 2_000):
                 t = tokenise(pdf["text"].tolist())

@@ -12,9 +12,12 @@ import json
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import text as T_
+
 AXES = (
     "instruction_following", "coherence", "naturalness", "role_consistency", "recall_fidelity", "appropriateness", "reasoning_quality",
     "reasoning_answer_consistency", "sycophancy_resistance", "factual_grounding", "user_query_quality", "user_query_difficulty",
@@ -143,6 +146,57 @@ def interactions(text: str | None) -> list[dict] | None:
     return [{k: None if e.get(k) is None else str(e[k]) for k in ("query", "think", "answer")} for e in x if isinstance(e, dict)]
 
 
+def _side(x: object) -> dict:
+    x = x if isinstance(x, dict) else {}
+    return {k: str(x.get(k, "")) for k in ("think", "answer")}
+
+
+def preferences(text: str | None) -> list[dict] | None:
+    """Preference turns of a parsed list or single object; an entry without query, accepted and rejected is left out."""
+    x = literal(text)
+    if isinstance(x, dict):
+        x = [x]
+    if not isinstance(x, list):
+        return None
+    return [{"query": str(e["query"]), "accepted": _side(e["accepted"]), "rejected": _side(e["rejected"])} for e in x if isinstance(e, dict) and {"query", "accepted", "rejected"} <= set(e)]
+
+
+def strings(text: str | None) -> list[str] | None:
+    """A parsed list of texts; an object stands for its think or answer, other entries for themselves as text."""
+    x = literal(text)
+    if not isinstance(x, list):
+        return None
+    return [str(e.get("think", e.get("answer", ""))) if isinstance(e, dict) else str(e) for e in x]
+
+
+THINK_LEAD = 21  # characters before the list where a model thinks first
+
+
+def items(text: str | None) -> list[dict] | None:
+    """Generated items: tuples (query, answer) or (query, answer, [(query, answer), ...]); None if the text holds no such list.
+
+    Missing brackets at either end are added; an item of another form spoils the whole list.
+    """
+    if text is None:
+        return None
+    t = text[THINK_LEAD:] if "<think>" in text else text
+    t = t if t.rstrip().endswith("]") else t.rstrip() + "]"
+    t = t if t.lstrip().startswith("[") else "[" + t.lstrip()
+    try:
+        x = ast.literal_eval(t.strip())
+    except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
+        return None
+    out = []
+    for e in x if isinstance(x, list) else [None]:
+        if not isinstance(e, tuple | list) or len(e) not in (2, 3):
+            return None
+        follow = list(e[2]) if len(e) == 3 else []
+        if not all(isinstance(f, tuple | list) and len(f) == 2 for f in follow):
+            return None
+        out.append({"query": str(e[0]), "answer": str(e[1]), "interactions": [{"query": str(q), "answer": str(a)} for q, a in follow]})
+    return out
+
+
 def bleu4(reference: str, candidate: str) -> float:
     """BLEU over character n-grams up to four, equal weights, no smoothing: 0 if any order has no match."""
     import math
@@ -203,3 +257,77 @@ def parse_interactions(text: pd.Series) -> pd.Series:
 @F.pandas_udf(T.BooleanType())
 def topic_filter(query: pd.Series, answer: pd.Series, follow: pd.Series) -> pd.Series:
     return pd.Series([keeps_topics(q, a, None if f is None else list(f)) for q, a, f in zip(query, answer, follow, strict=True)])
+
+
+def _texts(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+SIDE = _texts("think", "answer")
+PREFERENCES = T.ArrayType(T.StructType([T.StructField("query", T.StringType()), T.StructField("accepted", SIDE), T.StructField("rejected", SIDE)]))
+ITEMS = T.ArrayType(T.StructType([*_texts("query", "answer").fields, T.StructField("interactions", T.ArrayType(_texts("query", "answer")))]))
+
+
+@F.pandas_udf(PREFERENCES)
+def parse_preferences(text: pd.Series) -> pd.Series:
+    return text.map(preferences)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def parse_strings(text: pd.Series) -> pd.Series:
+    return text.map(strings)
+
+
+@F.pandas_udf(ITEMS)
+def parse_items(text: pd.Series) -> pd.Series:
+    return text.map(items)
+
+
+def greedy_object(c: Column) -> Column:
+    """The text from the first brace to the last, if it is a JSON object; else null."""
+    s = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)\{.*\}", 0)
+    return F.when(T_.is_json(s), s)
+
+
+def response_metadata(c: Column) -> Column:
+    """struct<finish_reason, prompt_tokens, completion_tokens, total_tokens, reasoning_tokens> of a chat response as JSON; what is missing is null."""
+    of = lambda p: F.get_json_object(c, p)
+    number = lambda n, p: F.try_to_number(of(p), F.lit("999999999999")).cast("long").alias(n)
+    names = {n: f"$.usage.{n}" for n in ("prompt_tokens", "completion_tokens", "total_tokens")} | {"reasoning_tokens": "$.usage.completion_tokens_details.reasoning_tokens"}
+    return F.struct(of("$.choices[0].finish_reason").alias("finish_reason"), *(number(n, p) for n, p in names.items()))
+
+
+def response_content(c: Column) -> Column:
+    """The text of a chat response: its content, the text parts of a content list, or a reasoning field that looks like an object; else empty."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    at = "$.choices[0].message"
+    v = F.try_parse_json(c)
+    kind = F.schema_of_variant(F.try_variant_get(v, f"{at}.content", "variant"))
+    parts = F.from_json(F.get_json_object(c, f"{at}.content"), "array<struct<type:string,text:string>>")
+    listed = F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
+    field = lambda n: F.when(F.schema_of_variant(F.try_variant_get(v, f"{at}.{n}", "variant")) == "STRING", strip(F.get_json_object(c, f"{at}.{n}")))
+    like = lambda x: F.when(x.startswith("{") & x.endswith("}"), x)
+    return F.when(kind == "STRING", strip(F.get_json_object(c, f"{at}.content"))).when(kind.startswith("ARRAY"), strip(F.coalesce(listed, F.lit("")))).otherwise(F.coalesce(like(field("reasoning_content")), like(field("reasoning")), F.lit("")))
+
+
+FACTS = "array<struct<label:string,value:string,new_value:string>>"
+
+
+def directive(reply: Column, query: Column) -> Column:
+    """struct<domain, topic, action, sensitivity, facts> of a curator's reply; null if the reply holds no object.
+
+    Missing parts have defaults; an action that begins with skip skips, a sensitivity that begins with sens is sensitive.
+    """
+    o = greedy_object(reply)
+    word = lambda k: F.lower(F.trim(F.coalesce(F.get_json_object(o, f"$.{k}"), F.lit(""))))
+    topic = F.trim(F.coalesce(F.get_json_object(o, "$.topic"), F.lit("")))
+    return F.when(
+        o.isNotNull(),
+        F.struct(
+            F.when(word("domain") == "", "general").otherwise(word("domain")).alias("domain"),
+            F.when(topic == "", T_.topic(query)).otherwise(topic).alias("topic"),
+            F.when(word("action").startswith("skip"), "skip").otherwise("keep").alias("action"),
+            F.when(word("sensitivity").startswith("sens"), "sensitive").otherwise("none").alias("sensitivity"),
+            F.from_json(F.get_json_object(o, "$.facts"), FACTS).alias("facts"),
+        ),
+    )

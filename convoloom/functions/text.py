@@ -74,6 +74,12 @@ def bullets(c: Column) -> Column:
     return F.size(F.filter(lines(c), lambda x: x.rlike(r"^\s*(?:[-*+]|\d+[.)])\s+\S")))
 
 
+def is_json(c: Column) -> Column:
+    """Exactly one JSON value.  The parser stops after the first value, so the text must parse inside a list and inside an object."""
+    inside = lambda a, b: F.try_parse_json(F.concat(F.lit(a), c, F.lit(b))).isNotNull()
+    return F.coalesce(inside("[", "]") & inside('{"a":', "}"), F.lit(False))
+
+
 def normalised(c: Column) -> Column:
     """Lower case, other characters than letters, digits and underscores as one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text(c)), r"[^\p{L}\p{N}_]+", " "))

@@ -118,6 +118,38 @@ def example_id(subset: Column, index: Column, content: Column) -> Column:
     return F.concat_ws(":", F.coalesce(subset, F.lit("unknown_subset")), F.coalesce(index.cast("string"), F.lit("unknown_index")), F.substring(F.sha1(content.cast("binary")), 1, 12))
 
 
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """A JSON object with its keys in order and no white space; nulls are kept."""
+    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
+
+
+def joined_by_position(a: DataFrame, b: DataFrame, order_by: list[str]) -> DataFrame:
+    """Rows of a with the columns of b that stand at the same place in both orders (keys of order_by are unique in each)."""
+    place = lambda d: order.running_total(d.withColumns({"_one": F.lit(1), "_key": F.struct(*order_by)}), "_key", "_one", "_place").drop("_one", "_key")
+    return place(a).join(place(b).drop(*order_by), "_place").drop("_place")
+
+
+def common_columns(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both with the columns that both have, in a's order."""
+    both = [c for c in a.columns if c in b.columns]
+    return a.select(*both).unionByName(b.select(*both))
+
+
+def exclusive_head(new: DataFrame, existing: DataFrame, key: str, by: str, n: int) -> DataFrame:
+    """The first n new rows per group that the existing ones don't hold."""
+    return head_per(new.join(existing.select(key).distinct(), key, "left_anti"), by, [key], n)
+
+
+def sampled(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """A seeded sample of n rows of the whole table: the n smallest hashes of seed and key."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
+
+
+def subset_counts(df: DataFrame, by: str = "_subset") -> DataFrame:
+    return df.groupBy(by).agg(F.count("*").alias("n"))
+
+
 def first_of(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     """The first row of each value of `by`; a null value is one of its own."""
     rest = [c for c in df.columns if c != by]

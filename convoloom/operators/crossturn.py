@@ -86,11 +86,14 @@ def verified(t: DataFrame, own: Column | None = None, active: Column | None = No
 def record_defects(t: DataFrame, conversations: DataFrame) -> DataFrame:
     """(c, turn_index, defect) for defects that need the plan of a conversation; turn -1 stands for all of it.
 
-    t: also intent, scope, planted_turn, value, stale_values (array).  conversations: c,
-    first_query, sensitive, coherence, appropriateness.
+    t: also intent, scope, planted_turn, value, stale_values (array), and optionally verifier and
+    markers (array: words of which a request for the rule must hold one).  conversations: c,
+    first_query, sensitive, coherence, appropriateness, and optionally role_consistency.
     """
     known = F.array_join(F.collect_list(F.concat_ws("\n", "query", "answer")).over(Window.partitionBy("c").orderBy("turn_index").rowsBetween(Window.unboundedPreceding, -1)), "\n")
     x = t.withColumn("known", known).withColumn("prior", F.lag("answer").over(Window.partitionBy("c").orderBy("turn_index"))).join(conversations.select("c", "sensitive"), "c", "left")
+    for name, kind in (("verifier", "string"), ("markers", "array<string>")):
+        x = x if name in t.columns else x.withColumn(name, F.lit(None).cast(kind))
     memory, transform = F.col("intent").isin(*P.MEMORY_INTENTS), F.col("intent").isin(*P.TRANSFORM_INTENTS)
     recall = (F.col("intent") == "fact_recall") & (F.col("scope") == "delayed_recall")
     per_turn = {
@@ -98,12 +101,15 @@ def record_defects(t: DataFrame, conversations: DataFrame) -> DataFrame:
         "phantom_stale": (F.col("intent") == "fact_update") & F.exists("stale_values", lambda s: (F.trim(s) != "") & ~present(F.col("known"), s)),
         "bad_fact_type": memory & T.has(F.col("value"), P.BAD_FACT),
         "sensitive_flippant": F.col("sensitive") & (transform | memory | (F.col("intent") == "chained_compute")) & ~F.col("intent").isin(*P.SENSITIVE_INTENTS),
+        "constraint_mismatch": F.col("verifier").isin("programmatic", "hybrid") & (F.col("turn_index") >= 1) & ~F.coalesce(memory, F.lit(False)) & (F.size("markers") > 0) & ~F.exists("markers", lambda m: F.contains(F.lower(T.text(F.col("query"))), F.lower(m))),
         "identical_rewrite": transform & F.col("answer").rlike(r"\S") & (F.trim("answer") == F.trim("prior")),
     }
     a = x.select("c", "turn_index", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in per_turn.items())))).alias("defect"))
     dense = t.filter("turn_index >= 1").groupBy("c").agg(F.avg(F.coalesce(transform, F.lit(False)).cast("int")).alias("s")).filter("s > 0.6").select("c", F.lit(-1).alias("turn_index"), F.lit("transformation_density").alias("defect"))
     q = F.trim(T.text("first_query"))
+    role = F.col("role_consistency") < 7 if "role_consistency" in conversations.columns else F.lit(False)
     whole = {
+        "role_confusion": F.coalesce(role, F.lit(False)),
         "contentless_seed_kept": T.has(q, P.CONTENTLESS) | (F.length(q) < 6),
         "judge_low": F.coalesce(F.col("coherence") < 6, F.lit(False)) | F.coalesce(F.col("appropriateness") < 7, F.lit(False)),
     }

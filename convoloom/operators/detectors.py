@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..functions.parsing import AXES
 
 KINDS = ("turn_index_in_answer", "turn_index_in_reasoning", "numbered_flow_in_reasoning", "harness_in_reasoning", "trailing_artifact", "degenerate_reasoning", "restart_spiral", "excess_regenerations")
 
 
+#: Kinds of which a batch must hold none.
+FATAL = ("turn_index_in_answer", "harness_in_reasoning", "trailing_artifact", "degenerate_reasoning")
+
+
 def _flag(detector: str, name: str, severity: Column | int, evidence: Column) -> list[Column]:
     s = severity if isinstance(severity, Column) else F.lit(severity)
     return [F.lit(detector).alias("detector"), F.lit(name).alias("name"), s.cast("int").alias("severity"), evidence.alias("evidence")]
@@ -54,22 +59,23 @@ def confidence_mismatch(t: DataFrame) -> DataFrame:
     asks for an exact rank and some answer is specific; A3 some reasoning admits
     invention and some answer is specific.
     """
-    x = t.select(
-        "c", "turn_index",
-        (F.size(T.specifics(F.col("answer"))) > 0).alias("specific"),
-        (F.size(T.guarded_markers(F.col("reasoning"), P.UNCERTAINTY)) > 0).alias("unsure"),
-        (F.size(T.guarded_markers(F.col("reasoning"), P.ADMISSION)) > 0).alias("admits"),
-        T.has(F.col("query"), P.UNGROUNDED_PREMISE).alias("ungrounded"),
-    )
+    x = t.select("c", "turn_index", T.specifics(F.col("answer")).alias("s"), T.guarded_markers(F.col("reasoning"), P.UNCERTAINTY).alias("u"), T.guarded_markers(F.col("reasoning"), P.ADMISSION).alias("m"), "query")
+    x = x.select("c", "turn_index", F.try_element_at("s", F.lit(1)).alias("s"), F.try_element_at("u", F.lit(1)).alias("u"), F.try_element_at("m", F.lit(1)).alias("m"), "query")
+    first = lambda when, *more: F.min_by(F.struct("turn_index", *more), F.when(when, F.col("turn_index")))
     g = x.groupBy("c").agg(
-        F.min(F.when(F.col("specific"), F.col("turn_index"))).alias("s"),
-        F.min(F.when(F.col("specific") & F.col("unsure"), F.col("turn_index"))).alias("a1"),
-        F.min_by("ungrounded", "turn_index").alias("a2"),
-        F.max(F.col("admits").cast("int")).alias("a3"),
+        first(F.col("s").isNotNull(), F.col("s.name").alias("name"), F.col("s.matched").alias("matched")).alias("spec"),
+        first(F.col("s").isNotNull() & F.col("u").isNotNull(), F.col("s.name").alias("name"), F.col("s.matched").alias("matched"), "u").alias("a1"),
+        first(F.col("m").isNotNull(), "m").alias("a3"),
+        F.min_by("query", "turn_index").alias("q"),
     )
-    name = F.when(F.col("a1").isNotNull(), "confidence_uncertainty_mismatch").when(F.col("a2"), "ungrounded_premise_fabrication").when(F.col("a3") == 1, "fabrication_admission")
-    y = g.filter(F.col("s").isNotNull()).select("c", F.coalesce("a1", "s").alias("turn_index"), name.alias("name")).filter("name IS NOT NULL")
-    return y.select("c", "turn_index", F.lit("A").alias("detector"), "name", F.lit(3).alias("severity"), F.lit("").alias("evidence"))
+    asserts = lambda r: F.concat(r["name"], F.lit(" '"), r["matched"], F.lit("'"))
+    found = (
+        F.when(F.col("a1").isNotNull(), F.struct(F.col("a1.turn_index").alias("turn_index"), F.lit("confidence_uncertainty_mismatch").alias("name"), F.concat(F.lit("unsure: '"), F.col("a1.u"), F.lit("', asserts "), asserts(F.col("a1"))).alias("evidence")))
+        .when(T.has(F.col("q"), P.UNGROUNDED_PREMISE), F.struct(F.col("spec.turn_index").alias("turn_index"), F.lit("ungrounded_premise_fabrication").alias("name"), F.concat(F.lit("premise: '"), F.substring(T.text(F.col("q")), 1, 45), F.lit("', asserts "), asserts(F.col("spec"))).alias("evidence")))
+        .when(F.col("a3").isNotNull(), F.struct(F.col("spec.turn_index").alias("turn_index"), F.lit("fabrication_admission").alias("name"), F.concat(F.lit("turn "), F.col("a3.turn_index").cast("string"), F.lit(" admits '"), F.col("a3.m"), F.lit("', asserts "), asserts(F.col("spec"))).alias("evidence")))
+    )
+    y = g.filter(F.col("spec").isNotNull()).select("c", found.alias("f")).filter("f IS NOT NULL")
+    return y.select("c", "f.turn_index", F.lit("A").alias("detector"), "f.name", F.lit(3).alias("severity"), "f.evidence")
 
 
 def format_bookkeeping(t: DataFrame, share: float = 0.45) -> DataFrame:
@@ -99,6 +105,7 @@ def answer_defects(t: DataFrame) -> DataFrame:
     q, r, a = F.col("query"), F.col("reasoning"), F.col("answer")
     blank = lambda c: ~T.text(c).rlike(r"\S")
     found = {
+        "prompt_echo": T.prompt_echo(q),
         "memory_disclaimer": T.has(a, P.MEMORY_DISCLAIMER),
         "cot_leak": T.has(a, P.COT_LEAK),
         "spec_leak": T.has(q, P.SPEC_LEAK) | T.has(r, P.SPEC_LEAK) | T.has(a, P.SPEC_LEAK),
@@ -152,24 +159,59 @@ def standing_checks(t: DataFrame, rules: DataFrame) -> DataFrame:
     return r.join(t.select("c", "turn_index", "answer"), "c").filter(F.col("turn_index") > F.col("rule_turn"))
 
 
-def batch_summary(t: DataFrame, scores: DataFrame) -> DataFrame:
-    """One row: conversations, turns, hard fails, share of conversations that pass the gate, mean and median coherence, clean flag.
+def batch_counts(t: DataFrame, scores: DataFrame) -> DataFrame:
+    """(part, name, n): hard fails by kind, soft flags by kind, and flagged turns by the judge's dimension."""
+    hard = hard_fails(t).groupBy(F.lit("hard").alias("part"), F.col("kind").alias("name")).agg(F.count("*").alias("n"))
+    soft = soft_flags(t).groupBy(F.lit("flag").alias("part"), F.col("kind").alias("name")).agg(F.count("*").alias("n"))
+    out = hard.unionByName(soft)
+    if "flagged_turns" in scores.columns:
+        f = scores.select(F.explode("flagged_turns").alias("f")).groupBy(F.lit("dimension").alias("part"), F.col("f.dimension").alias("name")).agg(F.count("*").alias("n"))
+        out = out.unionByName(f)
+    return out
+
+
+def soft_flags(t: DataFrame) -> DataFrame:
+    """(c, turn_index, kind): restarts that are too few to fail a turn."""
+    n = T.restarts(F.col("reasoning"))
+    return t.filter((n > 1) & (n < P.RESTARTS_FAIL)).select("c", "turn_index", F.lit("restarts").alias("kind"))
+
+
+def batch_summary(t: DataFrame, scores: DataFrame, most_regenerations: int = 2) -> DataFrame:
+    """One row: conversations, turns, hard fails in all and by the kinds that acceptance looks at, the gate's pass rate, the mean of every axis, the most regenerations.
 
     scores: c, the axes that are known, and optionally flagged_turns; a conversation without
-    scores is judged by the prefilter alone.
+    scores is judged by the prefilter alone.  An axis that is missing has a null mean.
     """
     p = prefilter(t)
     s = p.join(scores, "c", "left")
     ok = gate(s, F.col("passed"))
-    return s.agg(
-        F.count("*").alias("n_conversations"), F.sum("n_turns").alias("n_turns"), F.sum("n_hard").alias("n_hard_fails"), F.round(F.avg(ok.cast("int")), 4).alias("pass_rate"),
-        F.round(F.avg("coherence"), 4).alias("mean_coherence"), F.round(F.median("coherence"), 4).alias("median_coherence"), (F.sum("n_hard") == 0).alias("clean"),
-    )
+    means = [F.bround(F.avg(a), 2).alias(f"mean_{a}") if a in scores.columns else F.lit(None).cast("double").alias(f"mean_{a}") for a in AXES]
+    again = F.max(F.coalesce(F.col("regenerations"), F.lit(0))) if "regenerations" in t.columns else F.lit(0)
+    kinds = hard_fails(t, most_regenerations).agg(*(F.coalesce(F.sum((F.col("kind") == k).cast("long")), F.lit(0)).alias(f"n_{k}") for k in FATAL))
+    head = s.agg(F.count("*").alias("n_conversations"), F.coalesce(F.sum("n_turns"), F.lit(0)).alias("n_turns"), F.coalesce(F.sum("n_hard"), F.lit(0)).alias("n_hard_fails"), F.coalesce(F.sum(ok.cast("long")), F.lit(0)).alias("n_passed"), F.bround(F.avg(ok.cast("int")), 3).alias("pass_rate"), *means)
+    most = t.agg(F.coalesce(again, F.lit(0)).alias("most_regenerations"))
+    return head.crossJoin(kinds).crossJoin(most)  # one row each
+
+
+def acceptance(low: float = 0.65, high: float = 0.95, least: float = 8.0, most_regenerations: int = 2) -> dict[str, Column]:
+    """The eight rules of a batch, as booleans over the columns of `batch_summary`; all must hold."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return {
+        **{f"no_{k}": F.col(f"n_{k}") == 0 for k in FATAL},
+        "regenerations": F.col("most_regenerations") <= most_regenerations,
+        "reasoning_quality": yes(F.col("mean_reasoning_quality") >= least),
+        "reasoning_answer_consistency": yes(F.col("mean_reasoning_answer_consistency") >= least),
+        "pass_rate_in_band": yes(F.col("pass_rate").between(low, high)),
+    }
 
 
-def acceptance(summary: DataFrame, low: float = 0.65, high: float = 0.95, least: float = 8.0) -> Column:
-    """A batch is accepted if its pass rate lies in the band, the mean coherence reaches the bound, and there is any conversation."""
-    return F.coalesce((F.col("n_conversations") > 0) & F.col("pass_rate").between(low, high) & (F.col("mean_coherence") >= least), F.lit(False))
+def accepted(summary: DataFrame, **bounds) -> DataFrame:
+    """The summary with a column per rule and `accepted`."""
+    rules = acceptance(**bounds)
+    all_ = F.lit(True)
+    for r in rules.values():
+        all_ = all_ & r
+    return summary.withColumns({**{f"ok_{k}": v for k, v in rules.items()}, "accepted": all_})
 
 
 def pass_rates(attempts: DataFrame, by: list[str], least: int = 5, low: float = 0.3, weight: float = 0.25) -> DataFrame:

@@ -45,6 +45,7 @@ def problem() -> Column:
     kinds = lambda t: F.transform(F.coalesce(t["segments"], F.array()), lambda s: F.coalesce(s["segment_type"], F.lit("")))
     return (
         F.when(F.col("conversation_id").isNull() | F.col("source_seed").isNull() | F.col("turns").isNull() | F.col("fact_ledger").isNull(), "missing key")
+        .when(F.greatest(*(F.col(f"source_seed.{f}").isNull().cast("int") for f in SEED_FIELDS)) == 1, "seed lacks a key")
         .when(~F.coalesce(F.col("mode").isin("reasoning", "instruct", "mixed"), F.lit(False)), "invalid mode")
         .when(F.coalesce(F.col("length"), F.lit(-1)) != F.size("turns"), "length differs from turns")
         .when(bad_turn(lambda t: t["turn_index"].isNull() | t["segments"].isNull() | t["reasoning_flag"].isNull()), "turn lacks a key")
@@ -93,6 +94,12 @@ def recallable(facts_: DataFrame, turns: DataFrame, distance: int) -> DataFrame:
     return j.groupBy("c", "turn_index").agg(F.min_by("fact_id", F.struct("planted_turn", "fact_id")).alias("fact_id"))
 
 
+def updatable(facts_: DataFrame, turns: DataFrame) -> DataFrame:
+    """(c, turn_index, fact_id): the newest fact planted before each turn."""
+    j = turns.select("c", "turn_index").join(facts_.select("c", "fact_id", "planted_turn"), "c").filter(F.col("planted_turn") < F.col("turn_index"))
+    return j.groupBy("c", "turn_index").agg(F.max_by("fact_id", F.struct("planted_turn", "fact_id")).alias("fact_id"))
+
+
 def replace_names(df: DataFrame, key: str, names: list[str], new: list[str], skip: float = 0.0, seed: int = 42) -> DataFrame:
     """Known names replaced in query and answer alike, in order, by a new name drawn from seed, key and name.
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-from . import conversations, judges, records  # noqa: E402
+from . import conversations, judges, literal, records, synthesis  # noqa: E402
 
-for _m in (judges, conversations, records):
+for _m in (judges, conversations, records, literal, synthesis):
     QUERIES.update(_m.QUERIES)
     ORACLE.update(_m.ORACLE)

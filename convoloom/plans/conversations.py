@@ -13,6 +13,7 @@ from ..operators import crossturn as X
 from ..operators import detectors as D
 from ..sources.tables import table
 
+TAILS = ("", " Will produce final answer.", "\nProceed.", " Okay, let's go.")
 RULES = (("length_tokens", {"max_words": 60}), ("max_words_per_sentence", {"max_words": 22}), ("no_gendered_pronouns", {}), ("n_lines", {"n": 1}))
 CHECKS = (
     ("json_valid", {}), ("markdown_table", {}), ("n_bullets", {}), ("n_bullets_5", {"n": 5}), ("length_tokens", {"min_words": 10, "max_words": 60}), ("n_lines", {"n": 1}), ("limerick_structure", {}),
@@ -165,10 +166,6 @@ def derive_variants(spark, d):
     return v.select("conversation_id", "variant", F.size("interactions").cast("long").alias("n"), F.size(F.filter("interactions", lambda x: x["think"].isNotNull())).cast("long").alias("n_thinks"))
 
 
-def derive_mixed(spark, d):
-    return V.variants(_completions(spark, d), "completion_id", ("mixed",))
-
-
 def seed_curation(spark, d):
     return V.seeds(_mrl(spark, d, "query"), "record_id")
 
@@ -194,9 +191,64 @@ def gate_decision(spark, d):
     return s.select("c", D.gate(s, F.col("bad").isNull()).alias("accepted"))
 
 
+def _judged(spark, d):
+    """Turns with regenerations, and scores on four axes with flagged turns, derived from what the tables hold."""
+    t = _turns(spark, d).withColumn("regenerations", F.pmod(F.col("c") + F.col("turn_index"), F.lit(4)).cast("int"))
+    flag = F.when(F.col("overall_score") < 4, F.array(F.struct(F.lit(0).alias("turn_index"), F.when(F.col("memory_score") < 5, "recall_fidelity").otherwise("coherence").alias("dimension"), F.lit(2).alias("severity")))).otherwise(F.array())
+    s = _completions(spark, d, "overall_score", "memory_score").select(F.col("completion_id").alias("c"), F.col("overall_score").alias("coherence"), F.col("memory_score").alias("appropriateness"), F.greatest("overall_score", "memory_score").alias("reasoning_quality"), F.least("overall_score", "memory_score").alias("reasoning_answer_consistency"), F.coalesce(flag, F.array()).alias("flagged_turns"))
+    return t, s
+
+
 def batch_summary(spark, d):
-    s = D.batch_summary(_turns(spark, d), _scores(spark, d))
-    return s.withColumn("accepted", D.acceptance(s))
+    return D.accepted(D.batch_summary(*_judged(spark, d)))
+
+
+def batch_counts(spark, d):
+    return D.batch_counts(*_judged(spark, d))
+
+
+def variant_thinks(spark, d):
+    """Turns of the mixed variant that keep their thinking."""
+    v = V.variants(_completions(spark, d).filter("interactions IS NOT NULL"), "completion_id", ("mixed",))
+    return v.select("conversation_id", F.posexplode("interactions").alias("turn_index", "x")).select("conversation_id", "turn_index", F.col("x.think").isNotNull().alias("thinks"))
+
+
+def sampled_rows(spark, d):
+    return V.sampled(_mrl(spark, d).select("record_id"), "record_id", 50)
+
+
+def rows_per_subset(spark, d):
+    return V.subset_counts(_mrl(spark, d))
+
+
+def new_heads(spark, d):
+    """The first three records per subset that the five first ones don't hold."""
+    m = _mrl(spark, d).select("record_id", "_subset")
+    return V.exclusive_head(m, V.head_per(m, "_subset", ["record_id"], 5), "record_id", "_subset", 3)
+
+
+def zipped_seeds(spark, d):
+    """Queries and curated directives joined by their place in the order of ids."""
+    m = _mrl(spark, d, "query").select("record_id", "query")
+    x = V.joined_by_position(m, V.seeds(m, "record_id").select("record_id", "action", "domain"), ["record_id"])
+    return x.select("record_id", "action", "domain")
+
+
+def content_ids(spark, d):
+    """Example ids over the canonical JSON of an example."""
+    j = V.canonical_json({"topics": F.col("topics"), "conv_mode": F.col("conv_mode")})
+    return _completions(spark, d, "_subset", "_sample_index", "topics", "conv_mode").select("completion_id", j.alias("content"), V.example_id(F.col("_subset"), F.col("_sample_index"), j).alias("example_id"))
+
+
+def prior_references(spark, d):
+    """Turns whose query points back, or names a word of the conversation's topics."""
+    c = _completions(spark, d, "topics", "interactions")
+    t = V.turns(c, "completion_id").join(c.select(F.col("completion_id").alias("c"), "topics"), "c")
+    return t.select("c", "turn_index", T.references_prior(F.col("query"), F.col("topics")).alias("refers"), T.prompt_echo(F.col("query")).alias("echo"))
+
+
+def clean_reasoning(spark, d):
+    return _turns(spark, d).filter("reasoning IS NOT NULL").select("c", "turn_index", F.length(T.sanitize(F.concat("reasoning", F.element_at(F.array(*map(F.lit, TAILS)), (F.pmod(F.col("c") + F.col("turn_index"), F.lit(len(TAILS))) + 1).cast("int"))))).alias("n_chars"))
 
 
 def rule_pass_rates(spark, d):
@@ -234,8 +286,9 @@ def record_defect_counts(spark, d):
     k = F.pmod(F.col("c") + F.col("turn_index"), F.lit(5))
     intent = F.element_at(F.array(*map(F.lit, ("compress", "fact_recall", "fact_update", "restyle", "deepen"))), (k + 1).cast("int"))
     name = F.regexp_extract(T.text("query"), r"\b([A-Z][a-z]{5,})\b", 1)
-    t = _turns(spark, d).withColumns({"intent": intent, "scope": F.when(k == 1, "delayed_recall"), "planted_turn": F.lit(0), "value": F.when(k == 2, F.lit("premium plan")).otherwise(name), "stale_values": F.array(F.lit("Zanzibar"))})
-    c = _scores(spark, d).join(_completions(spark, d, "topics").select(F.col("completion_id").alias("c"), F.col("topics").alias("first_query")), "c").withColumn("sensitive", F.col("c") % 7 == 0)
+    please = F.array(F.lit("Please"))
+    t = _turns(spark, d).withColumns({"verifier": F.when(k == 3, "programmatic"), "markers": please, "intent": intent, "scope": F.when(k == 1, "delayed_recall"), "planted_turn": F.lit(0), "value": F.when(k == 2, F.lit("premium plan")).otherwise(name), "stale_values": F.array(F.lit("Zanzibar"))})
+    c = _scores(spark, d).join(_completions(spark, d, "topics").select(F.col("completion_id").alias("c"), F.col("topics").alias("first_query")), "c").withColumns({"sensitive": F.col("c") % 7 == 0, "role_consistency": F.col("coherence")})
     return X.record_defects(t, c).groupBy("defect").agg(F.count("*").alias("n"))
 
 
@@ -309,6 +362,7 @@ _KINDS = dict(
 _HARD = _W + ", hard AS (" + " UNION ALL ".join(f"SELECT c, turn_index, '{k}' AS kind FROM turns WHERE {v}" for k, v in _KINDS.items()) + ")"
 _SPEC = " + ".join(f"CAST({has('answer', p)} AS INTEGER)" for p in P.SPECIFICS.values())
 _DEFECTS = {
+    "prompt_echo": has("query", P.PROMPT_ECHO),
     "memory_disclaimer": has("answer", P.MEMORY_DISCLAIMER),
     "cot_leak": has("answer", P.COT_LEAK),
     "spec_leak": f"({has('query', P.SPEC_LEAK)} OR {has('reasoning', P.SPEC_LEAK)} OR {has('answer', P.SPEC_LEAK)})",
@@ -387,5 +441,66 @@ ORACLE = {
     + ") GROUP BY conv_mode, rule",
     "think_parse": _W + "SELECT c, turn_index, ok AS well_formed, CAST(CASE WHEN ok OR turn_index % 3 = 2 THEN length(regexp_replace(coalesce(answer, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) ELSE length(regexp_replace(coalesce(reasoning, '') || coalesce(answer, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) END AS INTEGER) AS n_answer FROM (SELECT *, turn_index % 3 < 2 AND NOT regexp_matches(trim(regexp_replace(coalesce(reasoning, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), '^(?:\\.{0,3}|…)$') AS ok FROM turns)",
 }
-_OTHERS = ("record_defect_counts", "batch_summary", "yaml_answers", "prefilter_result", "format_bookkeeping", "defect_prevalence", "derive_mixed")
+_UNIFORM = lambda *parts: "(('0x' || left(md5(concat_ws(':', '42', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")), 8))::BIGINT / 4294967296.0)"
+_INTENT = "['compress', 'fact_recall', 'fact_update', 'restyle', 'deepen'][(c + turn_index) % 5 + 1]"
+_PLANNED = (
+    _W + f", p AS (SELECT *, {_INTENT} AS intent, (c + turn_index) % 5 AS k, CASE WHEN (c + turn_index) % 5 = 2 THEN 'premium plan' ELSE {_NAME} END AS value, lag(answer) OVER (PARTITION BY c ORDER BY turn_index) AS prior, "
+    "coalesce(string_agg(concat_ws(chr(10), query, answer), chr(10)) OVER (PARTITION BY c ORDER BY turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS known FROM turns), "
+    "conv AS (SELECT completion_id AS c, overall_score AS coherence, memory_score AS appropriateness, trim(coalesce(topics, '')) AS q, completion_id % 7 = 0 AS sensitive FROM comp), "
+    "df AS ("
+    f"SELECT c, 'same_turn_fact' AS defect FROM p WHERE k = 1 AND (turn_index = 0 OR ({_NORM('value')} <> '' AND contains({_NORM('query')}, {_NORM('value')}))) UNION ALL "
+    f"SELECT c, 'phantom_stale' FROM p WHERE intent = 'fact_update' AND NOT contains({_NORM('known')}, 'zanzibar') UNION ALL "
+    f"SELECT c, 'bad_fact_type' FROM p WHERE intent IN ('fact_recall', 'fact_update') AND {has('value', P.BAD_FACT)} UNION ALL "
+    "SELECT p.c, 'sensitive_flippant' FROM p JOIN conv ON conv.c = p.c WHERE sensitive AND intent IN ('restyle', 'fact_recall', 'fact_update') UNION ALL "
+    "SELECT c, 'constraint_mismatch' FROM p WHERE k = 3 AND turn_index >= 1 AND NOT contains(lower(coalesce(query, '')), 'please') UNION ALL "
+    f"SELECT c, 'identical_rewrite' FROM p WHERE intent IN ('compress', 'restyle') AND NOT ({_BLANK('answer')}) AND trim(answer) = trim(prior) UNION ALL "
+    "SELECT c, 'transformation_density' FROM p WHERE turn_index >= 1 GROUP BY c HAVING avg(CAST(intent IN ('compress', 'restyle') AS INTEGER)) > 0.6 UNION ALL "
+    f"SELECT c, 'contentless_seed_kept' FROM conv WHERE {has('q', P.CONTENTLESS)} OR length(q) < 6 UNION ALL "
+    "SELECT c, 'role_confusion' FROM conv WHERE coherence < 7 UNION ALL "
+    "SELECT c, 'judge_low' FROM conv WHERE coalesce(coherence < 6, false) OR coalesce(appropriateness < 7, false))"
+)
+_JUDGED = ", sc AS (SELECT completion_id AS c, overall_score AS coherence, memory_score AS appropriateness, greatest(overall_score, memory_score) AS rq, least(overall_score, memory_score) AS rac, CASE WHEN overall_score < 4 THEN CASE WHEN memory_score < 5 THEN 'recall_fidelity' ELSE 'coherence' END END AS flagged FROM comp)"
+# Imported here, as the literal queries use the definitions above.
+from . import literal as _L  # noqa: E402
+
+_HARD_AGAIN = _L.hard_sql(_L.confidence_sql(_W.rstrip()), "(c + turn_index) % 4 > 2")
+_SOFT = f"{_RESTARTS('reasoning')} > 1 AND {_RESTARTS('reasoning')} < {P.RESTARTS_FAIL}"
+_KNOWN_MEANS = {"coherence": "coherence", "appropriateness": "appropriateness", "reasoning_quality": "rq", "reasoning_answer_consistency": "rac"}
+_RULES_SQL = {**{f"no_{k}": f"n_{k} = 0" for k in D.FATAL}, "regenerations": "most_regenerations <= 2", "reasoning_quality": "coalesce(mean_reasoning_quality >= 8, false)", "reasoning_answer_consistency": "coalesce(mean_reasoning_answer_consistency >= 8, false)", "pass_rate_in_band": "coalesce(pass_rate BETWEEN 0.65 AND 0.95, false)"}
+_STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_CLEANED = (
+    _W + f", tl AS (SELECT c, turn_index, regexp_replace(reasoning || [{', '.join('replace(' + q(t.replace(chr(10), '~')) + ', chr(126), chr(10))' for t in TAILS)}][(c + turn_index) % {len(TAILS)} + 1], '(?i)\\bstanding (instruction)', 'ongoing \\1', 'g') AS x FROM turns WHERE reasoning IS NOT NULL), "
+    f"rt AS (SELECT c, turn_index, regexp_replace(x, '\\s+$', '') AS t FROM tl), gl AS (SELECT *, regexp_replace(t, '([.!?*)\\]\"''])\\s*(?:{P.ARTIFACT_JUNK})\\s*$', '\\1') AS g, regexp_extract(t, {q(P.ARTIFACT_TAIL)}, 1) AS e FROM rt), "
+    f"wo AS (SELECT c, turn_index, CASE WHEN g <> t THEN regexp_replace(g, '\\s+$', '') WHEN e NOT IN ('', {', '.join(map(q, P.ARTIFACT_ALLOWED))}) THEN left(t, length(t) - length(e) - 1) || '.' ELSE regexp_replace(t, '\\s+(?:{P.ARTIFACT_JUNK})\\s*$', '') END AS w FROM gl) "
+    f"SELECT c, turn_index, CAST(length(CASE WHEN s = '' THEN {_STRIP('w')} ELSE s END) AS INTEGER) AS n_chars FROM (SELECT *, {_STRIP('regexp_replace(w, ' + q(P.CLOSING_PHRASES) + ', ' + chr(39) * 2 + ')')} AS s FROM wo)"
+)
+ORACLE |= {
+    "prefilter_result": _L.hard_sql(_L.confidence_sql(_W.rstrip())) + _L.PREFILTER,
+    "format_bookkeeping": _W.rstrip() + _L._FORMAT + " SELECT * FROM f",
+    "defect_prevalence": _L.confidence_sql(_W.rstrip()) + _L._FORMAT + _L.PREVALENCE,
+    "record_defect_counts": _PLANNED + " SELECT defect, count(*) AS n FROM df GROUP BY defect",
+    "batch_counts": _HARD_AGAIN + _JUDGED + f" SELECT 'hard' AS part, kind AS name, count(*) AS n FROM hard GROUP BY kind UNION ALL SELECT 'flag', 'restarts', count(*) FROM turns WHERE {_SOFT} HAVING count(*) > 0 UNION ALL SELECT 'dimension', flagged, count(*) FROM sc WHERE flagged IS NOT NULL GROUP BY flagged",
+    "batch_summary": _HARD_AGAIN
+    + _JUDGED
+    + ", bad AS (SELECT c, count(*) AS n FROM (SELECT c FROM hard UNION ALL SELECT c FROM a) GROUP BY c), conv AS (SELECT c, count(*) AS n_turns FROM turns GROUP BY c), "
+    + "j AS (SELECT conv.c, n_turns, bad.n AS n_bad, coherence, appropriateness, rq, rac, bad.n IS NULL AND NOT coalesce(coherence < 7, false) AND NOT coalesce(appropriateness < 7, false) AND NOT coalesce(rq < 7, false) AND NOT coalesce(rac < 7, false) AS ok FROM conv LEFT JOIN bad USING (c) LEFT JOIN sc USING (c)), "
+    + "b AS (SELECT count(*) AS n_conversations, CAST(coalesce(sum(n_turns), 0) AS BIGINT) AS n_turns, CAST(coalesce(sum(n_bad), 0) AS BIGINT) AS n_hard_fails, count(*) FILTER (WHERE ok) AS n_passed, round_even(avg(CAST(ok AS INTEGER)), 3) AS pass_rate, "
+    + ", ".join(f"round_even(avg({_KNOWN_MEANS[a]}), 2) AS mean_{a}" if a in _KNOWN_MEANS else f"CAST(NULL AS DOUBLE) AS mean_{a}" for a in D.AXES)
+    + ", "
+    + ", ".join(f"(SELECT count(*) FROM hard WHERE kind = '{k}') AS n_{k}" for k in D.FATAL)
+    + ", (SELECT CAST(max((c + turn_index) % 4) AS INTEGER) FROM turns) AS most_regenerations FROM j) SELECT *, "
+    + ", ".join(f"{v} AS ok_{k}" for k, v in _RULES_SQL.items())
+    + ", "
+    + " AND ".join(f"({v})" for v in _RULES_SQL.values())
+    + " AS accepted FROM b",
+    "variant_thinks": _W + f"SELECT c || ':mixed' AS conversation_id, turn_index, reasoning IS NOT NULL AND {_UNIFORM('c', 'turn_index')} < 0.5 AS thinks FROM turns",
+    "sampled_rows": _W + "SELECT record_id FROM mrl ORDER BY md5('42:' || record_id), record_id LIMIT 50",
+    "rows_per_subset": _W + "SELECT _subset, count(*) AS n FROM mrl GROUP BY _subset",
+    "new_heads": _W + "SELECT record_id, _subset FROM (SELECT *, row_number() OVER (PARTITION BY _subset ORDER BY record_id) AS rn FROM mrl) WHERE rn BETWEEN 6 AND 8",
+    "content_ids": _W + "SELECT completion_id, j AS content, coalesce(_subset, 'unknown_subset') || ':' || coalesce(CAST(_sample_index AS VARCHAR), 'unknown_index') || ':' || left(sha1(j), 12) AS example_id FROM (SELECT *, '{\"conv_mode\":' || CAST(coalesce(to_json(conv_mode), 'null') AS VARCHAR) || ',\"topics\":' || CAST(coalesce(to_json(topics), 'null') AS VARCHAR) || '}' AS j FROM comp)",
+    "prior_references": _W + f"SELECT c, turn_index, len(list_filter(list_filter(regexp_extract_all(lower(coalesce(topics, '')), '[a-z0-9'']+'), lambda w: w NOT IN ({', '.join(map(q, (*P.TOPIC_STOPWORDS, *P.MORE_STOPWORDS)))})), lambda w: contains(lower(coalesce(query, '')), w))) > 0 OR regexp_matches(lower(coalesce(query, '')), {q(P.BACK_REFERENCE)}) AS refers, {has('query', P.PROMPT_ECHO)} AS echo FROM turns JOIN comp ON c = completion_id",
+    "clean_reasoning": _CLEANED,
+    "zipped_seeds": "WITH z AS (" + ORACLE["seed_curation"] + ") SELECT record_id, action, domain FROM z",
+}
+_OTHERS = ("yaml_answers",)
 QUERIES = {n: globals()[n] for n in (*ORACLE, *_OTHERS)}

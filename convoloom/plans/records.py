@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import parsing
+from ..functions import taxonomy as K
 from ..operators import conversations as V
 from ..operators import dedup, generate, judging
 from ..operators import records as R
@@ -17,6 +18,7 @@ from . import conversations as Q
 from . import judges
 
 TYPES = ("json_valid", "first_letter", "yaml_valid", "alphabetical_sentence_starts", "length_tokens", "markdown_table")
+MIX = {"explore": 0.5, "transform": 0.3, "memory": 0.2}
 NAMES = ("Grilarenne", "Dusholoris", "Solmuque", "Bekiwadale")
 NEW_NAMES = ("Ana", "Ben", "Cleo", "Dan")
 
@@ -120,13 +122,13 @@ def mock_judging(spark, d):
 
 def conversation_plan(spark, d):
     s = V.latest_rows(table(spark, d, "mrl_records"), "record_id").select("record_id")
-    return generate.plan(s, "record_id", 6, {"explore": 0.5, "transform": 0.3, "memory": 0.2})
+    return generate.plan(s, "record_id", 6, MIX)
 
 
 def sampled_pairs(spark, d):
     """Share of each intent and policy among drawn pairs: the mask's product weights."""
     s = V.latest_rows(table(spark, d, "mrl_records"), "record_id").select("record_id")
-    x = generate.draw_pairs(s, ["record_id"], {"reformat": 2, "deepen": 3, "fact_recall": 1}, {"immediate": 30, "standing": 20, "delayed_recall": 25}, {("deepen", "delayed_recall"), ("fact_recall", "standing")})
+    x = generate.draw_pairs(s, ["record_id"], dict(K.INTENTS), dict(K.POLICIES), set(K.INVALID))
     return x.groupBy("intent", "policy").agg(F.count("*").alias("n"))
 
 
@@ -142,5 +144,42 @@ ORACLE = {
     "rubric_parse": judges._W + "SELECT _eval_id, _model, CASE WHEN overall_score IS NOT NULL THEN least(10, greatest(1, overall_score)) END AS coherence, CASE WHEN memory_score IS NOT NULL THEN least(10, greatest(1, CAST(round_even(memory_score + 0.5, 0) AS INTEGER))) END AS recall_fidelity, CASE WHEN overall_score IS NOT NULL OR memory_score IS NOT NULL THEN 3 END AS severity FROM ok",
     "stream_latest": judges.ORACLE["judge_latest"],
 }
-_OTHERS = ("greedy_near_dup", "bleu_topic_filter", "name_replacement", "error_replies", "mock_judging", "conversation_plan", "sampled_pairs")
+_U = Q._UNIFORM
+_VALID = [(i, p, w * v) for i, w in K.INTENTS.items() for p, v in K.POLICIES.items() if (i, p) not in K.INVALID]
+
+
+def _renamed(column: str) -> str:
+    for n in NAMES:
+        pool = "[" + ", ".join(f"'{x}'" for x in NEW_NAMES) + "]"
+        name = f"'{n}'"
+        skip = "'skip'"
+        column = f"CASE WHEN {_U('record_id', name, skip)} >= 0.1 THEN replace({column}, '{n}', {pool}[CAST(floor({_U('record_id', name)} * {len(NEW_NAMES)}) AS INTEGER) + 1]) ELSE {column} END"
+    return column
+
+
+def _mock(prompt: str) -> str:
+    """The mock's judgment of a prompt at its first attempt, as the JSON text that is logged."""
+    d = f"sha256(('0x' || left(sha256('42:' || _eval_id || ':0'), 8))::BIGINT || ':' || {prompt})"
+    byte = lambda i: f"('0x' || substr(d, {2 * i + 1}, 2))::BIGINT"
+    scores = " || ".join(f"'{', ' if i else ''}\"{n}\": ' || (1 + {byte(i)} % 10)" for i, n in enumerate(("memory_score", "instruction_score", "freshness_score", "overall_score")))
+    return f"SELECT _eval_id, '{{' || {scores} || ', \"confidence\": \"' || ['low', 'medium', 'high'][{byte(5)} % 3 + 1] || '\", \"issues\": [], \"rationale\": {{\"memory\": \"m\", \"instruction\": \"i\", \"freshness\": \"f\"}}}}' AS judgment FROM (SELECT _eval_id, {d} AS d FROM todo)"
+
+
+ORACLE |= {
+    "greedy_near_dup": _W + f", w AS (SELECT record_id, list_sort(list_distinct({Q._WORDS('query')})) AS w FROM mrl), " + "u AS (SELECT w, min(record_id) AS record_id, row_number() OVER (ORDER BY min(record_id)) AS i FROM w WHERE len(w) > 0 GROUP BY w), near AS (SELECT a.i AS a, b.i AS b FROM u a JOIN u b ON a.i < b.i AND len(a.w) * 10 >= len(b.w) * 9 AND len(b.w) * 10 >= len(a.w) * 9 WHERE len(list_intersect(a.w, b.w)) >= 0.9 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))), "
+    "k(i, kept) AS (SELECT 0, CAST([] AS BIGINT[]) UNION ALL SELECT k.i + 1, CASE WHEN EXISTS (SELECT 1 FROM near WHERE b = k.i + 1 AND list_contains(k.kept, a)) THEN k.kept ELSE list_append(k.kept, k.i + 1) END FROM k WHERE k.i < (SELECT count(*) FROM u)) "
+    "SELECT w.record_id, coalesce(list_contains((SELECT kept FROM k ORDER BY i DESC LIMIT 1), u.i), false) AS kept FROM w LEFT JOIN u ON u.record_id = w.record_id",
+    "name_replacement": _W + f"SELECT record_id, {_renamed('query')} AS query, {_renamed('answer')} AS answer FROM mrl",
+    "conversation_plan": _W + f"SELECT record_id, CAST(t AS INTEGER) AS turn_index, CASE WHEN t = 1 THEN 'explore' WHEN {_U('record_id', 't')} < 0.5 THEN 'explore' WHEN {_U('record_id', 't')} < 0.8 THEN 'transform' ELSE 'memory' END AS category FROM mrl, unnest(range(1, 6)) v(t)",
+    "sampled_pairs": _W
+    + f", pairs AS (SELECT *, sum(w) OVER (ORDER BY o) AS upto, sum(w) OVER () AS total FROM (VALUES {', '.join(f'({k}, {Q.q(i)}, {Q.q(p)}, {float(w)}::DOUBLE)' for k, (i, p, w) in enumerate(_VALID))}) v(o, intent, policy, w)) "
+    + f"SELECT intent, policy, count(*) AS n FROM (SELECT record_id, {_U('record_id')} AS u FROM mrl) m JOIN pairs ON u * total >= upto - w AND u * total < upto GROUP BY intent, policy",
+    "mock_judging": _W
+    + f", latest AS (SELECT * FROM comp WHERE _eval_id IS NOT NULL AND interactions IS NOT NULL AND _eval_id NOT IN (SELECT _eval_id FROM judge_log WHERE _status = 'ok' AND _eval_id IS NOT NULL)), todo AS (SELECT _eval_id, coalesce((SELECT string_agg(s, chr(10) ORDER BY turn_index) FROM (SELECT c, turn_index, concat_ws(chr(10), CASE WHEN NOT ({Q._BLANK('query')}) THEN 'User: ' || query END, CASE WHEN NOT ({Q._BLANK('answer')}) THEN 'Assistant: ' || answer END) AS s FROM turns) WHERE c = completion_id AND s <> ''), '') AS transcript FROM latest), j AS ("
+    + _mock("'Judge this:' || chr(10) || transcript")
+    + ") SELECT _eval_id, 'mock' AS _model, 'ok' AS _status, judgment, CAST(NULL AS VARCHAR) AS error_type, CAST(NULL AS VARCHAR) AS error FROM j",
+}
+# Recursive for the fold over the rows' order.
+ORACLE["greedy_near_dup"] = ORACLE["greedy_near_dup"].replace("WITH comp", "WITH RECURSIVE comp", 1)
+_OTHERS = ("bleu_topic_filter", "error_replies")
 QUERIES = {n: globals()[n] for n in (*ORACLE, *_OTHERS)}

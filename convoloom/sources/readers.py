@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,24 +41,53 @@ def seed_query():
     return F.coalesce(*(clean(F.col(c)) for c in ("query", "prompt", "question", "instruction", "text")), clean(first("messages")), clean(first("conversation")))
 
 
+def in_memory(spark: SparkSession, items: list[str | dict]) -> DataFrame:
+    """(position, seed, dataset, category, lang, is_haystack) from texts or objects given by the caller."""
+    rows = [{"query": x} if isinstance(x, str) else x for x in items]
+    lines = [(i, json.dumps(x)) for i, x in enumerate(rows)]
+    x = spark.createDataFrame(lines, "position long, line string").select("position", F.from_json("line", SEEDS).alias("s"))
+    return x.select("position", "s.*").withColumn("seed", seed_query()).select("position", "seed", "dataset", "category", "lang", "is_haystack")
+
+
+def _listed(spark: SparkSession, folder: str) -> list[str] | None:
+    """Names of the Parquet files or folders in a folder of any file system that Spark reaches; None if there is no such folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
+        return None
+    return sorted(n[:-8] for n in (x.getPath().getName() for x in fs.listStatus(path)) if n.endswith(".parquet"))
+
+
 def dataset(spark: SparkSession, root: str, subset: str, split: str | None = None) -> DataFrame:
     """A subset's folder, in it the wanted split, or the only one; a split named like the subset also serves."""
-    base = Path(root)
-    for folder in (base / subset, base):
-        if not folder.is_dir():
+    root = root.rstrip("/")
+    for folder in (f"{root}/{subset}", root):
+        names = _listed(spark, folder)
+        if names is None:
             continue
-        names = sorted(p.stem for p in folder.glob("*.parquet"))
-        pick = split if split in names else subset if folder == base and subset in names else names[0] if folder != base and len(names) == 1 else None
+        pick = split if split in names else subset if folder == root and subset in names else names[0] if folder != root and len(names) == 1 else None
         if pick:
-            return spark.read.parquet(str(folder / f"{pick}.parquet"))
+            return spark.read.parquet(f"{folder}/{pick}.parquet")
     raise ValueError(f"no split {split!r} of {subset!r} below {root}")
 
 
 def existing(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at the path, or None if there is none yet."""
-    from pyspark.errors import AnalysisException
+    """The table at the path, or None if there is nothing at it; a table that can't be read is an error."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) else None
 
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+
+def model_logs(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, list[str]]:
+    """The attempts of several models' JSON-lines logs in one table, and the models without a log.
+
+    A row without a model's name gets that of its file.
+    """
+    out, missing = None, []
+    for model, path in sorted(paths.items()):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            missing.append(model)
+            continue
+        rows = jsonl(spark, path, JUDGE_LOG).withColumn("_model", F.coalesce("_model", F.lit(model)))
+        out = rows if out is None else out.unionByName(rows)
+    return (spark.createDataFrame([], JUDGE_LOG) if out is None else out), missing

@@ -16,7 +16,7 @@ from convoloom.functions import text as T
 from convoloom.operators import checkers as C
 from convoloom.operators import conversations as V
 from convoloom.operators import crossturn as X
-from convoloom.operators import dedup, detectors, generate, judging
+from convoloom.operators import dedup, detectors, generate, judging, preferences, synthesis
 from convoloom.operators import records as R
 from convoloom.sources import config, readers, writers
 from convoloom.streaming import judgelog
@@ -180,10 +180,18 @@ def test_gate(spark):
 def test_batch_summary_and_rates(spark):
     t = turns(spark, ("a", 0, "q", "Plain thought.", "Fine answer."), ("b", 0, "q", "As per the system prompt", "Fine answer."), ("c", 0, "q", "Plain.", "Fine."))
     s = spark.createDataFrame([("a", 9), ("b", 9), ("c", 5)], "c string, coherence int")
-    b = detectors.batch_summary(t, s)
-    assert tuple(b.first()) == (3, 3, 1, 0.3333, 7.6667, 9.0, False)
-    assert b.select(detectors.acceptance(b, 0.3, 1.0, 7.0), detectors.acceptance(b)).first()[:] == (True, False)
-    assert tuple(detectors.batch_summary(t.limit(0), s).first())[0] == 0
+    b = detectors.batch_summary(t, s).first()
+    assert (b["n_conversations"], b["n_turns"], b["n_hard_fails"], b["n_passed"], b["pass_rate"], b["mean_coherence"], b["mean_reasoning_quality"], b["n_harness_in_reasoning"], b["most_regenerations"]) == (3, 3, 1, 1, 0.333, 7.67, None, 1, 0)
+    good = turns(spark, ("a", 0, "q", "Plain thought.", "Fine answer."), ("b", 0, "q", "Wait, so. Wait, now. It holds.", "Fine answer."), ("c", 0, "q", "Plain.", "Fine.")).withColumn("regenerations", F.lit(1))
+    axes = spark.createDataFrame([("a", 9, 9, [(0, "coherence", 1)]), ("b", 9, 8, []), ("c", 7, 6, None)], "c string, reasoning_quality int, reasoning_answer_consistency int, flagged_turns array<struct<turn_index:int,dimension:string,severity:int>>")
+    v = detectors.accepted(detectors.batch_summary(good, axes)).first()
+    assert v["mean_reasoning_quality"] == 8.33 and v["mean_reasoning_answer_consistency"] == 7.67 and v["pass_rate"] == 0.667
+    assert [k for k in v.asDict() if k.startswith("ok_") and not v[k]] == ["ok_reasoning_answer_consistency"] and not v["accepted"]
+    assert detectors.accepted(detectors.batch_summary(good, axes), least=7.0).first()["accepted"]
+    assert not detectors.accepted(detectors.batch_summary(good.withColumn("regenerations", F.lit(3)), axes), least=7.0).first()["ok_regenerations"]
+    assert rows_of(detectors.batch_counts(good, axes)) == [("dimension", "coherence", 1), ("flag", "restarts", 1)]
+    empty = detectors.accepted(detectors.batch_summary(t.limit(0), s)).first()
+    assert empty["n_conversations"] == 0 and not empty["accepted"]
     r = spark.createDataFrame([("x", False)] * 6 + [("y", True)], "k string, passed boolean")
     assert rows_of(detectors.pass_rates(r, ["k"])) == [("x", 6, 0.0, 0.25), ("y", 1, 1.0, 1.0)]
 
@@ -481,6 +489,115 @@ def test_segments_of_a_response(spark):
         T.segment_response(F.col("r"), F.col("c"), "odd")
 
 
+def test_one_json_value(spark):
+    cases = {'{"a": 1}': True, "[1, 2]": True, "3": True, '"x"': True, "": False, '{"a": 1} {"b": 2}': False, '{"a": 1} tail': False, "1, 2": False, '1, "b": 2': False, "1] , [2": False, "{": False}
+    got = dict(rows_of(spark.createDataFrame([(t,) for t in cases], "t string").select("t", T.is_json(F.col("t")))))
+    assert got == cases
+
+
+def test_preferences(spark):
+    side = lambda a: {"think": "t", "answer": a}
+    p = [{"query": f"q{i}", "accepted": side(f"a{i}"), "rejected": side(f"r{i}")} for i in range(4)]
+    text = str(p)
+    df = spark.createDataFrame([(text,), (text[: text.index("q3") + 8],), ("x",), (None,)], "t string").select(parsing.parse_preferences("t").alias("p"))
+    n = [None if r[0] is None else len(r[0]) for r in df.collect()]
+    assert n == [4, 3, None, None]
+    first = df.limit(1)
+    fit = lambda k, least=0.8: first.select(F.size(preferences.fitted(F.col("p"), k, preferences.blank_preference(), least))).first()[0]
+    assert (fit(3), fit(4), fit(5), fit(6), fit(6, 0.5)) == (3, 4, 5, -1, 6)
+    pair = first.select(preferences.pairs(F.col("p"))[2]).first()[0]
+    assert pair["prompt"] == "User: q0\nAssistant: a0\nUser: q1\nAssistant: a1\nUser: q2" and (pair["chosen"], pair["rejected"]) == ("a2", "r2")
+    talk = spark.createDataFrame([([("q", "old", "a"), ("r", None, "b")], ["x", "y"], [("t", "no")])], "i array<struct<query:string,think:string,answer:string>>, th array<string>, o array<struct<think:string,answer:string>>")
+    assert [tuple(x) for x in talk.select(preferences.with_thinks(F.col("i"), F.col("th"))).first()[0]] == [("q", "x", "a"), ("r", "y", "b")]
+    assert talk.select(preferences.with_thinks(F.col("i"), F.slice("th", 1, 1)), preferences.with_side(F.col("i"), F.col("o"))).first()[:] == (None, None)
+    one = talk.select(preferences.with_side(F.slice("i", 1, 1), F.col("o"), "accepted")[0]).first()[0]
+    assert (one["accepted"]["answer"], one["rejected"]["answer"]) == ("no", "a")
+    with pytest.raises(ValueError, match="unknown side"):
+        preferences.with_side(F.col("i"), F.col("o"), "odd")
+
+
+def test_plans_keep_their_rules(spark):
+    s = spark.range(300).select("id", (F.col("id") % 16).cast("int").alias("n"), (F.col("id") % 3 == 0).alias("s"))
+    by = {}
+    for i, t, c, k in synthesis.plan(s.repartition(3), "id", "n", "s").collect():
+        by.setdefault(i, {})[t] = (c, k)
+    assert set(by) == {i for i in range(300) if i % 16 > 1}
+    for i, turns_ in by.items():
+        n = i % 16 - 1
+        kinds = [turns_[t][0] for t in range(1, n + 1)]
+        assert len(turns_) == n and kinds[0] == "explore" and kinds.count("transform") <= n // 2
+        at = {k: t for t, (_, k) in turns_.items() if k and k != "content"}
+        assert not at or (i % 3 and at["recall"] - at["plant"] >= 4 and at.get("update", 99) > at["recall"])
+    assert any("update" in {k for _, k in t.values()} for t in by.values())
+    v = synthesis.voices(synthesis.plan(s, "id", "n").select("id", "turn_index"), "id").orderBy("id", "turn_index").collect()
+    assert all(a["persona"] != b["persona"] for a, b in itertools.pairwise(v) if a["id"] == b["id"])
+
+
+def test_conversations_behind_a_client(spark):
+    seeds = spark.createDataFrame([(i, f"What is the {c} harbour about?") for i, c in enumerate("abcde")], "id long, query string")
+
+    class Moody(synthesis.MockWriter):
+        """Refuses half of the time, breaks its form at times, and never answers for one seed."""
+
+        def generate(self, prompt, seed):
+            if prompt.endswith("FORM: answer"):
+                if "the e harbour" in prompt:
+                    raise TimeoutError("late")
+                if seed % 2:
+                    return "<think>I'm not allowed.</think>I cannot help with that."
+            return super().generate(prompt, seed)
+
+    rows, stats = synthesis.converse(seeds, "id", synthesis.MockWriter(), Moody(), 3, attempts=6)
+    got = {(r["id"], r["turn_index"]): r for r in rows.collect()}
+    s = stats.first()
+    assert {i for i, _ in got} <= {0, 1, 2, 3} and s["n_seeds"] == 5 and s["n_dropped"] == 5 - s["n_conversations"] and s["n_regenerations"] > 0
+    assert all(not r["passed"] or "cannot" not in r["answer"] for r in got.values()) and all(len([1 for j, _ in got if j == i]) == 3 for i, _ in got)
+    again, _ = synthesis.converse(seeds.repartition(3), "id", synthesis.MockWriter(), Moody(), 3, attempts=6)
+    assert rows_of(again) == rows_of(rows)
+    slow = synthesis.answered(synthesis.requests(spark, 2, "FORM: items 3"), "iteration", synthesis.MockWriter(), streamed=True, seconds=-1.0)
+    assert {len(r["response"]) for r in slow.collect()} == {16}
+    total = synthesis.merged_stats(stats, stats).first()
+    assert total["n_turns"] == 2 * s["n_turns"]
+    assert synthesis.stamped(seeds, "d", {"judge": "m"}).first()["factory_models"] == {"judge": "m"}
+
+
+def test_sinks_of_runs(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", None), (2, "b", "x"), (3, "a", "y")], "b long, _subset string, a string")
+    assert writers.jsonl(df, str(tmp_path / "j"), sort_keys=True) == 3
+    lines = sorted(x for p in (tmp_path / "j").glob("part*") for x in p.read_text().splitlines())
+    assert all(list(json.loads(x)) == ["_subset", "a", "b"] for x in lines) and len(lines) == 3
+    writers.bundle(df, str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b/all")).count() == 3 and sorted(p.name for p in (tmp_path / "b/subsets").glob("_subset=*")) == ["_subset=a", "_subset=b"]
+    writers.report(spark, {"rows": df, "none": df.limit(0)}, "Report", str(tmp_path / "r"))
+    assert "| 2 | b | x |" in (tmp_path / "r/report.md").read_text() and "No data." in (tmp_path / "r/report.md").read_text()
+    prevalence = spark.createDataFrame([("A", 2, 3, 50.0)], "detector string, n_conversations long, n_flags long, pct double")
+    writers.filtered(df, prevalence, str(tmp_path / "f"))
+    assert json.loads((tmp_path / "f/prevalence.json").read_text())["A"]["n_flags"] == 3
+    with pytest.raises(Exception, match="exists"):
+        writers.filtered(df, prevalence, str(tmp_path / "f"))
+    counts = spark.createDataFrame([("hard", "x", 2)], "part string, name string, n long")
+    writers.audit(prevalence.select("pct"), counts, {"seed": 42}, str(tmp_path / "audit.json"))
+    assert json.loads((tmp_path / "audit.json").read_text()) == {"settings": {"seed": 42}, "summary": {"pct": 50.0}, "counts": {"hard": {"x": 2}}}
+    src = str(tmp_path / "s")
+    for i in range(3):
+        spark.createDataFrame([(i,)], "i long").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("i long").option("maxFilesPerTrigger", 1).parquet(src)
+    assert writers.partial(stream, str(tmp_path / "out"), str(tmp_path / "ck"), every=2) == []
+    assert sorted(r["i"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
+
+
+def test_readers_of_seeds_and_logs(spark, tmp_path):
+    x = readers.in_memory(spark, ["Hello there", {"prompt": " Why? ", "lang": "en"}, {"messages": [{"role": "user", "content": "Hi"}]}])
+    assert [(r["position"], r["seed"], r["lang"]) for r in x.orderBy("position").collect()] == [(0, "Hello there", None), (1, "Why?", "en"), (2, "Hi", None)]
+    (tmp_path / "m.jsonl").write_text(json.dumps({"seq": 1, "_eval_id": "e", "_status": "ok"}) + "\n")
+    rows, missing = readers.model_logs(spark, {"m": str(tmp_path / "m.jsonl"), "n": str(tmp_path / "none.jsonl")})
+    assert rows.select("_model", "_eval_id").collect()[0][:] == ("m", "e") and missing == ["n"]
+    assert readers.model_logs(spark, {"n": str(tmp_path / "none.jsonl")})[0].count() == 0
+    assert readers.existing(spark, str(tmp_path / "none")) is None
+    a, b = (spark.createDataFrame(v, s) for v, s in (([(1, "x", 2)], "k int, v string, only_a int"), ([(2, "y", "z")], "k int, v string, w string")))
+    assert rows_of(V.common_columns(a, b)) == [(1, "x"), (2, "y")]
+
+
 def test_generation_is_repeatable(spark):
     todo = spark.createDataFrame([(f"e{i}", "talk" if i else None) for i in range(20)], "_eval_id string, transcript string")
     a, b = (rows_of(generate.judge(x, generate.MockClient(), "m", "J {conversation}").drop("_latency_seconds")) for x in (todo, todo.repartition(5)))

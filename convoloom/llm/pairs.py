@@ -36,9 +36,13 @@ def is_empty(text: str | None) -> bool:
     t = text.strip(" \t\r\n\v\f" + INVISIBLE)
     if not t:
         return True
-    if len(t) > 24:
-        return False
-    return re.sub(r"[\W_]+", "", t).lower() in _NOTHING and not re.search(r"[\U0001F300-\U0001FAFF]", t)
+    words = iter(_WORD.finditer(t))
+    said = []
+    for w in words:  # one word that says something ends the search
+        said.append(w.group().lower())
+        if said[-1] not in _NOTHING and len(said) > 3:
+            return False
+    return ("".join(said) in _NOTHING or set(said) <= _NOTHING) and not re.search(r"[\U0001F300-\U0001FAFF]", t)
 
 
 # ---------------------------------------------------------------- copies

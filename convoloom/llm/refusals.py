@@ -33,8 +33,8 @@ _POLITE = re.compile(r"^(?:thank you|thanks|please|is there|you may|you could|le
 def refuses(text: str) -> bool:
     """The response opens with a refusal and goes on with courtesies at most."""
     t = text.strip(" \t\r\n\"'“”*>_" + INVISIBLE)
-    if not t or not _REFUSAL.search(t[:400]):
+    if not _REFUSAL.match(t):  # all patterns stand at the beginning
         return False
     rest = [s for s in _STOP.split(t)[1:] if s.strip()]
-    real = [s for s in rest if not _POLITE.search(s.strip()) and not _REFUSAL.search(s.strip())]
+    real = [s for s in rest if not _POLITE.search(s.strip()) and not _REFUSAL.match(s.strip())]
     return len(real) <= 1 and not t.startswith(("cannot", "can't"))

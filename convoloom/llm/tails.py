@@ -60,10 +60,9 @@ def ending(text: str) -> int:
     if t.endswith("```"):
         return ENDED
     line = t[t.rfind("\n") + 1 :].strip(_STRIP)
-    if line.startswith("|") or "|---" in t[-400:]:
-        rows = [x.strip() for x in t.split("\n") if x.strip().startswith("|")]
-        if line.startswith("|"):
-            return ENDED if line.endswith("|") and line.count("|") >= rows[0].count("|") else CUT
+    if line.startswith("|"):
+        first = next(x for x in t.split("\n") if x.strip().startswith("|"))
+        return ENDED if line.endswith("|") and line.count("|") >= first.count("|") else CUT
     last = _SENTENCE.split(line)[-1]
     at = last.find("{")
     if at < 0 or last[at : at + 2] in ("{{", "{}"):

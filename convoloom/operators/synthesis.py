@@ -217,8 +217,9 @@ def plan(seeds: DataFrame, key: str, length: str, sensitive: str | None = None,
     x = x.withColumn("at", memory).withColumn("far", F.filter("at", lambda i: i - F.element_at("at", 1) >= distance)).withColumn("ok", ~F.col("s") & (F.size("far") > 0))
     more = (F.size("far") > 1) & (T.uniform(seed, F.col("k"), F.lit("update")) < 0.5)
     kind = lambda i: F.when(F.col("ok") & (i == F.element_at("at", 1)), "plant").when(F.col("ok") & (i == F.try_element_at("far", F.lit(1))), "recall").when(F.col("ok") & more & (i == F.try_element_at("far", F.lit(2))), "update").otherwise("content")
-    rows = x.withColumn("t", F.transform("m", lambda v, i: F.struct((i + 1).alias("turn_index"), v.alias("category"), F.when(v == "memory", kind(i + 1)).alias("memory_kind"))))
-    return rows.select(F.col("k").alias(key), F.explode("t").alias("t")).select(key, "t.turn_index", "t.category", "t.memory_kind")
+    # Exploded as an expression: of a column that is an array Spark infers a filter, and would evaluate all of this twice, the second time below the scan.
+    rows = F.transform("m", lambda v, i: F.struct((i + 1).alias("turn_index"), v.alias("category"), F.when(v == "memory", kind(i + 1)).alias("memory_kind")))
+    return x.select(F.col("k").alias(key), F.explode(rows).alias("t")).select(key, "t.turn_index", "t.category", "t.memory_kind")
 
 
 def allowed(category: Column, sensitive: Column | None = None) -> Column:

@@ -7,6 +7,13 @@ conversation-level detector A aggregates, once, by conversation.
 
 from __future__ import annotations
 
+import ast
+import re
+import subprocess
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +85,52 @@ def confidence_mismatch(t: DataFrame) -> DataFrame:
     return y.select("c", "f.turn_index", F.lit("A").alias("detector"), "f.name", F.lit(3).alias("severity"), "f.evidence")
 
 
+_BLOCK = re.compile(r"```(?:python|py)\s*\n(.*?)```", re.S | re.I)
+_ASSERT = re.compile(r"^\s*assert\b", re.M)
+_SKIP = re.compile(r"\btimeit\b|\binput\s*\(|\bwhile True\b|__main__|requests\.|urllib|socket", re.I)
+
+
+def code_mismatch(t: DataFrame, allow: bool = False, seconds: float = 8.0) -> DataFrame:
+    """C: answers whose own Python assertions fail when their blocks are run in an isolated process.
+
+    This runs code that a model wrote, on the executors; it is refused unless `allow` is set, and then
+    the executors must be sandboxed by the caller.  Blocks that measure time or read input, and those that
+    can't be parsed, are left out; unknown names and time-outs are no flags.
+    """
+    if not allow:
+        raise PermissionError("running code of answers must be allowed explicitly")
+
+    def verdict(answer: str) -> tuple[str, int, str] | None:
+        blocks = [b for b in _BLOCK.findall(answer or "") if not _SKIP.search(b)]
+        usable = []
+        for b in blocks:
+            try:
+                ast.parse(b)
+            except (SyntaxError, ValueError):
+                continue
+            usable.append(b)
+        script = "\n\n".join(usable)
+        if not _ASSERT.search(script):
+            return None
+        try:
+            done = subprocess.run([sys.executable, "-I", "-c", script], capture_output=True, text=True, timeout=seconds, check=False)
+        except subprocess.TimeoutExpired:
+            return None
+        if not done.returncode or "NameError" in done.stderr:
+            return None
+        failed = "AssertionError" in done.stderr
+        last = (done.stderr.strip().splitlines() or [""])[-1]
+        return ("assert_failed", 3, last[:100]) if failed else ("code_error", 2, last[:100])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(c, i, "C", *v) for c, i, a in zip(pdf["c"], pdf["turn_index"], pdf["answer"], strict=True) if (v := verdict(a))]
+            yield pd.DataFrame(out, columns=["c", "turn_index", "detector", "name", "severity", "evidence"])
+
+    kind = t.schema["c"].dataType.simpleString()
+    return t.select("c", "turn_index", "answer").mapInPandas(run, f"c {kind}, turn_index int, detector string, name string, severity int, evidence string")
+
+
 def format_bookkeeping(t: DataFrame, share: float = 0.45) -> DataFrame:
     """D: reasoning of which many sentences are about format rules."""
     s = F.filter(F.split(T.text("reasoning"), r"(?<=[.!?\n])\s+"), lambda v: v.rlike(r"\S"))

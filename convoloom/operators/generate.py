@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 from collections.abc import Iterator
 from typing import Protocol
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.parsing import judgment
+from ..functions.parsing import AXES, judgment, parse_rubric
 
 
 class Client(Protocol):
@@ -34,14 +35,28 @@ class MockClient:
         return "Here it is: " + json.dumps({**s, "confidence": ("low", "medium", "high")[d[5] % 3], "issues": [], "rationale": {"memory": "m", "instruction": "i", "freshness": "f"}})
 
 
+# Names of errors that pass, and status numbers worth another call.
+TRANSIENT = ("InternalServerError", "APITimeoutError", "APIConnectionError", "RateLimitError", "APIError", "Timeout", "TimeoutError", "ConnectionError")
+STATUS = (408, 409, 429, 500, 502, 503, 504)
+_PASSING = re.compile(r"timed out|timeout|connection|unexpected error|temporarily|\b(?:408|409|429|500|502|503|504)\b", re.I)
+
+
+def transient(e: Exception) -> bool:
+    """Is the error worth another call: by its status, its name, or its text."""
+    code = getattr(e, "status_code", None) or getattr(e, "code", None)
+    return code in STATUS or type(e).__name__ in TRANSIENT or bool(_PASSING.search(str(e)))
+
+
 _OUT = "_eval_id string, _model string, _status string, _latency_seconds double, judgment string, error_type string, error string"
 
 
-def judge(pending: DataFrame, client: Client, model: str, template: str, seed: int = 42, attempts: int = 3) -> DataFrame:
+def judge(pending: DataFrame, client: Client, model: str, template: str, seed: int = 42, attempts: int = 3, wait: float = 0.0) -> DataFrame:
     """One log row per pending (_eval_id, transcript): a schema-valid judgment as JSON, or the error.
 
     The template's `{conversation}` takes the transcript.  The seed of a call depends on
-    the row's id and the attempt, so results don't depend on the partitioning.
+    the row's id and the attempt, so results don't depend on the partitioning.  A reply that
+    can't be read and a passing error are followed by another call, after `wait` seconds that
+    double each time; any other error ends the row.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,6 +70,9 @@ def judge(pending: DataFrame, client: Client, model: str, template: str, seed: i
                         text = client.generate(template.replace("{conversation}", t or ""), s)
                     except Exception as e:  # noqa: BLE001  whatever a client raises is data here
                         kind, error = type(e).__name__, str(e)
+                        if not transient(e):
+                            break
+                        time.sleep(wait * 2**k if k + 1 < attempts else 0)
                         continue
                     got = judgment(text)
                     if got:
@@ -67,6 +85,47 @@ def judge(pending: DataFrame, client: Client, model: str, template: str, seed: i
     return pending.select("_eval_id", "transcript").mapInPandas(run, _OUT)
 
 
+def judge_all(pending: DataFrame, clients: dict[str, Client], template: str, **options) -> DataFrame:
+    """The log rows of every model in turn; a model that fails leaves error rows, and the others go on."""
+    out = None
+    for model, client in clients.items():
+        rows = judge(pending, client, model, template, **options)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no models")
+    return out
+
+
+def scored(conversations: DataFrame, key: str, client: Client, template: str, seed: int = 42) -> DataFrame:
+    """(key, rubric): the rubric of each (key, transcript); null where the client fails or replies without a known axis."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = []
+            for i, t in zip(pdf[key], pdf["transcript"], strict=True):
+                try:
+                    s = int.from_bytes(hashlib.sha256(f"{seed}:{i}".encode()).digest()[:4], "big")
+                    got.append(client.generate(template.replace("{conversation}", t or ""), s))
+                except Exception:  # noqa: BLE001  a judge that fails gives no score
+                    got.append(None)
+            yield pd.DataFrame({key: pdf[key], "reply": got})
+
+    kind = conversations.schema[key].dataType.simpleString()
+    r = conversations.select(key, "transcript").mapInPandas(run, f"`{key}` {kind}, reply string").withColumn("r", parse_rubric("reply"))
+    known = F.coalesce(*(F.col(f"r.{a}") for a in AXES)).isNotNull()
+    return r.select(key, F.when(known, F.col("r")).alias("rubric"))
+
+
+class MockRubric:
+    """Deterministic rubric inside prose; every eleventh reply names no axis."""
+
+    def generate(self, prompt: str, seed: int) -> str:
+        d = hashlib.sha256(f"{seed}:{prompt}".encode()).digest()
+        if d[0] % 11 == 0:
+            return "I have no opinion. {}"
+        return "My view: " + json.dumps({**{a: 1 + d[i + 1] % 10 for i, a in enumerate(AXES)}, "flagged_turns": [], "notes": "n"}) + " That is all."
+
+
 def plan(seeds: DataFrame, key: str, turns: int, mix: dict[str, float], seed: int = 42) -> DataFrame:
     """(key, turn_index, category): a seeded category per follow-up turn; the first follow-up explores.
 

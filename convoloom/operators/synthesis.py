@@ -246,6 +246,37 @@ def voices(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return rows.withColumns({"persona": persona, "verbosity": word})
 
 
+# Invented pieces of personal facts that a user may mention; never accounts or payments.
+ONSETS = ("Tam", "Rel", "Kor", "Min", "Sav", "Dor", "Lun", "Pes", "Vim", "Gal", "Hes", "Nor")
+ENDINGS = ("ela", "ion", "ush", "ar", "ette", "im", "owa", "en")
+LABELS = {"pet's name": "", "mentor's name": "", "home town": "burg", "childhood street": " Lane", "favourite author": " Senn", "project's name": "-1"}
+
+
+def personal_facts(rows: DataFrame, key: str, n: int, pool: str | None = None, seed: int = 42) -> DataFrame:
+    """(key, position, label, value, new_value, plant, update, recall): n facts a row and the sentences that plant, update and ask for them.
+
+    The first ones come from the row's own pool (array<struct<label, value, new_value>>) where it has usable
+    entries; the others are drawn, so that a fact's two values differ and neighbours have different labels.
+    """
+    k = F.col(key)
+    u = lambda *p: T.uniform(seed, k, *p)
+    pick = lambda names, x: F.element_at(F.array(*map(F.lit, names)), F.floor(x * len(names)).cast("int") + 1)
+    turn = F.floor(u(F.lit("label")) * len(LABELS)).cast("int")
+    label = lambda i: F.element_at(F.array(*map(F.lit, LABELS)), F.pmod(turn + i, F.lit(len(LABELS))) + 1)
+    tail = lambda i: F.element_at(F.array(*map(F.lit, LABELS.values())), F.pmod(turn + i, F.lit(len(LABELS))) + 1)
+    at = lambda i: F.floor(u(i, F.lit("onset")) * len(ONSETS)).cast("int")
+    name = lambda i, shift: F.concat(F.element_at(F.array(*map(F.lit, ONSETS)), F.pmod(at(i) + shift, F.lit(len(ONSETS))) + 1), pick(ENDINGS, u(i, F.lit("ending"))), tail(i))
+    drawn_ = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(label(i).alias("label"), name(i, 0).alias("value"), name(i, 1).alias("new_value")))
+    all_ = drawn_
+    if pool is not None:
+        good = F.filter(F.coalesce(F.col(pool), F.array().cast("array<struct<label:string,value:string,new_value:string>>")), lambda f: (F.trim(T.text(f["label"])) != "") & (F.length(F.trim(T.text(f["value"]))) >= 2))
+        own = F.transform(good, lambda f: F.struct(F.trim(f["label"]).alias("label"), F.trim(f["value"]).alias("value"), F.trim(T.text(f["new_value"])).alias("new_value")))
+        all_ = F.slice(F.concat(own, drawn_), F.lit(1), F.lit(n))
+    x = rows.select(k, F.posexplode(all_).alias("position", "f")).select(key, "position", "f.*")
+    mine = F.concat(F.lit("my "), F.col("label"))
+    return x.withColumns({"plant": F.concat(F.lit("By the way, "), mine, F.lit(" is "), F.col("value"), F.lit(".")), "update": F.concat(F.lit("Actually, "), mine, F.lit(" is now "), F.col("new_value"), F.lit(".")), "recall": F.concat(F.lit("What is "), mine, F.lit("?"))})
+
+
 # ---------------------------------------------------------------- whole conversations
 
 

@@ -10,6 +10,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constraints as N
 from ..functions import parsing
 from ..functions import patterns as P
 from ..functions import text as T
@@ -66,6 +67,13 @@ FACTS = (("a", "boat", 0), ("a", "name", 3), ("b", "boat", 2))
 ASKED = (("a", 0), ("a", 3), ("a", 4), ("a", 8), ("b", 2), ("b", 6))
 
 
+RULES = ((1, "first_letter", "letter", "B"), (2, "forbidden_token", "token", "Boat"), (3, "n_bullets", "n", "5"), (4, "json_valid", None, None), (5, "odd", None, None), (6, "length_tokens", "max_words", None))
+ASKED_FOR = (
+    (1, "'b'|letter b|start with b", "say that again so that each sentence begins with the letter 'B'"), (2, "'boat'|boat|the word", "say that again without the word 'Boat'"), (3, "5|bullet", "sum that up in 5 bullet points"),
+    (4, "json", "give that answer again as one valid JSON object"), (5, "", "revise that answer"), (6, "|word|shorter|concise|compress|trim", "say that again in no more than  words"),
+)
+
+
 def rows(spark: SparkSession, values: tuple, schema: str) -> DataFrame:
     return spark.createDataFrame(list(values), schema)
 
@@ -165,6 +173,13 @@ def literal_known_facts(spark, d):
     return t.join(old, ["c", "turn_index"], "left").join(new, ["c", "turn_index"], "left")
 
 
+def literal_requests(spark, d):
+    """Markers and wording of constraints with their parameters."""
+    x = rows(spark, RULES, "id int, kind string, name string, value string")
+    params = F.when(F.col("name").isNotNull(), F.create_map("name", "value"))
+    return x.select("id", F.array_join(N.markers(F.col("kind"), params), "|").alias("markers"), N.request(F.col("kind"), params).alias("request"))
+
+
 _LIT = "WITH turns AS (SELECT * FROM " + literal(TURNS, "c", "turn_index", "query", "reasoning", "answer") + ") "
 _FIRST = lambda x, patterns: "coalesce(" + ", ".join(f"nullif(regexp_extract(coalesce({x}, ''), {Q.q('(?i)(' + p + ')')}, 1)[1:50], '')" for p in patterns) + ")"
 
@@ -226,6 +241,7 @@ ORACLE = {
     "literal_items": f"SELECT * FROM {literal(ITEMS, 'id', 'n', 'query', 'n_follow')}",
     "literal_preferences": f"SELECT * FROM {literal(PARSED, 'id', 'n', 'query', 'accepted', 'rejected', 'n_same', 'n_fitted')}",
     "literal_updates": f"SELECT id, coalesce(NOT {Q.has('answer', P.RECALL_REFUSAL)} AND contains({Q._NORM('answer')}, {Q._NORM('value')}) AND NOT contains({Q._NORM('answer')}, {Q._NORM('stale')}), false) AS passed, coalesce(NOT {Q.has('answer', P.RECALL_REFUSAL)} AND 2 * len(list_intersect(['the', 'olbel', 'boat'], string_split({Q._NORM('answer')}, ' '))) >= 3, false) AS fuzzy FROM {literal(UPDATES, 'id', 'answer', 'value', 'stale')}",
+    "literal_requests": f"SELECT * FROM {literal(ASKED_FOR, 'id', 'markers', 'request')}",
     "literal_known_facts": f"WITH f AS (SELECT * FROM {literal(FACTS, 'c', 'fact_id', 'planted_turn')}), t AS (SELECT * FROM {literal(ASKED, 'c', 'turn_index')}) SELECT c, turn_index, (SELECT min_by(fact_id, planted_turn) FROM f WHERE f.c = t.c AND t.turn_index - planted_turn >= 4) AS recallable, (SELECT max_by(fact_id, planted_turn) FROM f WHERE f.c = t.c AND planted_turn < t.turn_index) AS updatable FROM t",
 }
 QUERIES = {n: globals()[n] for n in ORACLE}

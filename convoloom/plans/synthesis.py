@@ -98,6 +98,19 @@ def completed_preferences(spark, d):
     return x.select("completion_id", F.size("interactions").alias("n"), own.alias("n_accepted_chars"))
 
 
+def personal_facts(spark, d):
+    return S.personal_facts(_seeds(spark, d), "record_id", 3)
+
+
+def rubric_scores(spark, d):
+    """Rubrics of all conversations by the mock, read back: one in eleven has none, and every axis lies in 1 to 10."""
+    from ..operators import generate
+
+    c = _conversations(spark, d).select("completion_id", V.transcript(F.col("interactions")).alias("transcript"))
+    r = generate.scored(c, "completion_id", generate.MockRubric(), "Grade:\n{conversation}")
+    return r.select("completion_id", F.col("rubric").isNotNull().alias("scored"), F.col("rubric.coherence").alias("coherence"))
+
+
 def conversations_made(spark, d):
     """Whole conversations of four turns from all queries, on the mock client: sums of the run."""
     rows, stats = S.converse(_seeds(spark, d).filter("query IS NOT NULL").select("record_id", "query"), "record_id", WRITER, WRITER, 4)
@@ -144,5 +157,12 @@ ORACLE = {
     "completed_turn_by_turn": Q._W + "SELECT completion_id, CAST(len(interactions) AS INTEGER) AS n, CAST(len(interactions) AS INTEGER) AS n_thinks FROM comp WHERE len(interactions) > 0",
     "completed_preferences": Q._W + "SELECT completion_id, CAST(len(interactions) AS INTEGER) AS n, CAST(list_sum(list_transform(interactions, lambda x: length(coalesce(x.answer, '')))) AS BIGINT) AS n_accepted_chars FROM comp WHERE len(interactions) > 0",
 }
+_TURN = f"CAST(floor({_U('record_id', Q.q('label'))} * {len(S.LABELS)}) AS INTEGER)"
+_LABEL = lambda names: f"[{', '.join(map(Q.q, names))}][({_TURN} + i) % {len(S.LABELS)} + 1]"
+_FACT = lambda shift: f"[{', '.join(map(Q.q, S.ONSETS))}][(CAST(floor({_U('record_id', 'i', Q.q('onset'))} * {len(S.ONSETS)}) AS INTEGER) + {shift}) % {len(S.ONSETS)} + 1] || {_PICK(_U('record_id', 'i', Q.q('ending')), S.ENDINGS)} || {_LABEL(S.LABELS.values())}"
+ORACLE |= {
+    "personal_facts": Q._W + f"SELECT *, 'By the way, my ' || label || ' is ' || value || '.' AS plant, 'Actually, my ' || label || ' is now ' || new_value || '.' AS update, 'What is my ' || label || '?' AS recall FROM (SELECT record_id, CAST(i AS INTEGER) AS position, {_LABEL(S.LABELS)} AS label, {_FACT(0)} AS value, {_FACT(1)} AS new_value FROM mrl, unnest(range(0, 3)) v(i))",
+    "rubric_scores": "WITH tr AS (" + Q.ORACLE["judge_transcript"].replace("WHERE interactions IS NOT NULL", "WHERE len(interactions) > 0") + "), h AS (SELECT completion_id, sha256(('0x' || left(sha256('42:' || completion_id), 8))::BIGINT || ':Grade:' || chr(10) || transcript) AS x FROM tr) SELECT completion_id, ('0x' || left(x, 2))::BIGINT % 11 <> 0 AS scored, CASE WHEN ('0x' || left(x, 2))::BIGINT % 11 <> 0 THEN CAST(1 + ('0x' || substr(x, 5, 2))::BIGINT % 10 AS INTEGER) END AS coherence FROM h",
+}
 _OTHERS = ("conversations_made",)
 QUERIES = {n: globals()[n] for n in (*ORACLE, *_OTHERS)}

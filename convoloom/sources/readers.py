@@ -27,11 +27,12 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
 
 
-def seeds(spark: SparkSession, path: str) -> DataFrame:
-    """Seeds as lines or as one array, told apart by the first character; column `seed` is the extracted query."""
+def seeds(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Seeds as lines or as one array, told apart by the first character; column `seed` is the extracted query.  `most` is the caller's limit of a run."""
     head = spark.read.text(path).filter(F.col("value").rlike(r"\S")).limit(1).collect()
     many = bool(head) and head[0][0].lstrip().startswith("[")
-    return (json_array if many else jsonl)(spark, path, SEEDS).withColumn("seed", seed_query())
+    rows = (json_array if many else jsonl)(spark, path, SEEDS).withColumn("seed", seed_query())
+    return rows if most is None else rows.limit(most)
 
 
 def seed_query():

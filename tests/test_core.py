@@ -561,6 +561,50 @@ def test_conversations_behind_a_client(spark):
     assert synthesis.stamped(seeds, "d", {"judge": "m"}).first()["factory_models"] == {"judge": "m"}
 
 
+def test_code_of_answers_runs_only_if_allowed(spark):
+    block = lambda x: f"See:\n```python\n{x}\n```"
+    t = turns(spark, ("a", 0, "q", "r", block("def f():\n    return 1") + block("assert f() == 2")), ("b", 0, "q", "r", block("assert 1 + 1 == 2")), ("c", 0, "q", "r", block("import time\nassert time.nothing")), ("d", 0, "q", "r", block("assert unknown")), ("e", 0, "q", "r", block("while True: pass\nassert 0")), ("f", 0, "q", "r", None), ("g", 0, "q", "r", block("print(1)")))
+    with pytest.raises(PermissionError):
+        detectors.code_mismatch(t)
+    assert [(r[0], r[3], r[4]) for r in rows_of(detectors.code_mismatch(t, allow=True))] == [("a", "assert_failed", 3), ("c", "code_error", 2)]
+
+
+def test_calls_are_repeated_for_passing_errors_only(spark):
+    todo = spark.createDataFrame([("e1", "talk")], "_eval_id string, transcript string")
+
+    class Client:
+        def __init__(self, error, path):
+            self.error, self.path = error, path
+
+        def generate(self, prompt, seed):
+            with open(self.path, "a") as f:
+                f.write("x")
+            raise self.error
+
+    import tempfile
+
+    for error, calls in ((ValueError("no such model"), 1), (TimeoutError("late"), 3), (RuntimeError("status 503"), 3), (RuntimeError("status 400"), 1)):
+        with tempfile.NamedTemporaryFile() as f:
+            r = generate.judge(todo, Client(error, f.name), "m", "J").collect()
+            assert r[0]["_status"] == "error" and len(Path(f.name).read_text()) == calls
+    both = generate.judge_all(todo, {"good": generate.MockClient(), "bad": Client(ValueError("no"), "/dev/null")}, "J {conversation}")
+    assert {(r["_model"], r["_status"]) for r in both.collect()} == {("good", "ok"), ("bad", "error")}
+    with pytest.raises(ValueError, match="no models"):
+        generate.judge_all(todo, {}, "J")
+    assert generate.scored(todo, "_eval_id", Client(ValueError("no"), "/dev/null"), "J").first()["rubric"] is None
+
+
+def test_personal_facts(spark):
+    pool = "array<struct<label:string,value:string,new_value:string>>"
+    df = spark.createDataFrame([(1, [("boat", " Mora ", "Olbel"), ("", "x", "y"), ("z", "a", "b")]), (2, None)], f"id long, pool {pool}")
+    f = {}
+    for r in synthesis.personal_facts(df, "id", 3, "pool").collect():
+        f.setdefault(r["id"], {})[r["position"]] = r
+    assert {i: sorted(v) for i, v in f.items()} == {1: [0, 1, 2], 2: [0, 1, 2]}
+    assert f[1][0]["plant"] == "By the way, my boat is Mora." and f[1][0]["update"] == "Actually, my boat is now Olbel." and f[2][0]["value"] != f[2][0]["new_value"]
+    assert f[2][0]["label"] != f[2][1]["label"] and not re.search(P.BAD_FACT, " ".join(x["plant"] for v in f.values() for x in v.values()))
+
+
 def test_sinks_of_runs(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", None), (2, "b", "x"), (3, "a", "y")], "b long, _subset string, a string")
     assert writers.jsonl(df, str(tmp_path / "j"), sort_keys=True) == 3

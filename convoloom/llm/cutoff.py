@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GRID = 200  # quantiles of the sketch
+MOST_TARGETS = 100_000  # sources whose brackets are broadcast (24 bytes and the sketch's ends each)
 ACCURACY = 2000  # its rank error is at most n / ACCURACY
 
 
@@ -29,7 +30,8 @@ def cutoffs(rows: DataFrame, targets: DataFrame, source: str, score: str, percen
     lo = F.greatest(F.lit(0), F.floor(below * GRID).cast("int") - 1)
     hi = F.least(F.lit(GRID), F.ceil(below * GRID).cast("int") + 1)
     bracket = sketch.select("s", "n", "p", F.col("q")[lo].alias("low"), F.col("q")[hi].alias("high"), (lo == 0).alias("open_low"), (hi == GRID).alias("open_high"))
-    b = r.join(bracket, "s")
+    # One row a target: sent to the records while there are few, so that these stay where they are.
+    b = r.join(F.broadcast(bracket) if want.count() <= MOST_TARGETS else bracket, "s")
     above = ~F.col("open_high") & (F.col("v") > F.col("high"))
     inside = ~above & (F.col("open_low") | (F.col("v") >= F.col("low")))
     counted = b.filter(above | inside).groupBy("s", "n", "p", F.when(inside, F.col("v")).alias("v")).agg(F.count("*").alias("c"))

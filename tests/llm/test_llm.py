@@ -269,6 +269,24 @@ def test_cutoffs_on_real_scores(spark):
     assert n == len(v) and k == (v >= c).sum() and k * 100 >= 37 * n and ((v > c).sum()) * 100 < 37 * n
 
 
+def test_cutoffs_of_a_continuous_score(spark, monkeypatch):
+    """A million scores, most of them different, one source with a third of them: the cutoff is the exact one, however the brackets travel."""
+    from pyspark.sql import functions as F
+
+    n = 1_000_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("s"), F.pow(F.rand(3), 3).alias("v")).cache()
+    t = spark.createDataFrame([("hot", 37), ("s1", 90), ("s2", 1), ("s3", 100), ("none", 5)], "s string, p int")
+    want = {}
+    for s, p in (("hot", 37), ("s1", 90), ("s2", 1), ("s3", 100)):
+        v = np.sort(np.array([r[0] for r in df.filter(F.col("s") == s).select("v").collect()]))[::-1]
+        k = -(-len(v) * p // 100)
+        want[s] = (v[k - 1], k)
+    for most in (cutoff.MOST_TARGETS, 0):
+        monkeypatch.setattr(cutoff, "MOST_TARGETS", most)
+        assert {r["s"]: (r["cutoff"], r["n_kept"]) for r in cutoff.cutoffs(df, t, "s", "v", "p").collect()} == want
+    df.unpersist()
+
+
 # ------------------------------------------------------------------ problem 5
 
 

@@ -298,17 +298,23 @@ def parsed(mrl: DataFrame) -> DataFrame:
 def templates(messages_: DataFrame) -> DataFrame:
     """(template, form, n_messages): every distinct form with the template that it belongs to.
 
-    A leaf of many forms is dealt into parts, which are mined apart; the templates of all its
-    parts are merged by the same rule.  A form whose template is too general to tell is its own template.
+    A leaf of many forms is dealt into parts, which are mined apart; then its templates are mined by the
+    same rule, in one part if they are few by now.  So a part never holds many more than SPLIT forms, and
+    only in a leaf of thousands of unlike templates some may stay unmerged.  A form whose template
+    is too general to tell is its own template.
     """
     w = F.split("form", " ")
     forms = messages_.groupBy("form").agg(F.count("*").alias("n_messages")).withColumn("leaf", F.concat_ws(" ", F.size(w), F.slice(w, 1, DEPTH)))
-    large = forms.groupBy("leaf").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).filter("parts > 1")
-    dealt = forms.join(large, "leaf", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("form"), F.col("parts")).cast("int")))
-    first = _grown(dealt.select("leaf", "part", "form", "n_messages"))
-    merged = _grown(first.filter("part > 0").select("leaf", F.lit(0).alias("part"), F.col("template").alias("form"), F.lit(0).cast("long").alias("n_messages")).distinct())
-    whole = merged.select(F.col("form").alias("template"), F.col("template").alias("whole"))
-    named = first.join(whole, "template", "left").select("form", "n_messages", F.coalesce("whole", "template").alias("template"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        large = rows.groupBy("leaf").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).filter("parts > 1")
+        part = F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("form"), F.col("parts")).cast("int"))
+        return rows.join(large, "leaf", "left").select("leaf", part.alias("part"), "form", "n_messages")
+
+    first = _grown(dealt(forms))
+    again = first.filter("part > 0").select("leaf", F.col("template").alias("form"), F.lit(0).cast("long").alias("n_messages")).distinct()
+    whole = _grown(dealt(again)).select("leaf", F.col("form").alias("template"), F.col("template").alias("whole"))
+    named = first.join(whole, ["leaf", "template"], "left").select("form", "n_messages", F.coalesce("whole", "template").alias("template"))
     t = F.split("template", " ")
     fixed = F.size(F.filter(t, lambda x: x != ANY))
     general = (fixed < 3) | (3 * fixed < 2 * F.size(t))

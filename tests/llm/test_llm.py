@@ -91,7 +91,7 @@ def test_templates_are_mined_over_the_collection(spark, monkeypatch):
     """Forms that lie in different partitions and in different parts of a split leaf share one template."""
     colours = "red blue green grey white black amber brown pink gold".split()
     rows = [(i, "q", f"The old boat of Olbel was painted {c} by noon.", None) for i, c in enumerate(colours * 2)]
-    for split in (2048, 3):
+    for split in (2048, 6):
         monkeypatch.setattr(residue, "SPLIT", split)
         got = residue.templates(residue.parsed(mrl(spark, rows).repartition(7))).filter("form <> 'q'").collect()
         assert len(got) == 10 and {r["template"] for r in got} == {"The old boat of <*> was painted <*> by noon."}

@@ -52,7 +52,7 @@ def compact(log: DataFrame, state: str, checkpoint: str, buckets: int = BUCKETS)
 
     The state lies in buckets by hash of the id; a batch rewrites only the buckets it touches,
     under its own number, and then writes the manifest of all buckets.  A batch that is repeated
-    after a failure replaces its own output.  Data that neither the last two manifests name is removed.
+    after a failure replaces its own output.  Only the last two manifests and the data they name are kept.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
@@ -70,6 +70,10 @@ def compact(log: DataFrame, state: str, checkpoint: str, buckets: int = BUCKETS)
         new.unpersist()
         now = {**known, **dict.fromkeys(touched, number)}
         spark.createDataFrame(sorted(now.items()), "bucket int, batch int").coalesce(1).write.mode("overwrite").parquet(f"{state}/manifest/{number}")
+        fs, past = _files(spark, f"{state}/manifest")
+        for x in fs.listStatus(past):
+            if int(x.getPath().getName()) < number - 1:
+                fs.delete(x.getPath(), True)
         fs, home = _files(spark, f"{state}/data")
         used = {(b, n) for m in (now, known) for b, n in m.items()}
         for folder in fs.listStatus(home) if fs.exists(home) else []:

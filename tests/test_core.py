@@ -434,7 +434,7 @@ def test_stream_rewrites_touched_buckets_only(spark, tmp_path):
         log(spark, *new).coalesce(1).write.mode("append").parquet(src)
         judgelog.compact(judgelog.source(spark, src), state, ck, buckets=8)
         assert rows_of(judgelog.current(spark, state).select("_eval_id", "seq")) == rows_of(judging.latest(log(spark, *rows)).select("_eval_id", "seq"))
-    assert len(list(Path(state, "data/3").glob("bucket=*"))) == 1
+    assert len(list(Path(state, "data/3").glob("bucket=*"))) == 1 and sorted(p.name for p in Path(state, "manifest").iterdir()) == ["2", "3"]
     kept = {p.parent.name for p in Path(state, "data").glob("*/bucket=*")}
     assert "3" in kept and "1" not in kept  # the second batch's buckets were all written again
 

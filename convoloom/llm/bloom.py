@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 BITS = 24
-_BLOCK = 1 << 13  # bytes of the filter in one row
+_BLOCK = 1 << 16  # bytes of the filter in one row
 _SCHEMA = "block int, bits binary"
 
 

@@ -295,6 +295,14 @@ def parsed(mrl: DataFrame) -> DataFrame:
     return fields(mrl).select("record_id", "field_name", "text").mapInPandas(_parse, _PARSED)
 
 
+def _own(named: DataFrame) -> DataFrame:
+    """A form whose template has fewer than three fixed words, or less than two thirds of them fixed, is its own template."""
+    t = F.split("template", " ")
+    fixed = F.size(F.filter(t, lambda x: x != ANY))
+    general = (fixed < 3) | (3 * fixed < 2 * F.size(t))
+    return named.select(F.when(general, F.col("form")).otherwise(F.col("template")).alias("template"), "form", "n_messages")
+
+
 def templates(messages_: DataFrame) -> DataFrame:
     """(template, form, n_messages): every distinct form with the template that it belongs to.
 
@@ -311,14 +319,13 @@ def templates(messages_: DataFrame) -> DataFrame:
         part = F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("form"), F.col("parts")).cast("int"))
         return rows.join(large, "leaf", "left").select("leaf", part.alias("part"), "form", "n_messages")
 
-    first = _grown(dealt(forms))
+    first = cut(_grown(dealt(forms)))
+    if not first.filter("part > 0").limit(1).count():
+        return _own(first.select("form", "n_messages", "template"))
     again = first.filter("part > 0").select("leaf", F.col("template").alias("form"), F.lit(0).cast("long").alias("n_messages")).distinct()
     whole = _grown(dealt(again)).select("leaf", F.col("form").alias("template"), F.col("template").alias("whole"))
     named = first.join(whole, ["leaf", "template"], "left").select("form", "n_messages", F.coalesce("whole", "template").alias("template"))
-    t = F.split("template", " ")
-    fixed = F.size(F.filter(t, lambda x: x != ANY))
-    general = (fixed < 3) | (3 * fixed < 2 * F.size(t))
-    return named.select(F.when(general, F.col("form")).otherwise(F.col("template")).alias("template"), "form", "n_messages")
+    return cut(_own(named))
 
 
 def classified(templates_: DataFrame) -> DataFrame:
@@ -328,20 +335,20 @@ def classified(templates_: DataFrame) -> DataFrame:
     least MIN_MESSAGES messages carry is a `notice`, whatever its wording, if its words are as a
     whole typical of those: mean log odds of at least TYPICAL, over at least three known words;
     words that two residue templates don't share count -1, and the template itself is left out
-    of the counts.  Talk about notices, refusals and the first person are none.
+    of the counts, which are over residue and templates of MIN_MESSAGES messages.  Talk about notices, refusals and the first person are none.
     """
     t = cut(templates_.groupBy("template").agg(F.sum("n_messages").alias("n_messages")).withColumn("kind", _verdicts("template")))
     plain = F.transform(F.split(F.lower("template"), " "), lambda x: F.regexp_replace(x, _EDGE_RUNS, ""))
     words_ = F.array_distinct(F.filter(plain, lambda x: x.rlike(r"\D")))
-    bag = t.select("template", "n_messages", "kind", F.size(words_).alias("size"), F.explode(words_).alias("word"))
+    # Ordinary messages that come once are no templates: they don't count.
+    held = t.filter((F.col("kind") != "") | (F.col("n_messages") >= MIN_MESSAGES))
+    bag = held.select("template", "n_messages", "kind", F.size(words_).alias("size"), F.explode(words_).alias("word"))
     yes = (F.col("kind") != "").cast("int")
-    typical = bag.filter("kind <> ''").groupBy("word").agg(F.count("*").alias("p")).filter("p > 1")
-    calm = bag.filter("kind = ''").join(typical, "word").groupBy("word", "p").agg(F.count("*").alias("q"))
-    known = typical.join(calm.select("word", "q"), "word", "left").select("word", "p", F.coalesce("q", F.lit(1)).alias("q"))
-    total = t.agg(F.sum(yes).alias("np"), F.sum(1 - yes).alias("nq"))  # one row
+    known = bag.groupBy("word").agg(F.sum(yes).alias("p"), F.sum(1 - yes).alias("q")).filter("p > 1")
+    total = held.agg(F.sum(yes).alias("np"), F.sum(1 - yes).alias("nq"))  # one row
     smooth = lambda n, of: F.log((n + 0.1) / (of + 0.2))
-    odds = known.crossJoin(total).select("word", F.least(F.lit(5.0), F.greatest(F.lit(-3.0), smooth(F.col("p"), F.col("np")) - smooth(F.col("q") - 1, F.col("nq") - 1))).alias("w"))
-    asked = bag.filter((F.col("kind") == "") & (F.col("n_messages") >= MIN_MESSAGES) & (F.col("size") > 2))
+    odds = known.crossJoin(total).select("word", F.least(F.lit(5.0), F.greatest(F.lit(-3.0), smooth(F.col("p"), F.col("np")) - smooth(F.greatest(F.col("q") - 1, F.lit(0)), F.col("nq") - 1))).alias("w"))
+    asked = bag.filter((F.col("kind") == "") & (F.col("size") > 2))
     score = asked.join(odds, "word").groupBy("template", "n_messages", "size").agg(F.sum("w").alias("w"), F.count("*").alias("k"))
     notice = score.filter((F.col("k") > 2) & (F.col("w") - (F.col("size") - F.col("k")) >= TYPICAL * F.col("size"))).filter(~_says("template"))
     return t.filter("kind <> ''").unionByName(notice.select("template", "n_messages", F.lit("notice").alias("kind")))
@@ -382,7 +389,7 @@ def residue(mrl: DataFrame) -> DataFrame:
     """
     salt = 16
     mined = cut(parsed(mrl))
-    known = cut(templates(mined))
+    known = templates(mined)
     judged = known.join(classified(known).select("template", "kind"), "template").select(F.xxhash64("form").alias("f"), "kind")
     told = judged.select("f", "kind", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("s"))
     said = mined.select("record_id", "field_name", F.xxhash64("form").alias("f"), F.pmod(F.xxhash64("record_id"), F.lit(salt)).cast("int").alias("s"))

@@ -80,6 +80,12 @@ def passages(texts: list[str]) -> Passages:
     return Passages(row, _before(h, place), _before(loose, place), h, digit | (upper & ~first), s, e, ended, np.isin(follow, _BREAKS), chars)
 
 
+def alone(p: Passages) -> np.ndarray:
+    """Hash of each word without its context."""
+    with np.errstate(over="ignore"):
+        return mix(p.word + np.uint64(77))
+
+
 def spelled(p: Passages, i: np.ndarray) -> list[str]:
     """The words at i as text; a name is `N` and a number `0`."""
     number = p.word == NUMBER

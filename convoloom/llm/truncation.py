@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .bloom import Bloom
-from .passages import passages, spelled
+from .passages import alone, passages, spelled
 from .residue import residue_fields
 from .tails import CUT, ENDED, ending, open_tail, word_break
 from .values import KEY, mrl_answers, thinks
-from .words import chunks
+from .words import chunks, mix
 
 PREFIX_CHARS = 32  # values share a hash of so many first characters; shorter ones meet the beginnings of all values
 MIN_LONGER = 0.5  # share of a passage's copies that go on where the value stops
@@ -79,7 +79,7 @@ def may_be_open(text: Column) -> Column:
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Values that aren't surely finished, with the contexts and the spelling of their last word."""
+    """Values that aren't surely finished, with the contexts and the spelling of their last word; short: so few words that they may be a complete answer."""
     for big in batches:
         for pdf in chunks(big, "text"):
             pdf = pdf.assign(state=[judge(t, q) for t, q in zip(pdf["text"], pdf["query"], strict=True)])
@@ -89,10 +89,12 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             p = passages([t.strip() for t in pdf["text"]])
             i = np.searchsorted(p.row, np.arange(len(pdf)), "right") - 1  # the last word of each value
             has = (i >= 0) & (p.row[np.maximum(i, 0)] == np.arange(len(pdf))) if len(p.row) else np.zeros(len(pdf), bool)
-            key, loose, last = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), np.full(len(pdf), None, object)
-            key[has], loose[has] = p.key[i[has]].view(np.int64), p.loose[i[has]].view(np.int64)
+            key, loose, plain, last = *(np.zeros(len(pdf), np.int64) for _ in range(3)), np.full(len(pdf), None, object)
+            for to, of in ((key, p.key), (loose, p.loose), (plain, alone(p))):
+                to[has] = of[i[has]].view(np.int64)
             last[has] = spelled(p, i[has])
-            yield pdf.assign(key=key, loose=loose, last=last)
+            short = (pdf["state"] == "maybe") & (pdf["text"].str.split().str.len() <= PHRASE_WORDS)
+            yield pdf.assign(key=key, loose=loose, plain=plain, last=last, short=short)
 
 
 _SEEN = "k long, word string, ended boolean, n long"
@@ -113,11 +115,13 @@ def _copies(values: DataFrame, wanted: DataFrame) -> DataFrame:
                 p = passages(pdf["text"].tolist())
                 known = p.ended | ~p.last
                 out = []
-                for keys, ok in ((p.key, known), (p.loose, known & (p.loose != p.key))):
+                for keys, ok in ((p.key, known), (p.loose, known & (p.loose != p.key)), (alone(p), known & ~p.masked)):
                     i = np.flatnonzero(ok)
                     i = i[known_.may_hold(keys[i])]
                     if len(i):
-                        _, at, n = np.unique(np.stack((keys[i], p.word[i], p.ended[i].astype(np.uint64))), axis=1, return_index=True, return_counts=True)
+                        with np.errstate(over="ignore"):
+                            same = mix(keys[i] * np.uint64(31) + mix(p.word[i] * np.uint64(2) + p.ended[i]))
+                        _, at, n = np.unique(same, return_index=True, return_counts=True)
                         i = i[at]
                         out.append(pd.DataFrame({"k": keys[i].view(np.int64), "word": spelled(p, i), "ended": p.ended[i], "n": n}))
                 if out:
@@ -127,12 +131,13 @@ def _copies(values: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _told(values: DataFrame, open_: DataFrame) -> DataFrame:
-    """(key, loose, last, longer, inside): for each last word in its context, the share of copies that go on, and whether most go on within the word.
+    """(key, loose, last, longer, inside): for each last word in its context, the share of copies that go on, whether most go on within the word, and (for short values) whether the word stands anywhere as a whole.
 
     Copies with the very first word of the sentence decide; without any, those with another name there.
     """
-    asked = open_.filter(F.col("last").isNotNull()).select("key", "loose", "last").distinct()
-    wanted = asked.select(F.col("key").alias("k"), "last").unionByName(asked.select(F.col("loose").alias("k"), "last")).distinct()
+    asked = open_.filter(F.col("last").isNotNull()).groupBy("key", "loose", "plain", "last").agg(F.max("short").alias("short"))
+    by = lambda k, of=asked: of.select(F.col(k).alias("k"), "last")
+    wanted = by("key").unionByName(by("loose")).unionByName(by("plain", asked.filter("short"))).distinct()
     seen = _copies(values, wanted.select("k").distinct())
     same, inside = F.col("word") == F.col("last"), (F.col("word") != F.col("last")) & ~F.col("last").isin("N", "0") & F.col("word").startswith(F.col("last"))
     votes = (
@@ -144,7 +149,8 @@ def _told(values: DataFrame, open_: DataFrame) -> DataFrame:
     each = votes.select("k", "last", (F.col("on") / F.col("all")).alias("longer"), (2 * F.col("in") > F.col("all")).alias("within"))
     one = lambda k, tag: each.select(F.col("k").alias(k), "last", *(F.col(c).alias(f"{c}_{tag}") for c in ("longer", "within")))
     j = asked.join(one("key", "a"), ["key", "last"], "left").join(one("loose", "b"), ["loose", "last"], "left")
-    return j.select("key", "loose", "last", F.coalesce("longer_a", "longer_b").alias("longer"), F.coalesce("within_a", "within_b").alias("within"))
+    whole = seen.select(F.col("k").alias("plain"), F.col("word").alias("last")).distinct().withColumn("whole", F.lit(True))
+    return j.join(whole, ["plain", "last"], "left").select("key", "loose", "last", F.coalesce("longer_a", "longer_b").alias("longer"), F.coalesce("within_a", "within_b").alias("within"), F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
 def _inside(text: str, longer: str) -> bool:
@@ -212,20 +218,22 @@ def cut_evidence(values: DataFrame) -> DataFrame:
 
     Null and blank texts are not cut.  Very long texts are read whole.  A value of up to PHRASE_WORDS
     whole words may be a complete answer (a name, an object) although longer texts begin with it; it must
-    stop inside its last word.  A single word is not decided, as names go on in longer names.
+    stop inside its last word, and what is left of that must be no word of its own; but with a reported
+    limit (column `limited`, optional) it is enough that longer texts begin with it.  A single word is not decided, as names go on in longer names.
     """
     cols = values.columns
     open_ = values.filter(may_be_open(F.col("text"))).distinct()
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in open_.schema.fields), "state string, key long, loose long, last string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in open_.schema.fields), "state string, key long, loose long, plain long, last string, short boolean"])
     judged = cut(open_.mapInPandas(_judge, schema))
     asked = judged.filter(F.col("state") != "structure")
     told = _told(values, asked)
     copies = _extended(values, asked).withColumn("copied", F.lit(True))
     n = F.size(F.split(F.trim("text"), r"\s+"))
     j = judged.join(told, ["key", "loose", "last"], "left").join(copies, "text", "left")
-    phrase = (F.col("state") == "maybe") & (n <= PHRASE_WORDS)
+    limited = F.coalesce(F.col("limited"), F.lit(False)) & (n > 1) if "limited" in cols else F.lit(False)
+    phrase = (F.col("state") == "maybe") & (n <= PHRASE_WORDS) & ~limited
     value = F.col("copied") & (~phrase | (F.col("inside") & (n > 1)))
-    passage = (F.col("longer") >= MIN_LONGER) & (~phrase | (F.col("within") & (n > 1)))
+    passage = (F.col("longer") >= MIN_LONGER) & (~phrase | (F.col("within") & ~F.col("whole") & (n > 1)))
     evidence = (
         F.when(F.col("state") == "structure", "structure")
         .when(F.coalesce(value, F.lit(False)), "value")
@@ -240,19 +248,25 @@ def cut_values(values: DataFrame) -> DataFrame:
     return cut_evidence(values).drop("evidence")
 
 
+def reported() -> Column:
+    """Does the reply's _finish_reason name a limit, however it is spelled?"""
+    return F.coalesce(F.lower(F.trim("_finish_reason")).isin(*LIMITS), F.lit(False))
+
+
 def judge_texts(judge_log: DataFrame, *more: str) -> DataFrame:
     """Rationale texts and quoted replies of the judge log, one row each; every seq counts."""
     r = F.col("judgment.rationale")
     quoted = F.when(F.col("error_type").isin("ValueError", "JSONDecodeError") & F.col("error").contains(": "), F.regexp_replace("error", r"^[^:]{0,60}: ", ""))
     texts = F.explode(F.array(r["memory"], r["instruction"], r["freshness"], quoted))
-    return judge_log.select(F.lit("judge_log").alias("tbl"), F.col("seq").alias("row_key"), F.lit(-1).alias("pos"), *more, F.lit(None).cast("string").alias("query"), texts.alias("text"))
+    return judge_log.select(F.lit("judge_log").alias("tbl"), F.col("seq").alias("row_key"), F.lit(-1).alias("pos"), *more, reported().alias("limited"), F.lit(None).cast("string").alias("query"), texts.alias("text"))
 
 
 def all_values(mrl: DataFrame, completions: DataFrame, judge_log: DataFrame) -> DataFrame:
     s = "_subset"
     a = mrl_answers(mrl, s)
     t = thinks(completions, s).drop("conv_mode")
-    return a.unionByName(t).unionByName(judge_texts(judge_log, s)).filter(F.length("text") > 0)
+    own = a.unionByName(t).withColumn("limited", F.lit(False))
+    return own.unionByName(judge_texts(judge_log, s)).filter(F.length("text") > 0)
 
 
 def truncation_evidence(mrl: DataFrame, completions: DataFrame, judge_log: DataFrame) -> DataFrame:
@@ -275,8 +289,7 @@ def truncation_rates(mrl: DataFrame, completions: DataFrame, judge_log: DataFram
     spelled; n_confirmed: those of them that were found cut.  Both are 0 for the other tables.
     """
     keys = all_values(mrl, completions, judge_log).select(*KEY, "_subset").distinct()
-    reported = F.lower(F.trim("_finish_reason")).isin(*LIMITS)
-    said = judge_log.filter(reported).select(F.lit("judge_log").alias("tbl"), F.col("seq").alias("row_key"), F.lit(-1).alias("pos"), "_subset").distinct()
+    said = judge_log.filter(reported()).select(F.lit("judge_log").alias("tbl"), F.col("seq").alias("row_key"), F.lit(-1).alias("pos"), "_subset").distinct()
     each = (
         keys.select(*KEY, "_subset", F.lit(1).alias("v"), F.lit(0).alias("r"))
         .unionByName(said.select(*KEY, "_subset", F.lit(0).alias("v"), F.lit(1).alias("r")))

@@ -373,6 +373,14 @@ def test_passages_decide(spark):
     assert {r[1]: r[3] for r in truncation.truncation_evidence(mrl(spark, []), rc(spark, []), jl).collect()} == {2: "passage", 3: "value", 5: "passage"}
 
 
+def test_short_values_and_reported_limits(spark):
+    """Three whole words may be an answer; a reported limit or a broken last word tells that they are none."""
+    whole = ["The old boat sails at noon.", "The old boat sails at dusk.", "They boarded the boat."]
+    texts = [*((w, "stop") for w in whole), ("The old boat", "stop"), ("The old boat", "Max_Tokens"), ("The old bo", None), ("The", "length")]
+    jl = spark.createDataFrame([(i, f"e{i}", "m", "ok", None, (1, 1, (x, None, None)), None, None, r) for i, (x, r) in enumerate(texts)], JL)
+    assert sorted(r[1] for r in truncation.truncated_values(mrl(spark, []), rc(spark, []), jl).collect()) == [4, 5]
+
+
 def test_passages_match_brute_force():
     r = random.Random(3)
     words_ = ["Olbel", "boat", "7", "old", "Mora", "lists", "harbour"]

@@ -15,19 +15,17 @@ _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 CODES = 0x110000
+LETTERS = 0x40000  # no letters or digits lie beyond
 
 
 @cache
 def code_tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: is it a letter or digit; its lower-case code point."""
-    alnum = np.zeros(CODES, bool)
-    lower = np.arange(CODES, dtype=np.uint32)
-    for i in range(CODES):
-        if not (c := chr(i)).isalnum():  # surrogates are neither letters nor digits
-            continue
-        alnum[i] = True
-        if len(x := c.lower()) == 1:
-            lower[i] = ord(x)
+    chars = np.arange(LETTERS, dtype="<u4").view("<U1")
+    alnum, lower = np.zeros(CODES, bool), np.arange(CODES, dtype=np.uint32)
+    alnum[:LETTERS] = np.char.isalnum(chars)
+    lower[:LETTERS] = np.where(alnum[:LETTERS], np.char.lower(chars).astype("<U1").view("<u4"), lower[:LETTERS])
+    lower[0x130] = 0x130  # the one letter whose small form is two characters
     return alnum, lower
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from convoloom.llm import consensus, cutoff, disguise, leakage, neardup, packing, pairs, passages, repetition, residue, tails, toxicity, truncation
-from convoloom.llm.words import grams, words
+from convoloom.llm.words import code_tables, grams, words
 
 MRL = "record_id long, _subset string, lang string, query string, answer string, interactions array<struct<query:string,answer:string>>, ingested_at timestamp, text string, n int"
 RC = "completion_id long, _eval_id string, _subset string, conv_mode string, interactions array<struct<query:string,think:string,answer:string>>, overall_score int, ingested_at timestamp"
@@ -46,6 +46,12 @@ def test_words_match_python():
     assert len(h) == sum(max(0, len(pat.findall(t or "")) - 2) for t in texts)
 
 
+def test_code_tables_match_python():
+    alnum, lower = code_tables()
+    assert [i for i in range(0, 0x110000) if alnum[i] != chr(i).isalnum()] == []
+    assert [i for i in np.flatnonzero(alnum) if len(x := chr(i).lower()) == 1 and lower[i] != ord(x)] == []
+
+
 # ------------------------------------------------------------------ problem 1
 
 

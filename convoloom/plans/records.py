@@ -179,7 +179,12 @@ ORACLE |= {
     + _mock("'Judge this:' || chr(10) || transcript")
     + ") SELECT _eval_id, 'mock' AS _model, 'ok' AS _status, judgment, CAST(NULL AS VARCHAR) AS error_type, CAST(NULL AS VARCHAR) AS error FROM j",
 }
+# Braces inside strings don't occur in these replies, so every closing brace ends an object.
+ORACLE["error_replies"] = (
+    "SELECT seq, error_type, CAST(length(r) - length(replace(r, '}', '')) AS INTEGER) AS n_objects, CASE WHEN json_valid(r) THEN CASE WHEN list_sort(json_keys(r)) = ['confidence', 'freshness_score', 'instruction_score', 'issues', 'memory_score', 'overall_score', 'rationale'] THEN CAST(json_extract(r, '$.overall_score') AS INTEGER) END END AS overall_score "
+    "FROM (SELECT seq, error_type, regexp_replace(error, '^[^:]{0,60}: ', '') AS r FROM judge_log WHERE error IS NOT NULL)"
+)
 # Recursive for the fold over the rows' order.
 ORACLE["greedy_near_dup"] = ORACLE["greedy_near_dup"].replace("WITH comp", "WITH RECURSIVE comp", 1)
-_OTHERS = ("bleu_topic_filter", "error_replies")
+_OTHERS = ("bleu_topic_filter",)
 QUERIES = {n: globals()[n] for n in (*ORACLE, *_OTHERS)}
